@@ -132,11 +132,17 @@ class Words:
         self.end = np.flatnonzero(k & edge) + 1
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(docs), np.diff(self.first))
-        up, down = _BYTES.get(n)
-        s = np.zeros(n + 1, np.uint64)
-        np.cumsum(((_LOWER if lower else _SAME)[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=s[1:])
-        size = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((s[self.end] - s[self.start]) * down[self.start] + size * np.uint64(0xC2B2AE3D27D4EB4F))
+        up, _ = _BYTES.get(n)
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(((_LOWER if lower else _SAME)[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=self._sums[1:])
+        self.hash = self.span(self.start, self.end)
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges; of equal bytes equal, wherever they stand."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        down = _BYTES.get(len(self.data))[1]
+        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
     def __len__(self) -> int:
         return len(self.start)

@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the distinct hashes, modulo ``2**BITS``, of its words, its pairs of neighbours and its pairs with one
-word between. The model learns with per-coordinate rates and L1, so most weights are exactly zero; what is left is a table
+Features of a text are the distinct hashes, modulo ``2**BITS``, of its words, its words' stems (their first bytes), its pairs
+of neighbours and its pairs with one word between. The model learns with per-coordinate rates and L1, so most weights are exactly zero; what is left is a table
 of at most ``2**BITS`` weights, which bounds the broadcast. It is fitted on at most ``FIT_ROWS`` labelled rows, chosen by the
 hash of their id, none of them held out; every text is scored, whole.
 
@@ -24,18 +24,26 @@ from lookupforge.llm.common import ALNUM, Words, bound_batches, chunks, mix, tab
 BITS = 18
 FIT_ROWS = 12_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 0.6, 0.2
+STEMS = (4, 5, 6)
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 1.0
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, distinct and sorted, of a run of texts."""
+def features(data: np.ndarray, off: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) pairs, distinct and sorted, of a run of texts; with ``only``, a table of features, no others."""
     w = Words(data, off, ALNUM, True)
     left, mask = w.left(), np.uint64((1 << BITS) - 1)
     doc, feat = [w.doc], [mix(w.hash ^ np.uint64(1)) & mask]
+    for size in STEMS:
+        at = np.flatnonzero(w.end - w.start > size)
+        doc.append(w.doc[at])
+        feat.append(mix(w.span(w.start[at], w.start[at] + size) ^ np.uint64(size)) & mask)
     for gap in (1, 2):
         at = np.flatnonzero(left > gap)
         doc.append(w.doc[at])
         feat.append(mix(w.hash[at] * np.uint64(0x9E3779B97F4A7C15) + w.hash[at + gap] + np.uint64(gap)) & mask)
+    if only is not None:
+        hit = [only[f] for f in feat]
+        doc, feat = [d[h] for d, h in zip(doc, hit, strict=True)], [f[h] for f, h in zip(feat, hit, strict=True)]
     key = np.unique(np.concatenate(doc).astype(np.int64) << BITS | np.concatenate(feat).astype(np.int64))
     return key >> BITS, key & int(mask)
 
@@ -87,7 +95,7 @@ def _score(batches: Iterator[pa.RecordBatch], at: bytes, weights: bytes, bias: f
     w = np.zeros(1 << BITS)
     w[np.frombuffer(at, "<i4")] = np.frombuffer(weights, "<f8")
     for b, data, off in chunks(batches, "text"):
-        doc, feat = features(data, off)
+        doc, feat = features(data, off, w != 0)
         if bias is None:
             score = np.zeros(len(b))
         else:
