@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from lookupforge.llm.decontaminate import op1_decontaminate
 from lookupforge.llm.html_consensus import op5_html_consensus
 from lookupforge.llm.secret_ledger import op4_secret_ledger
+from lookupforge.llm.substring_doubling import op8_substring_doubling
 from lookupforge.llm.token_store import op9_token_store
 from lookupforge.llm.toxicity import op3_toxicity
 from lookupforge.llm.url_rules import OP7_SQL, op7_url_rules
+from lookupforge.llm.viterbi_pieces import op10_viterbi_pieces
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_html_consensus": op5_html_consensus,
     "op7_url_rules": op7_url_rules,
+    "op8_substring_doubling": op8_substring_doubling,
     "op9_token_store": op9_token_store,
+    "op10_viterbi_pieces": op10_viterbi_pieces,
 }
 SQL = {"op7_url_rules": OP7_SQL}
