@@ -182,6 +182,31 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             a = z
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal values in the first ``keys`` (integer) columns of sorted batches; a run may cross batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(len(b), bool)
+        new[0] = last is not None and tuple(c[0] for c in cols) != last
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        last = tuple(c[-1] for c in cols)
+        at = 0
+        for z in [*np.flatnonzero(new).tolist(), len(b)]:
+            if z > at:
+                held.append(b.slice(at, z - at))
+            if z < len(b) and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = z
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 # ---------------------------------------------------------------- connected components
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of one batch -> (member, root) stars of that batch's components; as many rows as nodes at most."""

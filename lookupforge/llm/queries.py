@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lookupforge.llm.decontaminate import op1_decontaminate
 from lookupforge.llm.html_consensus import op5_html_consensus
+from lookupforge.llm.neardup_embeddings import op2_embedding_lattice
 from lookupforge.llm.secret_ledger import op4_secret_ledger
 from lookupforge.llm.substring_doubling import op8_substring_doubling
 from lookupforge.llm.token_store import op9_token_store
@@ -13,6 +14,7 @@ from lookupforge.llm.viterbi_pieces import op10_viterbi_pieces
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_embedding_lattice": op2_embedding_lattice,
     "op3_toxicity": op3_toxicity,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_html_consensus": op5_html_consensus,
