@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lookupforge.llm.decontaminate import op1_decontaminate
 from lookupforge.llm.html_consensus import op5_html_consensus
+from lookupforge.llm.minhash_paths import op6_minhash_paths
 from lookupforge.llm.neardup_embeddings import op2_embedding_lattice
 from lookupforge.llm.secret_ledger import op4_secret_ledger
 from lookupforge.llm.substring_doubling import op8_substring_doubling
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_html_consensus": op5_html_consensus,
+    "op6_minhash_paths": op6_minhash_paths,
     "op7_url_rules": op7_url_rules,
     "op8_substring_doubling": op8_substring_doubling,
     "op9_token_store": op9_token_store,
