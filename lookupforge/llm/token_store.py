@@ -17,6 +17,7 @@ keys lie side by side and are returned together; an empty table writes no shard
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -40,6 +41,12 @@ _PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker process, so that its cache stays warm."""
+    return Encoder(path)
+
+
 class Encoder:
     """Texts to little-endian uint32 ids, with a bounded cache of pieces."""
 
@@ -140,7 +147,7 @@ def _shard(part: int, seq: int, keys: list, ids: list[bytes], key_type: pa.DataT
 
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    enc, end, part, seq = Encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+    enc, end, part, seq = encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
     keys, ids, size, kind = [], [], 0, None
     for b in batches:
         kind = b.schema.field(0).type
