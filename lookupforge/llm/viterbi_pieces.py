@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lookupforge.llm.common import bound_batches, chunks, table
 
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 900_000
 SHORT = 48
 UNKNOWN_PENALTY = 10.0
 
@@ -90,6 +90,8 @@ class Pieces:
         self.unknown_id = self.kinds.index(2)
         self.ids = {n: i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k in (1, 4)}
         self.longest = max(map(len, self.ids), default=1)
+        #: Every beginning of a piece: its id, or -1.
+        self.begins = {n[:i]: -1 for n in self.ids for i in range(1, len(n))} | self.ids
         self.low = min((s for s, k in zip(self.scores, self.kinds, strict=True) if k == 1), default=0.0) - UNKNOWN_PENALTY
         self.bytes_at = {int(n[3:5], 16): i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k == 6}
         self.pairs = {n[i : i + 2] for n in self.ids for i in range(len(n) - 1)}
@@ -212,19 +214,24 @@ class Encoder:
 
     def _short(self, text: str) -> list[int]:
         """The same search where the whole stretch fits the window."""
-        get, scores, low, n = self.p.ids.get, self.p.scores, self.p.low, len(text)
-        longest, best, back, took = self.p.longest, [None] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+        get, scores, low, n = self.p.begins.get, self.p.scores, self.p.low, len(text)
+        none = -float("inf")
+        best, back, took = [none] * (n + 1), [0] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
         for a in range(n):
-            here = best[a]
-            for z in range(a + 1, min(n, a + longest) + 1):
+            here, one = best[a], True
+            for z in range(a + 1, n + 1):
                 i = get(text[a:z])
-                if i is not None:
+                if i is None:
+                    break
+                if i >= 0:
                     s = here + scores[i]
-                    if best[z] is None or s > best[z]:
+                    if s > best[z]:
                         best[z], back[z], took[z] = s, a, i
-                elif z == a + 1 and (best[z] is None or here + low > best[z]):
-                    best[z], back[z], took[z] = here + low, a, None
+                    if z == a + 1:
+                        one = False
+            if one and here + low > best[a + 1]:  # a character that is no piece
+                best[a + 1], back[a + 1], took[a + 1] = here + low, a, None
         out: list[int] = []
         while n:
             if took[n] is not None:
@@ -247,18 +254,43 @@ class Encoder:
         return np.array(out + self._run(text[a:]), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        known, parts = self.known, self.cut.findall(self.p.prepare(text))
+        known, p = self.known, self.p
         if len(known) > CACHE:
             known.clear()
-        out = []
-        for w in parts:
-            ids = known.get(w)
-            if ids is None:
-                ids = self._stretch(w)
-                if len(w) <= SHORT:
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        if p.words and p.dummy and p.escape and not p.trim and text and SPACE not in text:
+            words = text.split(" ")  # each with the space sign before it
+            if "" not in words:
+                found = list(map(known.get, words))
+                if None in found:
+                    found = [self._stretch_of(w) if x is None else x for w, x in zip(words, found, strict=True)]
+                return b"".join(found)
+        return b"".join(self._stretch(w) for w in self.cut.findall(p.prepare(text)))
+
+    def _stretch_of(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self._stretch(SPACE + word)
+            if len(word) < SHORT:
+                self.known[word] = ids
+        return ids
+
+
+class Decoder:
+    """Ids to UTF-8 bytes, a document at a time, as one gather over the pieces' bytes."""
+
+    def __init__(self, pieces: Pieces):
+        raw = [b"" if k == 3 else bytes([int(n[3:5], 16)]) if k == 6 else " \u2047 ".encode() if k == 2 else n.replace(SPACE, " ").encode() for n, k in zip(pieces.names, pieces.kinds, strict=True)]
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        self.size = np.array([len(r) for r in raw])
+        self.start = np.cumsum(self.size) - self.size
+        self.dummy = pieces.dummy
+
+    def decode(self, ids: bytes) -> bytes:
+        i = np.frombuffer(ids, "<u4")
+        size = self.size[i]
+        end = np.cumsum(size)
+        out = self.data[np.arange(end[-1] if len(i) else 0) + np.repeat(self.start[i] - (end - size), size)].tobytes()
+        return out[1:] if self.dummy and out[:1] == b" " else out
 
 
 @functools.cache
@@ -268,18 +300,12 @@ def encoder(model: str) -> Encoder:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], model: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    enc, names = encoder(model), {}
-    pieces = enc.p
-    for i, (n, k) in enumerate(zip(pieces.names, pieces.kinds, strict=True)):
-        names[i] = bytes([int(n[3:5], 16)]) if k == 6 else n.replace(SPACE, " ").encode()
-    table_ = [names[i] for i in range(len(pieces.names))]
+    enc = encoder(model)
+    dec = Decoder(enc.p)
     for b, _, _ in chunks(batches, "text"):
         texts = b.column(1).to_pylist()
         ids = [enc.encode(t) if t else b"" for t in texts]
-        back = []
-        for t, x in zip(texts, ids, strict=True):
-            raw = b"".join(map(table_.__getitem__, np.frombuffer(x, "<u4").tolist()))
-            back.append(raw[1:] == t.encode() if t and pieces.dummy else raw == (t or "").encode())
+        back = [dec.decode(x) == (t or "").encode() for t, x in zip(texts, ids, strict=True)]
         cols = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(back, pa.bool_())]
         out = ["key", "n_pieces", "ids_crc32", "round_trip"]
         if keep_ids:
