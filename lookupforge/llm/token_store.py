@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lookupforge.llm.common import bound_batches, mix, new_dir, table
 
 SHARD_IDS = 1 << 20
-CACHE_PIECES = 300_000
+CACHE_PIECES = 900_000
 END_ID = 2
 GAMMA = 1.5
 
@@ -40,6 +40,9 @@ GAMMA = 1.5
 _PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
+#: A space before white space; texts that have one are cut into pieces throughout.
+_RUNS = ("  ", " \n", " \t", " \r", " \x0b", " \x0c")
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
@@ -56,20 +59,65 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # what stands between two single spaces, with the first
+        self.line = self.tok.encode("\n", add_special_tokens=False).ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _lines(self, new: list[str]) -> list[bytes]:
+        """Many strings without white space but a first space, one a line of a longer text: a line end before them is a
+        piece of its own."""
+        if len(self.line) != 1:
+            return self._whole(new)
+        out: list[bytes] = []
+        blocks = [new[a : a + 512] for a in range(0, len(new), 512)]
+        for block, e in zip(blocks, self.tok.encode_batch_fast(["\n".join(b) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            ends = [*(np.flatnonzero(ids == self.line[0]) * 4).tolist(), 4 * len(ids)]
+            if len(ends) != len(block):
+                out += self._whole(block)
+                continue
+            raw, a = ids.tobytes(), 0
+            for z in ends:
+                out.append(raw[a:z])
+                a = z + 4
+        return out
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Plain texts by their pieces."""
+        cut = [_PIECE.findall(t) for t in texts]
+        new = list({p for c in cut for p in c if p not in self.pieces})
+        self.pieces.update(zip(new, self._whole(new), strict=True))
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        cut = [_PIECE.findall(t) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        new = list({p for c in cut if c for p in c if p not in self.known})
-        self.known.update(zip(new, self._whole(new), strict=True))
-        get = self.known.__getitem__
-        other = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(other) if c is None else b"".join(map(get, c)) for c in cut]
+        """A space before a character that isn't white space starts a piece, so single-spaced texts split there."""
+        for cache in (self.spaced, self.pieces):
+            if len(cache) > CACHE_PIECES:
+                cache.clear()
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        split = [t.split(" ") if ok and not t.endswith(" ") and not any(x in t for x in _RUNS) else None for t, ok in zip(texts, plain, strict=True)]
+        heads = iter(self._cut([c.pop(0) for c in split if c]))
+        got = [list(map(self.spaced.get, c)) if c is not None else None for c in split]
+        new = {w for c, g in zip(split, got, strict=True) if g and None in g for w, x in zip(c, g, strict=True) if x is None}
+        lines = [w for w in new if len(w.split()) > 1 or w[-1].isspace()]
+        new.difference_update(lines)
+        self.spaced.update(zip(new, self._lines([" " + w for w in new]), strict=True))
+        once = dict(zip(lines, self._cut([" " + w for w in lines]), strict=True))
+        others = iter(self._cut([t for t, ok, c in zip(texts, plain, split, strict=True) if ok and c is None]))
+        rest = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
+        out = []
+        for ok, c, g in zip(plain, split, got, strict=True):
+            if g is None:
+                out.append(next(others if ok else rest))
+                continue
+            if None in g:
+                g = [self.spaced[w] if x is None and w not in once else once[w] if x is None else x for w, x in zip(c, g, strict=True)]
+            out.append(next(heads) + b"".join(g))
+        return out
 
 
 # ---------------------------------------------------------------- minimal perfect hash
