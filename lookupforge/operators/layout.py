@@ -14,6 +14,8 @@ from lookupforge.functions.ids import div, local_id, round_up, shard_id
 from lookupforge.specs import Topology
 from lookupforge.specs import round_up as up
 
+#: Ids of places that only align. Fixed value.
+PAD = (1 << 31) - 1
 PARTITION = ("local_sc", "bucket", "global_sc")
 
 
@@ -97,6 +99,26 @@ def row_pointers(placed: DataFrame, topology: Topology, local_scs: int, capacity
     return full.select("local_sc", "slot", F.least(start + F.col("ids"), F.lit(capacity)).alias("pointer"))
 
 
+def csr_rows(placed: DataFrame, capacity: int, batch_per_sc: int, padding: bool = True) -> DataFrame:
+    """(local_sc, position, embedding_id, sample_id, gain): the buffer of each source. Places that only align a partition hold
+    ``PAD`` ids and a NaN gain."""
+    own = fit_buffer(placed, capacity).select("local_sc", "position", F.col("local_id").alias("embedding_id"), F.pmod(F.col("row"), F.lit(batch_per_sc)).alias("sample_id"), F.col("gain").cast("double").alias("gain"))
+    if not padding:
+        return own
+    ends = partition_offsets(partition_stats(placed)).where(F.pmod("ids", F.lit(8)) != 0)
+    gap = F.explode(F.sequence(F.col("start") + F.col("ids"), F.col("start") + round_up(F.col("ids"), 8) - 1))
+    pads = ends.select("local_sc", gap.alias("position")).where(F.col("position") < capacity)
+    return own.union(pads.select("local_sc", "position", F.lit(PAD).alias("embedding_id"), F.lit(PAD).alias("sample_id"), F.lit(float("nan")).alias("gain")))
+
+
+def pack_minibatches(rows: DataFrame, sc_per_device: int) -> DataFrame:
+    """(device, local_sc, minibatch, global_sc, ids, start): where each minibatch's partitions begin in the device's shared
+    buffer, sources and minibatches in order, every partition rounded up to 8. A device has a bounded number of partitions."""
+    stats = rows.groupBy("local_sc", "minibatch", "global_sc").agg(F.count("*").alias("ids")).withColumn("device", div(F.col("local_sc"), sc_per_device))
+    w = Window.partitionBy("device").orderBy("local_sc", "minibatch", "global_sc").rowsBetween(Window.unboundedPreceding, -1)
+    return stats.withColumn("start", F.coalesce(F.sum(round_up(F.col("ids"), 8)).over(w), F.lit(0)))
+
+
 def sorted_within_sources(placed: DataFrame, partitions: int | None = None) -> DataFrame:
     """Physical order of the layout: sources apart, rows by bucket, shard, local id, row."""
     apart = placed.repartition(partitions, "local_sc") if partitions else placed.repartition("local_sc")

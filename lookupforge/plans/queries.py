@@ -325,6 +325,12 @@ def static_overflow(spark: SparkSession, d: str) -> DataFrame:
     return L.fit_buffer(placed(spark, d), 8000).select("local_sc", "global_sc", "row", "id", "position")
 
 
+@query(f"WITH {PLACED}, {STATS}, {OFFSETS}, {RANKED}, b AS (SELECT r.local_sc, (\"start\" + rank - 1)::BIGINT AS position, local_id AS embedding_id, row % (n // {SCS}) AS sample_id, {rsql('gain', 'gain')} FROM ranked r JOIN offsets o ON r.local_sc = o.local_sc AND r.global_sc = o.global_sc, n UNION ALL SELECT local_sc, unnest(range(\"start\" + ids, \"start\" + (ids + 7) // 8 * 8)), 2147483647, 2147483647, NULL FROM offsets) SELECT * FROM b WHERE position < 8000")
+def csr_layout(spark: SparkSession, d: str) -> DataFrame:
+    csr = L.csr_rows(placed(spark, d), 8000, _orders_count(spark, d) // SCS)
+    return rounded(csr.withColumn("gain", F.when(~F.isnan("gain"), F.col("gain"))), "gain").withColumn("embedding_id", F.col("embedding_id").cast("long")).withColumn("sample_id", F.col("sample_id").cast("long"))
+
+
 @query(f"WITH {PLACED} SELECT local_sc, global_sc, local_id, row, row_number() OVER (PARTITION BY local_sc ORDER BY bucket, global_sc, local_id, row) AS position FROM placed")
 def sorted_coo(spark: SparkSession, d: str) -> DataFrame:
     """Position in the source's order: the partition's start (unaligned) and the rank in it."""
@@ -572,6 +578,14 @@ def init_rows(spark: SparkSession, d: str) -> DataFrame:
     return rounded(explode_vectors(S.init_table(spark, 100, 8, lambda r, i: r + i / 1000), "id"), "value")
 
 
+@query(f"WITH t AS (SELECT n_name AS tab, n_regionkey AS stack, ((n_nationkey % 5 + 1) * 3 + 7) // 8 * 8 AS dim, (n_nationkey + 1) * 16 AS samples FROM nation) SELECT stack, sum(samples)::BIGINT AS samples, sum(dim * ((samples + {G - 1}) // {G}) * 4)::BIGINT AS bytes FROM t GROUP BY 1")
+def activation_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Samples and activation bytes per shard of each stack, from the specs as a relation."""
+    n = F.col("n_nationkey").cast("long")
+    t = read(spark, d, "nation").select(F.col("n_regionkey").alias("stack"), I.round_up((n % 5 + 1) * 3, 8).alias("dim"), ((n + 1) * 16).alias("samples"))
+    return t.groupBy("stack").agg(F.sum("samples").alias("samples"), F.sum(F.col("dim") * I.div(F.col("samples") + (G - 1), G) * 4).alias("bytes"))
+
+
 # ---------------------------------------------------------------- minibatches
 BUCKETED = PLACED.replace("0 AS bucket", "id % 64 AS bucket")
 COUNTS = f"{STATS}, grid AS (SELECT l.x AS local_sc, s.x AS global_sc, b.x AS bucket FROM (SELECT DISTINCT local_sc AS x FROM stats) l, (SELECT DISTINCT global_sc AS x FROM stats) s, range(64) b(x)), cnt AS (SELECT grid.local_sc, grid.global_sc, grid.bucket, coalesce(ids, 0) AS ids, coalesce(unique_ids, 0) AS unique_ids FROM grid LEFT JOIN stats USING (local_sc, global_sc, bucket))"
@@ -613,6 +627,15 @@ def minibatch_assignment(spark: SparkSession, d: str) -> DataFrame:
     return M.assignment(M.global_mask(bucketed(spark, d), *SPLIT_LIMITS).select("mask"))
 
 
+ASSIGN = "bb AS (SELECT b.x AS b, 64 - (64 >> lv) + (b.x >> (lv + 1)) AS bit FROM range(1, 64) b(x), LATERAL (SELECT (bit_count((b.x & -b.x) - 1))::INTEGER AS lv)), cuts AS (SELECT b FROM bb JOIN bits USING (bit)), asg AS (SELECT k.x AS bucket, (SELECT count(*) FROM cuts WHERE b <= k.x) AS minibatch FROM range(64) k(x))"
+
+
+@query(f"WITH {BUCKETED}, {COUNTS}, {_mask_sql()}, {ASSIGN}, p AS (SELECT local_sc // 2 AS device, local_sc, minibatch, global_sc, count(*) AS ids FROM placed JOIN asg USING (bucket) GROUP BY ALL) SELECT device, local_sc, minibatch, global_sc, ids, coalesce(sum((ids + 7) // 8 * 8) OVER (PARTITION BY device ORDER BY local_sc, minibatch, global_sc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"start\" FROM p")
+def minibatch_packing(spark: SparkSession, d: str) -> DataFrame:
+    b = bucketed(spark, d)
+    return L.pack_minibatches(M.with_minibatch(b, M.global_mask(b, *SPLIT_LIMITS).select("mask")), 2)
+
+
 @query(SQL["lookup_sum"])
 def minibatch_equivalence(spark: SparkSession, d: str) -> DataFrame:
     """Sums of each minibatch's lookups: what a single pass gives."""
