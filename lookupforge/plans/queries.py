@@ -21,9 +21,10 @@ from lookupforge.operators import stats as ST
 from lookupforge.operators.lookup import explode_vectors, lookup
 from lookupforge.operators.optimizers import initial_slots
 from lookupforge.operators.update import gradient_sums, merge, touched, with_slots
+from lookupforge.plans import preprocess as PP
 from lookupforge.plans import training as T
 from lookupforge.sources import text as X
-from lookupforge.specs import Optimizer, Quantization, TableSpec, Topology
+from lookupforge.specs import FeatureSpec, Optimizer, Quantization, TableSpec, Topology
 
 DIM, SCS = 64, 4
 TOPOLOGY = Topology(devices=2, sc_per_device=4)
@@ -645,6 +646,20 @@ def minibatch_equivalence(spark: SparkSession, d: str) -> DataFrame:
     return rounded(each.groupBy("sample", "d").agg(F.sum("value").alias("value")), "value")
 
 
+@query(SQL["lookup_two_features"])
+def preprocess_and_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Two features of one table, stacked, placed, looked up and taken apart: what each alone gives."""
+    n, rows_ = _orders_count(spark, d), read(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    spec = TableSpec("embeddings", rows_, DIM, "mean", max_ids_per_partition=1 << 40, max_unique_ids_per_partition=1 << 40)
+    stack, top = S.stack_tables([spec], TOPOLOGY), Topology(devices=2, sc_per_device=4, local_devices=1)
+    features = {f: FeatureSpec(f, "embeddings", (n, 1), (n, DIM)) for f in ("parts", "suppliers")}
+    pre = PP.preprocess({"parts": PP.Rows(parts(spark, d), n), "suppliers": PP.Rows(suppliers(spark, d), n)}, features, [stack], top)
+    table = PP.stacked_ids(stack, top, S.stack_and_shard({"embeddings": vectors(spark, d)}, stack, top, 0.0))
+    act = lookup(pre.rows, table, DIM, ("row",))
+    back = C.union_features({f: PP.feature_rows(pre, act, f, stack, n, top) for f in features})
+    return rounded(explode_vectors(back, "feature", "sample"), "value")
+
+
 # ---------------------------------------------------------------- state across steps
 def _batches(spark: SparkSession, d: str) -> list[DataFrame]:
     """All rows, dealt into three batches by sample."""

@@ -20,6 +20,7 @@ from lookupforge.operators import stacking as S
 from lookupforge.operators import stats as ST
 from lookupforge.operators import update as U
 from lookupforge.operators.lookup import lookup, sequence_lookup
+from lookupforge.plans import preprocess as PP
 from lookupforge.plans import training as T
 from lookupforge.sources import checkpoint as K
 from lookupforge.sources import stats_files as SF
@@ -194,6 +195,59 @@ def test_minibatches_keep_limits(spark, counts):
     assert len(sums) == df.select(F.bit_count("mask")).first()[0] + 1
 
 
+# ---------------------------------------------------------------- whole batches
+def model(batches, spec_of, vocab_offset, rotation, combiner, g, slices):
+    """Plain version: {(row, id in the stack): gain}, with split-then-stack rows."""
+    offset, out = 0, {}
+    total = sum(len(b) for b in batches.values())
+    for name in sorted(batches):
+        n = len(batches[name])
+        for sample, ids in enumerate(batches[name]):
+            per = n // slices
+            row = sample // per * (total // slices) + offset // slices + sample % per
+            for i in ids:
+                t = spec_of[name]
+                at = (i + rotation[t]) % g + i // g * g + vocab_offset[t] * g
+                out[row, at] = out.get((row, at), 0) + {"sum": 1, "mean": 1 / len(ids), "sqrtn": 1 / len(ids) ** 0.5}[combiner]
+        offset += n
+    return out
+
+
+@pytest.mark.parametrize("combiner", P.COMBINERS)
+def test_preprocess_model(spark, combiner):
+    r = random.Random(3)
+    top, vocab = P.Topology(2, 2, local_devices=1), {"a": 40, "b": 90}
+    batches = {n: [[r.randrange(vocab[t]) for _ in range(r.randrange(6))] for _ in range(8)] for n, t in (("x", "a"), ("y", "b"), ("z", "a"))}
+    tables = {n: spec(n, v, 8, combiner=combiner) for n, v in vocab.items()}
+    st_ = stack(tables.values(), top)
+    feats = {n: P.FeatureSpec(n, t, (8, 1), (8, 8)) for n, t in (("x", "a"), ("y", "b"), ("z", "a"))}
+    given = {n: PP.Arrays(spark.createDataFrame(list(enumerate(b)), "sample long, ids array<long>"), 8) for n, b in batches.items()}
+    given["z"] = PP.Coordinates(spark.createDataFrame([(s, p, i) for s, ids in enumerate(batches["z"]) for p, i in enumerate(ids)], "sample long, pos long, id long"), 8)
+    pre = PP.preprocess(given, feats, [st_], top)
+    place = {p.table: p for p in st_.tables}
+    want = model(batches, {n: f.table for n, f in feats.items()}, {t: p.row_offset_in_shard for t, p in place.items()}, {t: p.rotation for t, p in place.items()}, combiner, top.num_scs, top.local_scs)
+    got = {(x.row, x.id): x.gain for x in pre.rows.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert pre.minibatches == 1 and pre.dropped.agg(F.sum("dropped")).first()[0] == 0
+    per: dict = {}
+    for row, i in want:
+        per.setdefault((row // (24 // top.local_scs), i % top.num_scs), []).append(i)
+    assert rows(pre.stats.select("local_sc", "global_sc", "ids", "unique_ids")) == sorted((*k, len(v), len(set(v))) for k, v in per.items())
+    small_ = dataclasses.replace(st_, max_ids_per_partition=2, max_unique_ids_per_partition=2)
+    with pytest.raises(ValueError):
+        PP.preprocess(given, feats, [small_], top)
+    cut = PP.preprocess(given, feats, [small_], top, allow_id_dropping=True)
+    assert cut.rows.agg(F.sum("n_raw")).first()[0] + cut.dropped.agg(F.sum("dropped")).first()[0] == sum(len(i) for b in batches.values() for i in b)
+    mid = dataclasses.replace(st_, max_ids_per_partition=12, max_unique_ids_per_partition=12)
+    split = PP.preprocess(given, feats, [mid], top, enable_minibatching=True)
+    assert split.minibatches > 1 and {(x.row, x.id): x.gain for x in split.rows.collect()}.keys() <= got.keys()
+    assert split.rows.groupBy("local_sc", "minibatch", "global_sc").count().agg(F.max("count")).first()[0] <= 12
+    with pytest.raises(ValueError):
+        PP.preprocess({"x": given["x"]}, feats, [st_], top)
+    with pytest.raises(ValueError):
+        PP.preprocess(given, feats, [], top)
+
+
 # ---------------------------------------------------------------- optimizers
 TABLE = [(i, [float(i + 1)] * 8) for i in range(32)]
 
