@@ -8,8 +8,9 @@ nodes are split, with at least 0.93, so three trees miss at most 3 pairs in 10,0
 
 Only components are asked for, so a pair that is connected already is not compared again. Round 1 compares the small nodes,
 and the large ones in blocks that all hold the node's pivot; it contracts groups of near copies, however large, at linear
-cost. Round 2 branches only the large nodes that still hold several components. What is still large at the last level is
-compared in blocks, cut anew in every tree. Links are confirmed on the whole sets (48-bit shingle hashes); signatures only
+cost. Round 2 takes only the large nodes that still hold several components: where one component makes up all but ``2 * LEAF``
+of a node, the others meet each block of it; other nodes branch. What is still large and mixed at the last level is compared
+in blocks, cut anew in every tree. Links are confirmed on the whole sets (48-bit shingle hashes); signatures only
 spare comparisons that are more than four standard deviations from the threshold.
 
 No group goes to one task, no pair is sent: tasks return a forest. Defined cases: null texts and texts without words have an
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, connected, grams, groups, mix, stage, table
+from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, connected, grams, groups, mix, stage, table, tidy
 
 COORDS, TREES, BRANCH, LEAF, DEPTH = 64, 3, 2, 200, 5
 #: Signature agreements below which a pair is not compared: 4 standard deviations under the threshold.
@@ -149,6 +150,14 @@ def _blocks(nodes: DataFrame, large: DataFrame, leaf: int) -> DataFrame:
     return cut.union(large.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("rep")))
 
 
+def _against(nodes: DataFrame, settled: DataFrame) -> DataFrame:
+    """Nodes that hold one large component and few others: the others meet each block of the component."""
+    x = nodes.join(settled.select("node", F.col("comp").alias("top"), "blocks"), "node")
+    own = F.array(F.pmod(F.xxhash64("node", "rep"), F.col("blocks")).cast("int"))
+    blocks = F.when(F.col("comp") == F.col("top"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return x.select("node", F.explode(blocks).alias("block"), "rep")
+
+
 # ---------------------------------------------------------------- comparison
 def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Forest edges (u, v) of each node or block, over pairs whose sets are similar and that aren't connected yet."""
@@ -185,6 +194,7 @@ def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
                     own[own == own[k]] = own[i]
         if u:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    tidy()
 
 
 def _compare(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,24 +225,30 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     roots = connected(edges, "documents-1")
 
     # Round 2: large nodes with several components, level by level.
-    large = sizes.where(F.col("n") > LEAF).select("node", "n")
+    large = sizes.where(F.col("n") > LEAF)
     if large.limit(1).count():
         again = stage(classes.drop("comp").join(roots.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "set-classes")
-        level = stage(again.select("rep", "comp", "sig").mapInArrow(_roots, _NODE).join(large.select("node"), "node", "left_semi"), "level-1")
-        found = None
+        level, found = again.select("rep", "comp", "sig").mapInArrow(_roots, _NODE).join(large.select("node"), "node"), None
         for depth in range(2, DEPTH + 2):
-            sizes = stage(_sizes(level).where(F.col("n") > LEAF) if depth == 2 else _sizes(level), f"nodes-{depth}")
-            if depth > 2:
+            level = stage(level, f"level-{depth}")
+            sizes = stage(_sizes(level), f"nodes-{depth}")
+            if depth > 2:  # the first level's small nodes have been compared
                 leafs = level.join(_small(sizes, LEAF), "node").select("node", F.lit(0).alias("block"), "rep")
                 found = leafs if found is None else found.union(leafs)
-            large = sizes.where(F.col("n") > LEAF)
-            if not large.limit(1).count():
+            large = sizes.where(F.col("n") > LEAF).groupBy("n", "f1", "f2").agg(F.min("node").alias("node"), F.min("pivot").alias("pivot")).select("node", "pivot")
+            counts = level.join(large.select("node"), "node").groupBy("node", "comp").agg(F.count("*").alias("c"))
+            tops = counts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n")).where(F.col("top.c") < F.col("n"))
+            tops = stage(tops.join(large, "node").select("node", "pivot", "n", F.col("top.comp").alias("comp"), F.ceil(F.col("top.c") / LEAF).cast("int").alias("blocks"), (F.col("n") - F.col("top.c") <= 2 * LEAF).alias("settled")), f"large-{depth}")
+            if not tops.limit(1).count():
                 break
+            settled = _against(level, tops.where("settled"))
+            found = settled if found is None else found.union(settled)
+            large = tops.where("not settled")
             if depth == DEPTH + 1:
                 found = found.union(_blocks(level.select("node", "rep"), large, LEAF))
                 break
             open_ = level.join(large.select("node"), "node").join(again.select("rep", "sig"), "rep").select("node", "rep", "comp", "sig")
-            level = stage(open_.mapInArrow(_branch, _NODE), f"level-{depth}")
+            level = open_.mapInArrow(_branch, _NODE)
         if found is not None:
             more = stage(_compare(stage(found, "members-2"), again, sets, percent), "edges-2")
             if more.limit(1).count():
