@@ -6,6 +6,8 @@ sum over the bytes gives every word's 64-bit hash without a Python object per wo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; one longer document still makes one chunk.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -180,6 +182,39 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             z = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
             yield b.slice(a, z - a), data[off[a] : off[z]], off[a : z + 1] - off[a]
             a = z
+    tidy()
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a worker process serves many tasks, and what it holds counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+class WordTable:
+    """A bounded table of results by word: the first ``most`` words stay, later ones share a smaller part that is emptied when
+    it is full. Frequent words come early, so most lookups hit either way."""
+
+    def __init__(self, most: int):
+        self.most, self.kept, self.passing = most, {}, {}
+
+    def get(self, word: str) -> bytes | None:
+        found = self.kept.get(word)
+        return self.passing.get(word) if found is None else found
+
+    def find(self, words: list[str]) -> list[bytes | None]:
+        if not self.passing:
+            return list(map(self.kept.get, words))
+        return [b if a is None else a for a, b in zip(map(self.kept.get, words), map(self.passing.get, words), strict=True)]
+
+    def add(self, word: str, value: bytes) -> None:
+        if len(self.kept) < self.most:
+            self.kept[word] = value
+            return
+        if len(self.passing) >= self.most // 3:
+            self.passing = {}
+        self.passing[word] = value
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

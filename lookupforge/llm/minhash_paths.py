@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, connected, grams, groups, mix, stage, table, tidy
+from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, components, connected, grams, groups, mix, stage, table, tidy
 
 COORDS, TREES, BRANCH, LEAF, DEPTH = 64, 3, 2, 200, 5
 #: Signature agreements below which a pair is not compared: 4 standard deviations under the threshold.
@@ -74,7 +74,7 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         n, sig = np.diff(cut), signatures(h, cut)
         total = lambda x: np.append(np.uint64(0), np.cumsum(x, dtype=np.uint64))
         k1, k2 = (np.diff(total(x)[cut]).view(np.int64) for x in (mix(h), mix(h ^ np.uint64(0x5BD1E9955BD1E995))))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "n", "k1", "k2", "sig"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary())], names=["id", "n", "k1", "k2", "sig", "brief"])
 
 
 def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +159,47 @@ def _against(nodes: DataFrame, settled: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- comparison
-def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Forest edges (u, v) of each node or block, over pairs whose sets are similar and that aren't connected yet."""
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(f1, f2, rep): within each node or block, the clusters of classes that their signatures (a byte a coordinate) call
+    similar and that aren't connected yet. A cluster goes by a hash of its members, so that one met in several nodes is one."""
     p = percent / 100
     least = COORDS * p - SLACK * np.sqrt(COORDS * p * (1 - p))
     for t in groups(batches, 2):
         if len(t) < 2:
             continue
+        rep, n = t["rep"].to_numpy(), t["n"].to_numpy()
+        own = np.unique(t["comp"].to_numpy(), return_inverse=True)[1]
+        if own.max() == 0:
+            continue
+        brief = np.frombuffer(b"".join(t["brief"].to_pylist()), np.uint8).reshape(-1, COORDS)
+        a, z = [], []
+        for i in range(len(rep) - 1):
+            j = np.flatnonzero((brief[i + 1 :] == brief[i]).sum(axis=1) >= least) + i + 1
+            j = j[(own[j] != own[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            a.append(np.full(len(j), i))
+            z.append(j)
+        a, z = np.concatenate(a), np.concatenate(z)
+        if not len(a):
+            continue
+        some = np.unique(np.concatenate([a, z]))
+        root = components(len(rep), a, z)[some]
+        of, h = np.unique(root, return_inverse=True)[1], mix(rep[some].view(np.uint64))
+        f = []
+        for x in (h, mix(h ^ np.uint64(0x5BD1E9955BD1E995))):
+            total = np.zeros(of.max() + 1, np.uint64)
+            np.add.at(total, of, x)
+            f.append(pa.array(total.view(np.int64)[of]))
+        yield pa.RecordBatch.from_arrays([*f, pa.array(rep[some])], names=["f1", "f2", "rep"])
+    tidy()
+
+
+def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Forest edges (u, v) of each cluster, over pairs whose sets are similar and that aren't connected yet."""
+    p = percent / 100
+    least = COORDS * p - SLACK * np.sqrt(COORDS * p * (1 - p))
+    for t in groups(batches, 2):
         rep, comp = t["rep"].to_numpy(), t["comp"].to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, COORDS)
+        brief = np.frombuffer(b"".join(t["brief"].to_pylist()), np.uint8).reshape(-1, COORDS)
         packed = t["members"].to_pylist()
         n = np.array([len(x) // 6 for x in packed])
         sets: dict[int, np.ndarray] = {}
@@ -176,7 +208,7 @@ def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         for i in range(len(rep) - 1):
             j = np.arange(i + 1, len(rep))
             j = j[own[j] != own[i]]
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= least]
+            j = j[(brief[j] == brief[i]).sum(axis=1) >= least]
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             if not len(j):
                 continue
@@ -197,10 +229,31 @@ def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
     tidy()
 
 
-def _compare(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges within the (node, block) groups of ``members``."""
-    full = members.join(classes.select("rep", "comp", "sig"), "rep").join(sets, "rep").select("node", "block", "rep", "comp", "sig", "members")
-    return full.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(lambda it: _link(it, percent), "u long, v long")
+class _Sets:
+    """Whole shingle sets of the classes that are asked for, made once."""
+
+    def __init__(self, rows: DataFrame, size: int):
+        self.blobs = rows.where("id is not null").mapInArrow(_press, "rep long, blob binary")
+        self.size, self.made = size, None
+
+    def of(self, members: DataFrame) -> DataFrame:
+        need = members.select("rep").distinct()
+        if self.made is not None:
+            need = stage(need.join(self.made.select("rep"), "rep", "left_anti"), "reps")
+        size = self.size
+        new = stage(self.blobs.join(need, "rep", "left_semi").mapInArrow(lambda it: _sets(it, size), "rep long, members binary"), "sets")
+        self.made = new if self.made is None else self.made.union(new)
+        return self.made
+
+
+def _compare(members: DataFrame, classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Edges within the (node, block) groups of ``members``: signatures choose clusters, whole sets confirm links."""
+    known = members.join(classes.select("rep", "comp", "n", "brief"), "rep")
+    sorted_ = known.select("node", "block", "rep", "comp", "n", "brief").repartition("node", "block").sortWithinPartitions("node", "block")
+    clusters = stage(sorted_.mapInArrow(lambda it: _candidates(it, percent), "f1 long, f2 long, rep long").distinct(), "clusters")
+    full = clusters.join(sets.of(clusters), "rep").join(classes.select("rep", "comp", "brief"), "rep")
+    full = full.select("f1", "f2", "rep", "comp", "brief", "members").repartition("f1", "f2").sortWithinPartitions("f1", "f2")
+    return full.mapInArrow(lambda it: _link(it, percent), "u long, v long")
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
@@ -209,9 +262,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = stage(rows.mapInArrow(lambda it: _sign(it, size), "id long, n long, k1 long, k2 long, sig binary"), "signatures")
+    signed = stage(rows.mapInArrow(lambda it: _sign(it, size), "id long, n long, k1 long, k2 long, sig binary, brief binary"), "signatures")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
-    classes = signed.where(linked).groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    classes = signed.where(linked).groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
     classes = stage(classes.withColumn("comp", F.col("rep")), "set-classes")
 
     # Round 1: the first level of all trees.
@@ -219,8 +272,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     sizes = stage(_sizes(nodes), "nodes-1")
     small = nodes.join(_small(sizes, LEAF), "node").select("node", F.lit(0).alias("block"), "rep")
     members = stage(small.union(_blocks(nodes.select("node", "rep"), sizes.where(F.col("n") > LEAF), LEAF)), "members-1")
-    blobs = rows.where("id is not null").mapInArrow(_press, "rep long, blob binary")
-    sets = stage(blobs.join(members.select("rep").distinct(), "rep", "left_semi").mapInArrow(lambda it: _sets(it, size), "rep long, members binary"), "sets")
+    sets = _Sets(rows, size)
     edges = stage(_compare(members, classes, sets, percent), "edges-1")
     roots = connected(edges, "documents-1")
 
