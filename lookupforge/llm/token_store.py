@@ -25,14 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import bound_batches, mix, new_dir, table
+from lookupforge.llm.common import WordTable, bound_batches, mix, new_dir, table, tidy
 
 SHARD_IDS = 1 << 20
-CACHE_PIECES = 900_000
+CACHE_WORDS = 400_000
+#: Texts encoded at once.
+RUN = 512
 END_ID = 2
 GAMMA = 1.5
 
@@ -59,8 +62,8 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.spaced = WordTable(CACHE_WORDS)  # what stands between two single spaces, with the first
         self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # what stands between two single spaces, with the first
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -93,31 +96,43 @@ class Encoder:
         get = self.pieces.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
+    def _spaced(self, texts: list[str]) -> list[bytes]:
+        """Plain texts whose words stand one space apart. Each distinct word of the run is looked up once; the documents' ids
+        are then one gather."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        off = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        index, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        ids = self.spaced.find(words)
+        new = [i for i, x in enumerate(ids) if x is None]
+        lines = [i for i in new if len(words[i].split()) > 1 or words[i][-1].isspace()]
+        odd = set(lines)
+        new = [i for i in new if i not in odd]
+        for i, x in zip(lines, self._cut([" " + words[i] for i in lines]), strict=True):
+            ids[i] = x
+        for i, x in zip(new, self._lines([" " + words[i] for i in new]), strict=True):
+            ids[i] = x
+            self.spaced.add(words[i], x)
+        first = index[off[:-1]]  # a text's first word has no space before it
+        index[off[:-1]] = len(ids) + np.arange(len(texts))
+        ids += self._cut([words[i] for i in first.tolist()])
+        all_ids = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        n = size[index]
+        upto = np.append(0, np.cumsum(n))
+        whole = all_ids[np.arange(upto[-1]) + np.repeat(start[index] - upto[:-1], n)].tobytes()
+        cut = (4 * upto[off]).tolist()
+        return [whole[a:z] for a, z in zip(cut, cut[1:])]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """A space before a character that isn't white space starts a piece, so single-spaced texts split there."""
-        for cache in (self.spaced, self.pieces):
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
+        if len(self.pieces) > CACHE_WORDS // 2:
+            self.pieces.clear()
         plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        split = [t.split(" ") if ok and not t.endswith(" ") and not any(x in t for x in _RUNS) else None for t, ok in zip(texts, plain, strict=True)]
-        heads = iter(self._cut([c.pop(0) for c in split if c]))
-        got = [list(map(self.spaced.get, c)) if c is not None else None for c in split]
-        new = {w for c, g in zip(split, got, strict=True) if g and None in g for w, x in zip(c, g, strict=True) if x is None}
-        lines = [w for w in new if len(w.split()) > 1 or w[-1].isspace()]
-        new.difference_update(lines)
-        self.spaced.update(zip(new, self._lines([" " + w for w in new]), strict=True))
-        once = dict(zip(lines, self._cut([" " + w for w in lines]), strict=True))
-        others = iter(self._cut([t for t, ok, c in zip(texts, plain, split, strict=True) if ok and c is None]))
-        rest = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        out = []
-        for ok, c, g in zip(plain, split, got, strict=True):
-            if g is None:
-                out.append(next(others if ok else rest))
-                continue
-            if None in g:
-                g = [self.spaced[w] if x is None and w not in once else once[w] if x is None else x for w, x in zip(c, g, strict=True)]
-            out.append(next(heads) + b"".join(g))
-        return out
+        kind = [2 if not ok else 1 if not t or t[0] == " " or t[-1] == " " or any(x in t for x in _RUNS) else 0 for t, ok in zip(texts, plain, strict=True)]
+        done = [iter(f([t for t, k in zip(texts, kind, strict=True) if k == want])) for want, f in enumerate((self._spaced, self._cut, self._whole))]
+        return [next(done[k]) for k in kind]
 
 
 # ---------------------------------------------------------------- minimal perfect hash
@@ -200,8 +215,8 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
     for b in batches:
         kind = b.schema.field(0).type
         texts = b.column(1).to_pylist()
-        for a in range(0, len(texts), 64):
-            for k, x in zip(b.column(0).slice(a, 64).to_pylist(), enc.encode([t or "" for t in texts[a : a + 64]]), strict=True):
+        for a in range(0, len(texts), RUN):
+            for k, x in zip(b.column(0).slice(a, RUN).to_pylist(), enc.encode([t or "" for t in texts[a : a + RUN]]), strict=True):
                 # A key's documents stay in one shard, so that its slot covers them all.
                 if size >= SHARD_IDS * 4 and k != keys[-1]:
                     yield _shard(part, seq, keys, ids, kind)
@@ -211,6 +226,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
                 size += len(ids[-1])
     if keys:
         yield _shard(part, seq, keys, ids, kind)
+    tidy()
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
