@@ -51,15 +51,26 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors. ``scratch`` notes the
+    path, for tables that are of no use once what was made of them has been written."""
     spark = df.sparkSession
     path = new_dir(spark, name)
+    if scratch is not None:
+        scratch.append(path)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def remove(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete staged tables, through the file system that Spark itself writes to."""
+    for path in scratch:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    scratch.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -276,22 +287,26 @@ def connected(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     bound_batches(spark)
+    scratch: list[str] = []
     e = edges.selectExpr("cast(u as long) u", "cast(v as long) v").where("u is not null and v is not null and u <> v")
     e = e.mapInArrow(_local_forest, "u long, v long")
-    e = stage(e.selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), f"{name}-edges")
+    e = stage(e.selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), f"{name}-edges", scratch)
     for _ in range(most_rounds):
         # Large star: every larger neighbour of u goes to the smallest id known at u.
         both = e.union(e.selectExpr("v u", "u v"))
-        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low")
+        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low", scratch)
         big = e.selectExpr("v u", "u v")  # u < v: the larger neighbours of u
-        e2 = stage(big.join(low, "u").selectExpr("v u", "m v").where("u <> v").distinct(), f"{name}-large")
+        e2 = stage(big.join(low, "u").selectExpr("v u", "m v").where("u <> v").distinct(), f"{name}-large", scratch)
         # Small star: u and its smaller neighbours all go to the smallest of them.
-        low2 = stage(e2.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
+        low2 = stage(e2.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small", scratch)
         moved = e2.join(low2, "u").selectExpr("v u", "m v").where("u <> v")
-        e3 = stage(moved.union(low2.selectExpr("u", "m v")).distinct(), f"{name}-edges")
+        made: list[str] = []
+        e3 = stage(moved.union(low2.selectExpr("u", "m v")).distinct(), f"{name}-edges", made)
         same = e3.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         was = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         e = e3
+        remove(spark, scratch)
+        scratch += made
         if tuple(same) == tuple(was):
             break
     else:

@@ -10,8 +10,11 @@ Only components are asked for, so a pair that is connected already is not compar
 and the large ones in blocks that all hold the node's pivot; it contracts groups of near copies, however large, at linear
 cost. Round 2 takes only the large nodes that still hold several components: where one component makes up all but ``2 * LEAF``
 of a node, the others meet each block of it; other nodes branch. What is still large and mixed at the last level is compared
-in blocks, cut anew in every tree. Links are confirmed on the whole sets (48-bit shingle hashes); signatures only
-spare comparisons that are more than four standard deviations from the threshold.
+in blocks, cut anew in every tree.
+
+Comparing has two steps. Within a node, signatures (a byte a coordinate) call pairs similar that are less than four standard
+deviations below the threshold; such pairs make clusters, and a cluster that several nodes have in common is taken once. Only
+the members of clusters get their whole sets (48-bit shingle hashes), on which links are confirmed.
 
 No group goes to one task, no pair is sent: tasks return a forest. Defined cases: null texts and texts without words have an
 empty set and link with nothing; texts shorter than a shingle are one shingle; rows that share an id are one document;
@@ -25,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, components, connected, grams, groups, mix, stage, table, tidy
+from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, components, connected, grams, groups, mix, remove, stage, table, tidy
 
 COORDS, TREES, BRANCH, LEAF, DEPTH = 64, 3, 2, 200, 5
 #: Signature agreements below which a pair is not compared: 4 standard deviations under the threshold.
@@ -103,14 +106,13 @@ def _unpack(six: bytes) -> np.ndarray:
 
 # ---------------------------------------------------------------- trees
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First-level nodes: (node, rep, comp)."""
+    """First-level nodes, a row for each child of each tree's root."""
     for b in batches:
-        rep, comp = b.column(0), b.column(1)
-        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, COORDS)
+        sig = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32).reshape(-1, COORDS)
         for t in range(TREES):
             root = np.full(len(b), mix(np.array([t + 1], np.uint64) * np.uint64(0xD1342543DE82EF95))[0])
             for node in _children(root, sig):
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), rep, comp], names=["node", "rep", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *b.columns[:4]], names=list(_COLUMNS))
 
 
 def _children(node: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
@@ -124,12 +126,15 @@ def _children(node: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, COORDS)
+        sig = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint32).reshape(-1, COORDS)
         for node in _children(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), sig):
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column(1), b.column(2)], names=["node", "rep", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *b.columns[1:5]], names=list(_COLUMNS))
 
 
-_NODE = "node long, rep long, comp long"
+_NODE = "node long, rep long, comp long, n long, brief binary"
+_COLUMNS = ("node", "rep", "comp", "n", "brief")
+#: What a member takes to its node or block.
+_MEMBER = ("node", "block", "rep", "comp", "n", "brief")
 
 
 def _sizes(nodes: DataFrame) -> DataFrame:
@@ -143,24 +148,32 @@ def _small(sizes: DataFrame, leaf: int) -> DataFrame:
     return sizes.where(F.col("n") <= leaf).groupBy("n", "f1", "f2").agg(F.min("node").alias("node")).select("node")
 
 
+def _whole(nodes: DataFrame, small: DataFrame) -> DataFrame:
+    return nodes.join(small.hint("merge"), "node").withColumn("block", F.lit(0)).select(*_MEMBER)
+
+
+def _dealt(x: DataFrame, everywhere: Column) -> DataFrame:
+    """Members go to a block by hash, those for which ``everywhere`` holds to all blocks of their node."""
+    own = F.array(F.pmod(F.xxhash64("node", "rep"), F.col("blocks")).cast("int"))
+    blocks = F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+    return x.withColumn("block", F.explode(blocks)).select(*_MEMBER)
+
+
 def _blocks(nodes: DataFrame, large: DataFrame, leaf: int) -> DataFrame:
-    """Members of large nodes cut into blocks by hash, and the pivot in each block."""
+    """Members of large nodes cut into blocks, and the pivot in each block."""
     large = large.select("node", "pivot", F.ceil(F.col("n") / leaf).cast("int").alias("blocks"))
-    cut = nodes.join(large, "node").where(F.col("rep") != F.col("pivot")).select("node", F.pmod(F.xxhash64("node", "rep"), F.col("blocks")).cast("int").alias("block"), "rep")
-    return cut.union(large.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("rep")))
+    return _dealt(nodes.join(large.hint("merge"), "node"), F.col("rep") == F.col("pivot"))
 
 
 def _against(nodes: DataFrame, settled: DataFrame) -> DataFrame:
     """Nodes that hold one large component and few others: the others meet each block of the component."""
-    x = nodes.join(settled.select("node", F.col("comp").alias("top"), "blocks"), "node")
-    own = F.array(F.pmod(F.xxhash64("node", "rep"), F.col("blocks")).cast("int"))
-    blocks = F.when(F.col("comp") == F.col("top"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return x.select("node", F.explode(blocks).alias("block"), "rep")
+    x = nodes.join(settled.select("node", F.col("comp").alias("top"), "blocks").hint("merge"), "node")
+    return _dealt(x, F.col("comp") != F.col("top"))
 
 
 # ---------------------------------------------------------------- comparison
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(f1, f2, rep): within each node or block, the clusters of classes that their signatures (a byte a coordinate) call
+    """(f1, f2, rep, comp, brief): within each node or block, the clusters of classes that their signatures (a byte a coordinate) call
     similar and that aren't connected yet. A cluster goes by a hash of its members, so that one met in several nodes is one."""
     p = percent / 100
     least = COORDS * p - SLACK * np.sqrt(COORDS * p * (1 - p))
@@ -189,7 +202,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
             total = np.zeros(of.max() + 1, np.uint64)
             np.add.at(total, of, x)
             f.append(pa.array(total.view(np.int64)[of]))
-        yield pa.RecordBatch.from_arrays([*f, pa.array(rep[some])], names=["f1", "f2", "rep"])
+        own_rows = t.select(["rep", "comp", "brief"]).take(pa.array(some)).combine_chunks()
+        yield pa.RecordBatch.from_arrays([*f, *(c.combine_chunks() for c in own_rows.columns)], names=["f1", "f2", "rep", "comp", "brief"])
     tidy()
 
 
@@ -232,28 +246,27 @@ def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
 class _Sets:
     """Whole shingle sets of the classes that are asked for, made once."""
 
-    def __init__(self, rows: DataFrame, size: int):
+    def __init__(self, rows: DataFrame, size: int, scratch: list[str]):
+        self.scratch = scratch
         self.blobs = rows.where("id is not null").mapInArrow(_press, "rep long, blob binary")
         self.size, self.made = size, None
 
     def of(self, members: DataFrame) -> DataFrame:
         need = members.select("rep").distinct()
         if self.made is not None:
-            need = stage(need.join(self.made.select("rep"), "rep", "left_anti"), "reps")
+            need = stage(need.join(self.made.select("rep"), "rep", "left_anti"), "reps", self.scratch)
         size = self.size
-        new = stage(self.blobs.join(need, "rep", "left_semi").mapInArrow(lambda it: _sets(it, size), "rep long, members binary"), "sets")
+        new = stage(self.blobs.join(need.hint("merge"), "rep", "left_semi").mapInArrow(lambda it: _sets(it, size), "rep long, members binary"), "sets", self.scratch)
         self.made = new if self.made is None else self.made.union(new)
         return self.made
 
 
-def _compare(members: DataFrame, classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+def _compare(members: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """Edges within the (node, block) groups of ``members``: signatures choose clusters, whole sets confirm links."""
-    known = members.join(classes.select("rep", "comp", "n", "brief"), "rep")
-    sorted_ = known.select("node", "block", "rep", "comp", "n", "brief").repartition("node", "block").sortWithinPartitions("node", "block")
-    clusters = stage(sorted_.mapInArrow(lambda it: _candidates(it, percent), "f1 long, f2 long, rep long").distinct(), "clusters")
-    full = clusters.join(sets.of(clusters), "rep").join(classes.select("rep", "comp", "brief"), "rep")
-    full = full.select("f1", "f2", "rep", "comp", "brief", "members").repartition("f1", "f2").sortWithinPartitions("f1", "f2")
-    return full.mapInArrow(lambda it: _link(it, percent), "u long, v long")
+    met = members.select(*_MEMBER).repartition("node", "block").sortWithinPartitions("node", "block")
+    clusters = stage(met.mapInArrow(lambda it: _candidates(it, percent), "f1 long, f2 long, rep long, comp long, brief binary").distinct(), "clusters", sets.scratch)
+    full = clusters.join(sets.of(clusters).hint("merge"), "rep").select("f1", "f2", "rep", "comp", "brief", "members")
+    return full.repartition("f1", "f2").sortWithinPartitions("f1", "f2").mapInArrow(lambda it: _link(it, percent), "u long, v long")
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
@@ -265,44 +278,44 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     signed = stage(rows.mapInArrow(lambda it: _sign(it, size), "id long, n long, k1 long, k2 long, sig binary, brief binary"), "signatures")
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     classes = signed.where(linked).groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
-    classes = stage(classes.withColumn("comp", F.col("rep")), "set-classes")
+    scratch: list[str] = []
+    classes = stage(classes.withColumn("comp", F.col("rep")), "set-classes", scratch)
 
     # Round 1: the first level of all trees.
-    nodes = classes.select("rep", "comp", "sig").mapInArrow(_roots, _NODE)
-    sizes = stage(_sizes(nodes), "nodes-1")
-    small = nodes.join(_small(sizes, LEAF), "node").select("node", F.lit(0).alias("block"), "rep")
-    members = stage(small.union(_blocks(nodes.select("node", "rep"), sizes.where(F.col("n") > LEAF), LEAF)), "members-1")
-    sets = _Sets(rows, size)
-    edges = stage(_compare(members, classes, sets, percent), "edges-1")
+    nodes = classes.select("rep", "comp", "n", "brief", "sig").mapInArrow(_roots, _NODE)
+    sizes = stage(_sizes(nodes), "nodes-1", scratch)
+    members = _whole(nodes, _small(sizes, LEAF)).union(_blocks(nodes, sizes.where(F.col("n") > LEAF), LEAF))
+    sets = _Sets(rows, size, scratch)
+    edges = stage(_compare(members, sets, percent), "edges-1", scratch)
     roots = connected(edges, "documents-1")
 
     # Round 2: large nodes with several components, level by level.
     large = sizes.where(F.col("n") > LEAF)
     if large.limit(1).count():
-        again = stage(classes.drop("comp").join(roots.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "set-classes")
-        level, found = again.select("rep", "comp", "sig").mapInArrow(_roots, _NODE).join(large.select("node"), "node"), None
+        again = stage(classes.drop("comp").join(roots.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "set-classes", scratch)
+        level, found = again.select("rep", "comp", "n", "brief", "sig").mapInArrow(_roots, _NODE).join(large.select("node").hint("merge"), "node").select(*_COLUMNS), None
         for depth in range(2, DEPTH + 2):
-            level = stage(level, f"level-{depth}")
-            sizes = stage(_sizes(level), f"nodes-{depth}")
+            level = stage(level, f"level-{depth}", scratch)
+            sizes = stage(_sizes(level), f"nodes-{depth}", scratch)
             if depth > 2:  # the first level's small nodes have been compared
-                leafs = level.join(_small(sizes, LEAF), "node").select("node", F.lit(0).alias("block"), "rep")
+                leafs = _whole(level, _small(sizes, LEAF))
                 found = leafs if found is None else found.union(leafs)
             large = sizes.where(F.col("n") > LEAF).groupBy("n", "f1", "f2").agg(F.min("node").alias("node"), F.min("pivot").alias("pivot")).select("node", "pivot")
             counts = level.join(large.select("node"), "node").groupBy("node", "comp").agg(F.count("*").alias("c"))
             tops = counts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n")).where(F.col("top.c") < F.col("n"))
-            tops = stage(tops.join(large, "node").select("node", "pivot", "n", F.col("top.comp").alias("comp"), F.ceil(F.col("top.c") / LEAF).cast("int").alias("blocks"), (F.col("n") - F.col("top.c") <= 2 * LEAF).alias("settled")), f"large-{depth}")
+            tops = stage(tops.join(large, "node").select("node", "pivot", "n", F.col("top.comp").alias("comp"), F.ceil(F.col("top.c") / LEAF).cast("int").alias("blocks"), (F.col("n") - F.col("top.c") <= 2 * LEAF).alias("settled")), f"large-{depth}", scratch)
             if not tops.limit(1).count():
                 break
             settled = _against(level, tops.where("settled"))
             found = settled if found is None else found.union(settled)
             large = tops.where("not settled")
             if depth == DEPTH + 1:
-                found = found.union(_blocks(level.select("node", "rep"), large, LEAF))
+                found = found.union(_blocks(level, large, LEAF))
                 break
-            open_ = level.join(large.select("node"), "node").join(again.select("rep", "sig"), "rep").select("node", "rep", "comp", "sig")
+            open_ = level.join(large.select("node"), "node").join(again.select("rep", "sig"), "rep").select(*_COLUMNS, "sig")
             level = open_.mapInArrow(_branch, _NODE)
         if found is not None:
-            more = stage(_compare(stage(found, "members-2"), again, sets, percent), "edges-2")
+            more = stage(_compare(found, sets, percent), "edges-2", scratch)
             if more.limit(1).count():
                 roots = connected(edges.union(more), "documents-2")
 
@@ -310,14 +323,16 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     # Rows without a set get keys of their own, so that they don't meet in one task.
     alone = ~F.coalesce(linked, F.lit(False))
     own = signed.select("id", "n", alone.alias("alone"), F.when(alone, F.xxhash64(F.lit("none"), "id")).otherwise(F.col("k1")).alias("k1"), F.when(alone, 0).otherwise(F.col("k2")).alias("k2"))
-    out = own.join(stage(whole, "roots"), ["k1", "k2"], "left")
+    whole = stage(whole, "roots")
+    remove(spark, scratch)
+    out = own.join(whole, ["k1", "k2"], "left")
     component = F.when(F.col("alone"), F.col("id")).otherwise(F.col("root"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with its own columns; of rows that repeat a kept id, one. Null ids stay."""
-    kept = link_documents(docs, key, text, size, percent).where("kept").select(F.col(key).alias("__key")).distinct()
+    kept = stage(link_documents(docs, key, text, size, percent).where("kept").select(F.col(key).alias("__key")).distinct(), "kept")
     some = docs.where(F.col(key).isNotNull())
     some = some.join(kept, some[key] == kept["__key"], "left_semi").dropDuplicates([key])
     return some.unionByName(docs.where(F.col(key).isNull()))
