@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import ALNUM, Words, bound_batches, chunks, new_dir, table
+from lookupforge.llm.common import ALNUM, Words, bound_batches, chunks, new_dir, remove, stage, table, tidy
 
 WINDOW = 13
 #: Phrases sent to the tasks at once: at most this many terms (8 bytes each).
@@ -203,13 +203,14 @@ def _mark(batches: Iterator[pa.RecordBatch], block: dict) -> Iterator[pa.RecordB
                 for d, p in set(zip(seg.doc_of(start).tolist(), who.tolist(), strict=True)):
                     found[d].update(ids[p])
             state = pa.array([[(d, sorted(x)) for d, x in sorted(found.items())]], pa.map_(pa.int32(), pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays([*row.columns[:6], pa.array([zlib.compress(hit.tobytes(), 1)], pa.binary()), state], names=[*row.schema.names[:6], "covered", "items"])
+            hit = pa.array([zlib.compress(hit.tobytes(), 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*row.columns[:6], hit, state], names=[*row.schema.names[:6], "covered", "items"])
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(len(batch)):
-            ids, doc_start, covered, items = batch.column(0).slice(i, 1).flatten(), *(batch.column(k)[i].as_py() for k in (1, 2, 3))
+            ids, doc_start, covered, items = batch.column(3).slice(i, 1).flatten(), *(batch.column(k)[i].as_py() for k in (4, 6, 7))
             first = np.frombuffer(doc_start, "<i4").astype(np.int64)
             hit = np.frombuffer(zlib.decompress(covered), np.uint8) if covered else np.zeros(first[-1], np.uint8)
             n_hit = np.diff(np.append(0, np.cumsum(hit, dtype=np.int64))[first])
@@ -224,6 +225,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     d = int(np.searchsorted(first, x, "right")) - 1
                     spans[d].append({"start": x - int(first[d]), "end": y - int(first[d])})
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first)), pa.array(n_hit), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["key", "n_words", "n_hit", "items", "spans"])
+    tidy()
 
 
 def find_phrases(index: DataFrame, items: DataFrame, item_key: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -234,11 +236,14 @@ def find_phrases(index: DataFrame, items: DataFrame, item_key: str = "item_id",
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
     state = _SEGMENT.format(k=kind) + ", covered binary, items map<int,array<string>>"
     marked = index.withColumn("covered", F.lit(None).cast("binary")).withColumn("items", F.lit(None).cast("map<int,array<string>>"))
-    for block in phrase_blocks(items, item_key, text, size):
-        if block:
-            sent = spark.sparkContext.broadcast(block)  # at most BLOCK_TERMS terms
-            marked = marked.mapInArrow(lambda it, s=sent: _mark(it, s.value), state)
-    return marked.select("doc_ids", "doc_start", "covered", "items").mapInArrow(_report, f"key {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    blocks = phrase_blocks(items, item_key, text, size)
+    block = next(blocks)
+    for later in blocks:
+        sent = spark.sparkContext.broadcast(block)  # at most BLOCK_TERMS terms
+        marked = marked.mapInArrow(lambda it, s=sent: _mark(it, s.value), state)
+        block = later
+    last = spark.sparkContext.broadcast(block)
+    return marked.mapInArrow(lambda it: _report(_mark(it, last.value)), f"key {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
 def _near(batches: Iterator[pa.RecordBatch], phrases: list[tuple[str, np.ndarray]], slop: int) -> Iterator[pa.RecordBatch]:
@@ -280,8 +285,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     """The documents without contamination, with their own columns. Keys go with the text's hash, so that rows that share
     an id are judged each by its own text; of a key and text that repeats, all rows share the verdict."""
     keyed = docs.withColumn("__key", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(text)))
-    index = build_index(keyed.select("__key", text), new_dir(docs.sparkSession, "postings"), "__key", text)
-    bad = find_phrases(index, items).where(contaminated()).select(F.col("key").alias("__key")).distinct()
+    postings = new_dir(docs.sparkSession, "postings")
+    index = build_index(keyed.select("__key", text), postings, "__key", text)
+    bad = stage(find_phrases(index, items).where(contaminated()).select(F.col("key").alias("__key")).distinct(), "contaminated")
+    remove(docs.sparkSession, [postings])
     return keyed.join(bad, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

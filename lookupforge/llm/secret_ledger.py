@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import bound_batches, new_dir, table
+from lookupforge.llm.common import bound_batches, new_dir, table, tidy
 
 RULE_VERSION = "1"
 _KEYWORDS = ("password", "passwd", "secret", "token", "api")
@@ -73,6 +73,7 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sha.append(d)
                 blob.append(press.compress(raw))
         yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(blob, pa.binary())], names=["sha", "blob"])
+    tidy()
 
 
 _LEDGER = "sha binary, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -93,6 +94,7 @@ def _scan(batches: Iterator[pa.RecordBatch], version: str) -> Iterator[pa.Record
                 col.append(x)
         kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in _LEDGER.split(", ")])
+    tidy()
 
 
 def scan_versions(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION, fresh: bool = False) -> DataFrame:
@@ -132,6 +134,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBa
             texts = [_redact(t, s) if s and t else t for t, s in zip(b.column(at).to_pylist(), spans, strict=True)]
             b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
         yield pa.RecordBatch.from_arrays(b.columns[:-1], schema=pa.schema(list(b.schema)[:-1]))
+    tidy()
 
 
 def redact_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import bound_batches, chunks, table
+from lookupforge.llm.common import WordTable, bound_batches, chunks, table
 
 SPACE = "▁"
-CACHE = 900_000
+CACHE = 300_000
 SHORT = 48
 UNKNOWN_PENALTY = 10.0
 
@@ -202,7 +202,7 @@ class Encoder:
     """Whole texts to little-endian uint32 ids."""
 
     def __init__(self, pieces: Pieces):
-        self.p, self.known, self.window = pieces, {}, 0
+        self.p, self.known, self.window = pieces, WordTable(CACHE), 0
         # Cut before every run of space signs, which starts a piece; other sure cuts are looked for inside long stretches.
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if pieces.words else re.compile(r".+", re.DOTALL)
 
@@ -255,12 +255,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         known, p = self.known, self.p
-        if len(known) > CACHE:
-            known.clear()
         if p.words and p.dummy and p.escape and not p.trim and text and SPACE not in text:
             words = text.split(" ")  # each with the space sign before it
             if "" not in words:
-                found = list(map(known.get, words))
+                found = known.find(words)
                 if None in found:
                     found = [self._stretch_of(w) if x is None else x for w, x in zip(words, found, strict=True)]
                 return b"".join(found)
@@ -271,7 +269,7 @@ class Encoder:
         if ids is None:
             ids = self._stretch(SPACE + word)
             if len(word) < SHORT:
-                self.known[word] = ids
+                self.known.add(word, ids)
         return ids
 
 
