@@ -143,6 +143,13 @@ def _sizes(nodes: DataFrame) -> DataFrame:
     return x.where((F.col("n") > 1) & (F.col("low") != F.col("high"))).drop("low", "high")
 
 
+def _shares(level: DataFrame) -> DataFrame:
+    """The same with each node's largest component (``top``: c members of comp); members are summed by component first."""
+    each = level.groupBy("node", "comp").agg(F.count("*").alias("c"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("f2"))
+    x = each.groupBy("node").agg(F.sum("c").alias("n"), F.min("pivot").alias("pivot"), F.max(F.struct("c", "comp")).alias("top"), F.bit_xor("f1").alias("f1"), F.sum("f2").cast("string").alias("f2"))
+    return x.where(F.col("top.c") < F.col("n"))
+
+
 def _small(sizes: DataFrame, leaf: int) -> DataFrame:
     """Small nodes, one of each set of members."""
     return sizes.where(F.col("n") <= leaf).groupBy("n", "f1", "f2").agg(F.min("node").alias("node")).select("node")
@@ -284,35 +291,36 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     # Round 1: the first level of all trees.
     nodes = classes.select("rep", "comp", "n", "brief", "sig").mapInArrow(_roots, _NODE)
     sizes = stage(_sizes(nodes), "nodes-1", scratch)
-    members = _whole(nodes, _small(sizes, LEAF)).union(_blocks(nodes, sizes.where(F.col("n") > LEAF), LEAF))
+    large = sizes.where(F.col("n") > LEAF).select("node", "pivot", "n")
+    level = stage(nodes.join(large.select("node").hint("merge"), "node").select(*_COLUMNS), "level-1", scratch)
+    members = _whole(nodes, _small(sizes, LEAF)).union(_blocks(level, large, LEAF))
     sets = _Sets(rows, size, scratch)
     edges = stage(_compare(members, sets, percent), "edges-1", scratch)
     roots = connected(edges, "documents-1")
 
     # Round 2: large nodes with several components, level by level.
-    large = sizes.where(F.col("n") > LEAF)
     if large.limit(1).count():
-        again = stage(classes.drop("comp").join(roots.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "set-classes", scratch)
-        level, found = again.select("rep", "comp", "n", "brief", "sig").mapInArrow(_roots, _NODE).join(large.select("node").hint("merge"), "node").select(*_COLUMNS), None
+        now = roots.select(F.col("node").alias("rep"), F.col("root").alias("now"))
+        level = level.join(now, "rep", "left").withColumn("comp", F.coalesce("now", "comp")).select(*_COLUMNS)
+        found = None
         for depth in range(2, DEPTH + 2):
             level = stage(level, f"level-{depth}", scratch)
-            sizes = stage(_sizes(level), f"nodes-{depth}", scratch)
+            sizes = stage(_shares(level), f"nodes-{depth}", scratch)
             if depth > 2:  # the first level's small nodes have been compared
                 leafs = _whole(level, _small(sizes, LEAF))
                 found = leafs if found is None else found.union(leafs)
-            large = sizes.where(F.col("n") > LEAF).groupBy("n", "f1", "f2").agg(F.min("node").alias("node"), F.min("pivot").alias("pivot")).select("node", "pivot")
-            counts = level.join(large.select("node"), "node").groupBy("node", "comp").agg(F.count("*").alias("c"))
-            tops = counts.groupBy("node").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n")).where(F.col("top.c") < F.col("n"))
-            tops = stage(tops.join(large, "node").select("node", "pivot", "n", F.col("top.comp").alias("comp"), F.ceil(F.col("top.c") / LEAF).cast("int").alias("blocks"), (F.col("n") - F.col("top.c") <= 2 * LEAF).alias("settled")), f"large-{depth}", scratch)
-            if not tops.limit(1).count():
+            large = sizes.where(F.col("n") > LEAF).groupBy("n", "f1", "f2").agg(F.min(F.struct("node", "pivot", "top")).alias("x")).select("x.*", "n")
+            settled = F.col("n") - F.col("top.c") <= 2 * LEAF
+            large = stage(large.select("node", "pivot", "n", F.col("top.comp").alias("comp"), F.ceil(F.col("top.c") / LEAF).cast("int").alias("blocks"), settled.alias("settled")), f"large-{depth}", scratch)
+            if not large.limit(1).count():
                 break
-            settled = _against(level, tops.where("settled"))
-            found = settled if found is None else found.union(settled)
-            large = tops.where("not settled")
+            alone = _against(level, large.where("settled"))
+            found = alone if found is None else found.union(alone)
+            large = large.where("not settled")
             if depth == DEPTH + 1:
                 found = found.union(_blocks(level, large, LEAF))
                 break
-            open_ = level.join(large.select("node"), "node").join(again.select("rep", "sig"), "rep").select(*_COLUMNS, "sig")
+            open_ = level.join(large.select("node").hint("merge"), "node").join(classes.select("rep", "sig"), "rep").select(*_COLUMNS, "sig")
             level = open_.mapInArrow(_branch, _NODE)
         if found is not None:
             more = stage(_compare(found, sets, percent), "edges-2", scratch)
