@@ -10,11 +10,13 @@ Only components are asked for, so a pair that is connected already is not compar
 and the large ones in blocks that all hold the node's pivot; it contracts groups of near copies, however large, at linear
 cost. Round 2 takes only the large nodes that still hold several components: where one component makes up all but ``2 * LEAF``
 of a node, the others meet each block of it; other nodes branch. What is still large and mixed at the last level is compared
-in blocks, cut anew in every tree.
+whole: cut into blocks of at most about ``TILE`` classes, every two of which meet in a tile, so that no pair of a node is left out.
+The work on such nodes (of texts filled from one template, say) grows with the square of their size.
 
 Comparing has two steps. Within a node, signatures (a byte a coordinate) call pairs similar that are less than four standard
 deviations below the threshold; such pairs make clusters, and a cluster that several nodes have in common is taken once. Only
-the members of clusters get their whole sets (48-bit shingle hashes), on which links are confirmed.
+the members of clusters get their whole sets (48-bit shingle hashes), on which links are confirmed: pair by pair at first, and
+where a cluster has many pairs that don't link, by one product of its members' shared shingles.
 
 No group goes to one task, no pair is sent: tasks return a forest. Defined cases: null texts and texts without words have an
 empty set and link with nothing; texts shorter than a shingle are one shingle; rows that share an id are one document;
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, components, connected, grams, groups, mix, remove, stage, table, tidy
 
 COORDS, TREES, BRANCH, LEAF, DEPTH = 64, 3, 2, 200, 5
+#: Blocks of the nodes that are large at the last level: classes, and shingles of all their sets.
+TILE, TILE_SHINGLES = 500, 1 << 20
 #: Signature agreements below which a pair is not compared: 4 standard deviations under the threshold.
 SLACK = 4.0
 
@@ -144,9 +148,10 @@ def _sizes(nodes: DataFrame) -> DataFrame:
 
 
 def _shares(level: DataFrame) -> DataFrame:
-    """The same with each node's largest component (``top``: c members of comp); members are summed by component first."""
-    each = level.groupBy("node", "comp").agg(F.count("*").alias("c"), F.min("rep").alias("pivot"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("f2"))
-    x = each.groupBy("node").agg(F.sum("c").alias("n"), F.min("pivot").alias("pivot"), F.max(F.struct("c", "comp")).alias("top"), F.bit_xor("f1").alias("f1"), F.sum("f2").cast("string").alias("f2"))
+    """The same with each node's shingles (``s``) for its pivot, and its largest component (``top``: c members of comp);
+    members are summed by component first."""
+    each = level.groupBy("node", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).alias("f2"))
+    x = each.groupBy("node").agg(F.sum("c").alias("n"), F.sum("s").alias("s"), F.max(F.struct("c", "comp")).alias("top"), F.bit_xor("f1").alias("f1"), F.sum("f2").cast("string").alias("f2"))
     return x.where(F.col("top.c") < F.col("n"))
 
 
@@ -178,6 +183,15 @@ def _against(nodes: DataFrame, settled: DataFrame) -> DataFrame:
     return _dealt(x, F.col("comp") != F.col("top"))
 
 
+def _tiles(nodes: DataFrame, large: DataFrame) -> DataFrame:
+    """Members of large nodes cut into blocks, each block with each other one: all pairs of a node meet."""
+    large = large.select("node", F.ceil(F.greatest(F.col("n") / TILE, F.col("s") / TILE_SHINGLES)).cast("long").alias("blocks"))
+    x = nodes.join(large.hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("node", "rep"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: (j != F.col("own")) | (F.col("blocks") == 1))
+    tile = F.transform(others, lambda j: F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own")))
+    return x.withColumn("block", F.explode(tile)).select(*_MEMBER)
+
+
 # ---------------------------------------------------------------- comparison
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(f1, f2, rep, comp, brief): within each node or block, the clusters of classes that their signatures (a byte a coordinate) call
@@ -214,6 +228,24 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     tidy()
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common."""
+    all_, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(all_, kind="stable")
+    all_, own = all_[order], own[order]
+    first = np.flatnonzero(np.append(True, all_[1:] != all_[:-1]))
+    n = np.diff(np.append(first, len(all_)))
+    keep = np.repeat(n > 1, n)  # elements of one set alone are shared by none
+    own, col = own[keep], np.repeat(np.arange((n > 1).sum()), n[n > 1])
+    both = np.zeros((len(sets), len(sets)), np.float32)  # whole numbers below 2**24
+    for a in range(0, int((n > 1).sum()), 2048):
+        x, z = np.searchsorted(col, [a, a + 2048])
+        has = np.zeros((len(sets), 2048), np.float32)
+        has[own[x:z], col[x:z] - a] = 1
+        both += has @ has.T
+    return both
+
+
 def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Forest edges (u, v) of each cluster, over pairs whose sets are similar and that aren't connected yet."""
     p = percent / 100
@@ -225,7 +257,7 @@ def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         n = np.array([len(x) // 6 for x in packed])
         sets: dict[int, np.ndarray] = {}
         own = np.unique(comp, return_inverse=True)[1]
-        u, v = [], []
+        u, v, spent, counts = [], [], 0, None
         for i in range(len(rep) - 1):
             j = np.arange(i + 1, len(rep))
             j = j[own[j] != own[i]]
@@ -233,13 +265,20 @@ def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             if not len(j):
                 continue
-            for k in (i, *j.tolist()):
-                if k not in sets:
-                    sets[k] = _unpack(packed[k])
-            mine, cut = sets[i], np.cumsum([0, *(len(sets[k]) for k in j.tolist())])
-            all_ = np.concatenate([sets[k] for k in j.tolist()])
-            hit = mine[np.minimum(np.searchsorted(mine, all_), len(mine) - 1)] == all_
-            both = np.diff(np.append(0, np.cumsum(hit))[cut])
+            spent += len(j)
+            if counts is None and spent > LEAF * LEAF // 2:
+                sets.clear()
+                counts = _shared([_unpack(x) for x in packed])
+            if counts is not None:
+                both = counts[i, j].astype(np.int64)
+            else:
+                for k in (i, *j.tolist()):
+                    if k not in sets:
+                        sets[k] = _unpack(packed[k])
+                mine, cut = sets[i], np.cumsum([0, *(len(sets[k]) for k in j.tolist())])
+                all_ = np.concatenate([sets[k] for k in j.tolist()])
+                hit = mine[np.minimum(np.searchsorted(mine, all_), len(mine) - 1)] == all_
+                both = np.diff(np.append(0, np.cumsum(hit))[cut])
             for k in j[100 * both >= percent * (n[i] + n[j] - both)].tolist():
                 if own[k] != own[i]:
                     u.append(rep[i])
@@ -309,16 +348,16 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
             if depth > 2:  # the first level's small nodes have been compared
                 leafs = _whole(level, _small(sizes, LEAF))
                 found = leafs if found is None else found.union(leafs)
-            large = sizes.where(F.col("n") > LEAF).groupBy("n", "f1", "f2").agg(F.min(F.struct("node", "pivot", "top")).alias("x")).select("x.*", "n")
+            large = sizes.where(F.col("n") > LEAF).groupBy("n", "f1", "f2").agg(F.min(F.struct("node", "s", "top")).alias("x")).select("x.*", "n")
             settled = F.col("n") - F.col("top.c") <= 2 * LEAF
-            large = stage(large.select("node", "pivot", "n", F.col("top.comp").alias("comp"), F.ceil(F.col("top.c") / LEAF).cast("int").alias("blocks"), settled.alias("settled")), f"large-{depth}", scratch)
+            large = stage(large.select("node", "s", "n", F.col("top.comp").alias("comp"), F.ceil(F.col("top.c") / LEAF).cast("int").alias("blocks"), settled.alias("settled")), f"large-{depth}", scratch)
             if not large.limit(1).count():
                 break
             alone = _against(level, large.where("settled"))
             found = alone if found is None else found.union(alone)
             large = large.where("not settled")
             if depth == DEPTH + 1:
-                found = found.union(_blocks(level, large, LEAF))
+                found = found.union(_tiles(level, large))
                 break
             open_ = level.join(large.select("node").hint("merge"), "node").join(classes.select("rep", "sig"), "rep").select(*_COLUMNS, "sig")
             level = open_.mapInArrow(_branch, _NODE)

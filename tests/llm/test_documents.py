@@ -53,3 +53,14 @@ def test_empty(spark):
     assert M.link_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = stage(spark.createDataFrame([(None, "a b c d"), (None, None), (3, "a b c d"), (4, "A B\tC D")], "doc_id long, text string"), "t")
     assert sorted((str(x[0]), x[1], str(x[2]), x[3]) for x in M.link_documents(odd).collect()) == [("3", 1, "3", True), ("4", 1, "3", False), ("None", 0, "None", False), ("None", 1, "None", False)]
+
+
+def test_template_group(spark, monkeypatch):
+    """A group filled from one template, each two just below the threshold, that no branching makes small: its links are found."""
+    for name, n in (("LEAF", 10), ("DEPTH", 1), ("TILE", 70)):
+        monkeypatch.setattr(M, name, n, raising=False)
+    template = [f"t{k}" for k in range(172)]
+    docs = [(i, " ".join(template + [f"p{i // 2 if i < 80 and k < 6 else i + 1000}q{k}" for k in range(26)])) for i in range(300)]
+    want = sorted(brute.op6(docs))
+    assert sum(not k for *_, k in want) == 40
+    assert rows(M.link_documents(stage(spark.createDataFrame(docs, "doc_id long, text string"), "t"))) == want
