@@ -3,8 +3,9 @@
 A document is its set of word shingles, signed by ``COORDS`` minwise tokens. Equal sets are folded into a class first. Each of
 ``TREES`` independent trees branches every node by ``BRANCH`` coordinates that the node's own hash chooses: the members that
 share the chosen token are a child. Nodes of at most ``LEAF`` classes are compared exhaustively; larger ones branch again, to
-``DEPTH`` levels. A pair of similarity 0.8 meets in one tree's first level with probability 1 - 0.2**2 and, however deep its
-nodes are split, with at least 0.93, so three trees miss at most 3 pairs in 10,000 (and 6 in 100,000 at the first level).
+``DEPTH`` levels. All trees use the same coordinates, so they are not independent: over how many of the 64 agree (binomial),
+three trees and the signature screen below miss a pair of similarity 0.8 with probability 1.3e-4 where its nodes are compared
+at the first level, and with 8.8e-4 at most however deep they are split.
 
 Only components are asked for, so a pair that is connected already is not compared again. Round 1 compares the small nodes,
 and the large ones in blocks that all hold the node's pivot; it contracts groups of near copies, however large, at linear
@@ -13,10 +14,11 @@ of a node, the others meet each block of it; other nodes branch. What is still l
 whole: cut into blocks of at most about ``TILE`` classes, every two of which meet in a tile, so that no pair of a node is left out.
 The work on such nodes (of texts filled from one template, say) grows with the square of their size.
 
-Comparing has two steps. Within a node, signatures (a byte a coordinate) call pairs similar that are less than four standard
-deviations below the threshold; such pairs make clusters, and a cluster that several nodes have in common is taken once. Only
-the members of clusters get their whole sets (48-bit shingle hashes), on which links are confirmed: pair by pair at first, and
-where a cluster has many pairs that don't link, by one product of its members' shared shingles.
+Comparing has two steps. Within a node, signatures (a byte a coordinate) call pairs similar that are less than five standard
+deviations below the threshold (a pair of similarity 0.8 is not with probability 4e-6); such pairs make clusters, and a
+cluster that several nodes have in common is taken once. Only the members of clusters get their whole sets (48-bit shingle
+hashes), on which links are confirmed: pair by pair at first, and where a cluster has many pairs that don't link, by one
+product of its members' shared shingles.
 
 No group goes to one task, no pair is sent: tasks return a forest. Defined cases: null texts and texts without words have an
 empty set and link with nothing; texts shorter than a shingle are one shingle; rows that share an id are one document;
@@ -38,8 +40,8 @@ from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, compo
 COORDS, TREES, BRANCH, LEAF, DEPTH = 64, 3, 2, 200, 5
 #: Blocks of the nodes that are large at the last level: classes, and shingles of all their sets.
 TILE, TILE_SHINGLES = 500, 1 << 20
-#: Signature agreements below which a pair is not compared: 4 standard deviations under the threshold.
-SLACK = 4.0
+#: Signature agreements below which a pair is not compared: 5 standard deviations under the threshold.
+SLACK = 5.0
 
 _MULTIPLIERS = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 

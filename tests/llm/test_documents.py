@@ -64,3 +64,11 @@ def test_template_group(spark, monkeypatch):
     want = sorted(brute.op6(docs))
     assert sum(not k for *_, k in want) == 40
     assert rows(M.link_documents(stage(spark.createDataFrame(docs, "doc_id long, text string"), "t"))) == want
+
+
+def test_unlucky_signatures(spark):
+    """Pairs at exactly 0.8 of whose 64 signature bytes only 36 to 38 agree."""
+    docs = [(2 * k + s, " ".join([f"c{k}q{i}" for i in range(43)] + [f"{'xy'[s]}{k}q{i}" for i in range(5)])) for k in (2748, 5440, 6019, 6595, 6854, 8606, 9219, 11709, 12837) for s in (0, 1)]
+    want = sorted(brute.op6(docs))
+    assert sum(k for *_, k in want) == 9
+    assert rows(M.link_documents(stage(spark.createDataFrame(docs, "doc_id long, text string"), "t"))) == want
