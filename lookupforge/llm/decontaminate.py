@@ -10,7 +10,8 @@ Terms are 64-bit hashes of words. A phrase's terms must all agree in order, so a
 words inside a text that otherwise repeats the phrase.
 
 Defined cases: null texts have no words and are never contaminated; items without words are ignored; repeated rows, and
-items that repeat an id, stay and count as one item id; empty tables give empty or clean results; other columns are ignored.
+items that repeat an id, stay and count as one item id; items without an id mark words like others, but no list names them
+(and their proximity matches have a null item); empty tables give empty or clean results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -164,13 +165,14 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def phrase_blocks(items: DataFrame, key: str, text: str, size: int) -> Iterator[dict[int, tuple[np.ndarray, list[str]]]]:
-    """Blocks of the items' windows: length -> (distinct phrases, the item ids of each, comma-joined). Items come to the
-    driver a few at a time, and no block holds more than ``BLOCK_TERMS`` terms (or one item)."""
+    """Blocks of the items' windows: length -> (distinct phrases, the item ids of each, comma-joined;
+    items without an id add none). Items come to the driver a few at a time, and no block holds more than ``BLOCK_TERMS``
+    terms (or one item)."""
     held, terms = defaultdict(dict), 0
-    for row in items.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null and id is not null").toLocalIterator():
+    for row in items.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null").toLocalIterator():
         w = windows(word_hashes([row.text])[0], size)
         for phrase in w:
-            held[w.shape[1]].setdefault(phrase.tobytes(), set()).add(row.id)
+            held[w.shape[1]].setdefault(phrase.tobytes(), set()).update([] if row.id is None else [row.id])
         terms += w.size
         if terms >= BLOCK_TERMS:
             yield _packed(held)
@@ -269,7 +271,7 @@ def find_near(index: DataFrame, items: DataFrame, slop: int, item_key: str = "it
         one = index.mapInArrow(lambda it: _near(it, block, slop), schema)
         return one if out is None else out.union(one)
 
-    for row in items.select(F.col(item_key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null and id is not null").toLocalIterator():
+    for row in items.select(F.col(item_key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null").toLocalIterator():
         block.append((row.id, word_hashes([row.text])[0]))
         terms += len(block[-1][1])
         if terms >= BLOCK_TERMS:

@@ -205,3 +205,17 @@ def test_empty(spark, docs, op):
     else:
         found = viterbi_pieces.encode_documents(none, viterbi_pieces.model_path())
     assert found.count() == 0
+
+
+def test_decontaminate_items_without_id(spark, docs, odd):
+    """They mark words and drop documents, but are not named; an item of the same text keeps its id."""
+    kind = "item_id long, text string"
+    index = decontaminate.build_index(docs, new_dir(spark, "t"))
+    want = {d: (a, b, bad) for d, a, b, _, _, bad in brute.op1(odd, [(1, odd[11][1]), (2, "a b c")])}
+    for items, names in (([(None, odd[11][1]), (None, "a b c")], set()), ([(None, odd[11][1]), (1, odd[11][1]), (None, "a b c")], {"1"})):
+        items = spark.createDataFrame(items, kind)
+        found = decontaminate.find_phrases(index, items).withColumn("bad", decontaminate.contaminated()).collect()
+        assert {r.key: (r.n_words, r.n_hit, r.bad) for r in found} == want
+        assert {i for r in found for i in r["items"]} == names
+        assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {d for d, (*_, bad) in want.items() if not bad}
+    assert (5, None, 0, 3) in rows(decontaminate.find_near(index, spark.createDataFrame([(None, "a b c")], kind), 0))
