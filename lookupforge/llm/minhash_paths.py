@@ -380,10 +380,16 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with its own columns; of rows that repeat a kept id, one. Null ids stay."""
-    kept = stage(link_documents(docs, key, text, size, percent).where("kept").select(F.col(key).alias("__key")).distinct(), "kept")
-    some = docs.where(F.col(key).isNotNull())
-    some = some.join(kept, some[key] == kept["__key"], "left_semi").dropDuplicates([key])
+    """One document of each group, the one of the smallest id, with its own columns. Keys go with the text's hash, so that
+    rows that share an id are judged each by its own text; of a key and text that repeats, one row stays. Null ids stay."""
+    own = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key), F.col(text)))
+    keyed = docs.withColumn("__key", own)
+    linked = link_documents(keyed.select("__key", text), "__key", text, size, percent).where("__key is not null")
+    linked = linked.groupBy("__key").agg(F.min("component_id").alias("component"))
+    ids = keyed.where("__key is not null").groupBy("__key").agg(F.min(key).alias("id"))
+    first = linked.join(ids, "__key").groupBy("component").agg(F.min(F.struct("id", "__key")).alias("x"))
+    kept = stage(first.select("x.__key"), "kept")
+    some = keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
     return some.unionByName(docs.where(F.col(key).isNull()))
 
 

@@ -72,3 +72,15 @@ def test_unlucky_signatures(spark):
     want = sorted(brute.op6(docs))
     assert sum(k for *_, k in want) == 9
     assert rows(M.link_documents(stage(spark.createDataFrame(docs, "doc_id long, text string"), "t"))) == want
+
+
+def test_keep_one_repeated_ids(spark):
+    """Rows that share an id but not their text are judged each by its own text, and link no strangers."""
+    text = lambda p, own=0: " ".join([f"{p}{k}" for k in range(60)] + ["more"] * own)
+    docs = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("a", 1)), (3, text("b", 1)), (4, text("c")), (4, text("c", 1)), (0, text("c", 2)), (5, None), (5, None), (None, text("a")), (None, text("a"))]
+    kept = M.keep_one(stage(spark.createDataFrame(docs, "doc_id long, text string"), "t"))
+    assert sorted(map(str, rows_any(kept))) == sorted(map(str, [(1, text("a")), (1, text("b")), (0, text("c", 2)), (5, None), (None, text("a")), (None, text("a"))]))
+
+
+def rows_any(df):
+    return [tuple(r) for r in df.collect()]
