@@ -1,6 +1,6 @@
 """Main text of HTML pages by consensus host paths.
 
-Pass 1 parses each page, scores its containers (text in own blocks, less link text) and votes for their generalised
+Pass 1 parses each page, scores its containers (text in own blocks, less link text; parents of several that of all) and votes for their generalised
 tag-class paths; votes are summed per (host, path) and each host's best path wins. Pass 2 parses again and takes the blocks
 under the winning path; a page without that path takes its own best container. Votes are pre-aggregated per batch, so a host
 with a third of all pages sends few rows. The winners are broadcast only if they are measured to fit ``BROADCAST_BYTES``;
@@ -38,11 +38,17 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
 _DIGITS = re.compile(r"\d+")
 
+#: What becomes of a container's text: FREED is an article or main inside a part whose label drops it.
+KEPT, FREED, LABELLED, GONE = range(4)
+
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(container path, text, characters in links) of each block of text outside dropped parts, in page order."""
+    """(container path, text, characters in links) of each block of text outside dropped parts, in page order. An article or main
+    inside a part that only its label drops (a wrapper that has-sidebar, say) stays where it is the page's main text: where
+    no other article has text and no main has more of it."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, dropped
+    freed: list[bool] = []  # for each block, whether a label drops a part around its article or main
+    stack: list[tuple[str, str, int]] = [("", "", KEPT)]  # tag, path, state
     parts: list[str] = []
     linked, in_link, at, block = 0, False, 0, ""
 
@@ -50,8 +56,9 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not stack[-1][2] and not (block[:1] != "h" and any(t == "header" for t, _, _ in stack)):
+            if text and stack[-1][2] <= FREED and not (block[:1] != "h" and any(t == "header" for t, _, _ in stack)):
                 out.append((stack[-1][1], text, min(linked, len(text))))
+                freed.append(stack[-1][2] == FREED)
             parts.clear()
         linked = 0
 
@@ -99,24 +106,52 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                     label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".strip() if names else ""
                     kind = ".".join([tag, *sorted(set(_DIGITS.sub("#", names.get("class", "")).split()))])
                     inside = any(t in ("article", "main") for t, _, _ in stack)
-                    dropped = stack[-1][2] or tag in DROPPED or tag == "header" and not inside or tag not in ("html", "body", "article", "main") and bool(label) and bool(BOILER.search(label)) or bool(attrs) and bool(_HIDDEN.search(attrs))
-                    stack.append((tag, f"{stack[-1][1]}/{kind}", dropped))
+                    up, boiler = stack[-1][2], bool(label) and bool(BOILER.search(label))
+                    if up == GONE or tag in DROPPED or tag == "header" and not inside or bool(attrs) and bool(_HIDDEN.search(attrs)):
+                        state = GONE
+                    elif up == LABELLED:
+                        own = tag == "main" or tag == "article" and not any(t == "article" for t, _, _ in stack)
+                        state = FREED if own and not boiler else LABELLED
+                    else:
+                        state = LABELLED if boiler and tag not in ("html", "body", "article", "main") else up
+                    stack.append((tag, f"{stack[-1][1]}/{kind}", state))
     if at < len(page):
         add(page[at:])
     flush()
+    if any(freed):
+        kept = [x for x, f in zip(out, freed, strict=True) if not f]
+        tags = [{p.split(".")[0] for p in path.split("/")} for path, _, _ in kept]
+        inner = sum(len(text) for (_, text, _), t in zip(kept, tags, strict=True) if "main" in t)
+        if any("article" in t for t in tags) or sum(len(x[1]) for x in out) - sum(len(x[1]) for x in kept) <= inner:
+            return kept
     return out
 
 
 def scores(found: list[tuple[str, str, int]]) -> Counter:
-    """Score of each container path on one page: article, main and deeper parents gain the text of their own blocks."""
+    """Score of each container path on one page: text in own blocks; an article or main gains what stands in it, and outside
+    of those a parent below body that holds several containers with text (or one, and text of its own) gains theirs."""
     n: Counter = Counter()
+    whole: Counter = Counter()  # all text under a path
     for path, text, linked in found:
         worth = max(0, len(text) - 2 * linked)
         n[path] += worth
         parts = path.split("/")
-        for i, p in enumerate(parts):  # an article or main gets what stands in it
-            if i < len(parts) - 1 and p.split(".")[0] in ("article", "main"):
-                n["/".join(parts[: i + 1])] += worth
+        tags = [p.split(".")[0] for p in parts]
+        if "article" in tags or "main" in tags:
+            for i in range(len(parts) - 1):
+                if tags[i] in ("article", "main"):
+                    n["/".join(parts[: i + 1])] += worth
+        else:
+            for i in range(len(parts)):
+                if tags[i] not in ("", "html", "body"):
+                    whole["/".join(parts[: i + 1])] += worth
+    most: Counter = Counter()  # the most under one child
+    for path, worth in whole.items():
+        parent = path.rpartition("/")[0]
+        most[parent] = max(most[parent], worth)
+    for path, worth in whole.items():
+        if worth > most[path]:
+            n[path] = worth
     return n
 
 

@@ -107,3 +107,28 @@ def test_winners_too_large_to_broadcast(spark, sf_dir, monkeypatch):
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert H.extract_pages(none).count() == 0 and U.judge_urls(none, U.LIST_RULES).count() == 0
+
+
+def test_parts_of_plain_divs():
+    """Sibling parts of a text in plain divs stay together, whatever their sizes; a container alone keeps its own path."""
+    text = "long text " * 20
+    page = f"<body><div class='content'><div class='intro'><p>intro</p></div><div class='text'><p>{text}</p></div></div></body>"
+    assert H.main_text(H.blocks(page), None) == f"intro\n{text.strip()}"
+    page = f"<body><div class='content'><p>own</p><div class='text'><p>{text}</p></div></div></body>"
+    assert H.main_text(H.blocks(page), None) == f"own\n{text.strip()}"
+    page = f"<body><div class='a'><div class='b'><p>{text}</p></div></div></body>"
+    assert H.scores(H.blocks(page)).most_common(1)[0][0] == "/body/div.a/div.b"
+    page = f"<body><div class='a'><article><p>short</p></article><div class='x'><p>y</p></div></div></body>"
+    assert H.main_text(H.blocks(page), None) == "short"
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "with-sidebar"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_article_in_labelled_wrapper(name, tag):
+    long_ = "card " * 50
+    assert H.main_text(H.blocks(f"<body><div class='{name}'><{tag}><p>Text</p></{tag}><div class='sidebar'><p>{long_}</p></div><p>loose</p></div></body>"), None) == "Text"
+    assert H.main_text(H.blocks(f"<body><main><div class='{name}'><article><p>Text</p><div class='share'><p>x</p></div></article></div></main></body>"), None) == "Text"
+    # What labels drop beside an article stays dropped, as do hidden parts and comments.
+    assert H.main_text(H.blocks(f"<body><main><article><p>Text</p></article><div class='related'><article><p>{long_}</p></article></div></main></body>"), None) == "Text"
+    assert H.main_text(H.blocks(f"<body><div class='x'><p>Text</p></div><div id='comments'><article class='comment'><p>{long_}</p></article></div></body>"), None) == "Text"
+    assert H.main_text(H.blocks(f"<body><p>Text</p><div class='{name}' hidden><{tag}><p>{long_}</p></{tag}></div></body>"), None) == "Text"
