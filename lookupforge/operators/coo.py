@@ -7,7 +7,7 @@ the combiner: the weight (sum), the weight over the sample's sum of weights (mea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookupforge.functions.ids import div
@@ -66,20 +66,26 @@ def validate_ids(coo: DataFrame, vocabulary: int, id_: str = "id") -> DataFrame:
     return coo.withColumn(id_, F.when(ok, F.col(id_)).otherwise(F.raise_error(F.concat(F.lit("id outside the vocabulary: "), F.col(id_).cast("string"))).cast(coo.schema[id_].dataType)))
 
 
+def total_weight(combiner: str, weight: Column) -> Column:
+    """What a sample's weights are divided by, as an aggregate of its raw rows."""
+    if combiner not in COMBINERS:
+        raise ValueError(f"unknown combiner {combiner!r}")
+    return {"sum": F.lit(1.0), "mean": F.sum(weight), "sqrtn": F.sqrt(F.sum(weight * weight))}[combiner]
+
+
 def with_gains(coo: DataFrame, combiner: str, keys: tuple[str, ...] = ("sample",), weight: str = "weight") -> DataFrame:
     """Merged rows (keys, id, gain, n_raw): equal ids of a sample add up.
 
-    Raw rows are pre-aggregated on (keys, id) before any shuffle; the sample's totals are a second aggregate over those and
+    Raw rows are pre-aggregated on (keys, id) before any shuffle; the sample's totals are an aggregate of the raw rows and
     join back on the keys, so a sample with very many ids is never gathered. A zero total gives a null gain.
     """
     if combiner not in COMBINERS:
         raise ValueError(f"unknown combiner {combiner!r}")
     w = F.col(weight).cast("double")
-    merged = coo.groupBy(*keys, "id").agg(F.sum(w).alias("__w"), F.sum(w * w).alias("__w2"), F.count("*").alias("n_raw"))
+    merged = coo.groupBy(*keys, "id").agg(F.sum(w).alias("__w"), F.count("*").alias("n_raw"))
     if combiner == "sum":
         return merged.select(*keys, "id", F.col("__w").alias("gain"), "n_raw")
-    total = F.sum("__w") if combiner == "mean" else F.sqrt(F.sum("__w2"))
-    totals = merged.groupBy(*keys).agg(total.alias("__total"))
+    totals = coo.groupBy(*keys).agg(total_weight(combiner, w).alias("__total"))
     return merged.join(totals, list(keys)).select(*keys, "id", F.try_divide(F.col("__w"), F.col("__total")).alias("gain"), "n_raw")
 
 
@@ -88,7 +94,7 @@ def raw_gains(coo: DataFrame, combiner: str, keys: tuple[str, ...] = ("sample",)
     w = F.col(weight).cast("double")
     if combiner == "sum":
         return coo.withColumn("gain", w)
-    totals = coo.groupBy(*keys).agg((F.sum(w) if combiner == "mean" else F.sqrt(F.sum(w * w))).alias("__total"))
+    totals = coo.groupBy(*keys).agg(total_weight(combiner, w).alias("__total"))
     return coo.join(totals, list(keys)).withColumn("gain", F.try_divide(w, F.col("__total"))).drop("__total")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookupforge.functions import vectors as V
+from lookupforge.operators.coo import total_weight
 from lookupforge.specs import Quantization
 
 
@@ -23,6 +24,24 @@ def lookup(coo: DataFrame, table: DataFrame, dim: int, keys: tuple[str, ...] = (
     return out
 
 
+def pooled(coo: DataFrame, table: DataFrame, dim: int, combiner: str, keys: tuple[str, ...] = ("sample",), weight: str = "weight", samples: DataFrame | None = None, quantization: Quantization | None = None) -> DataFrame:
+    """(keys, vec): the same as ``lookup`` of ``with_gains``, in one aggregate of the raw rows.
+
+    The gain's divisor is one for a sample, so it is taken at the end: the rows are read once, and after the join with the
+    table there is one exchange, of partial sums. Ids that the table lacks count in the divisor only.
+    """
+    w = F.col(weight).cast("double")
+    rows = coo.select(*keys, F.col("id").alias("__id"), w.alias("__weight"))
+    t = table.select(F.col("id").alias("__id"), V.quantize(F.col("vec"), quantization).alias("__vec"))
+    sums = V.sums(F.col("__vec"), F.col("__weight"), dim)
+    out = rows.join(t, "__id", "left").groupBy(*keys).agg(*sums, total_weight(combiner, F.col("__weight")).alias("__total"), F.count("__vec").alias("__found")).where("__found > 0")
+    each = V.gathered(dim) if combiner == "sum" else F.transform(V.gathered(dim), lambda x: F.try_divide(x, F.col("__total")))
+    out = out.select(*keys, each.alias("vec"))
+    if samples is not None:
+        out = samples.select(*keys).join(out, list(keys), "left").select(*keys, F.coalesce("vec", V.zeros(dim)).alias("vec"))
+    return out
+
+
 def explode_vectors(df: DataFrame, *keys: str, vec: str = "vec", value: str = "value") -> DataFrame:
     """(keys, d, value): one row for each dimension."""
     return df.select(*keys, F.posexplode(vec).alias("d", value)).withColumn("d", F.col("d").cast("long"))

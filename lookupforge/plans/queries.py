@@ -18,12 +18,13 @@ from lookupforge.operators import layout as L
 from lookupforge.operators import minibatch as M
 from lookupforge.operators import stacking as S
 from lookupforge.operators import stats as ST
-from lookupforge.operators.lookup import explode_vectors, lookup
+from lookupforge.operators.lookup import explode_vectors, lookup, pooled
 from lookupforge.operators.optimizers import initial_slots
 from lookupforge.operators.update import gradient_sums, merge, touched, with_slots
 from lookupforge.plans import preprocess as PP
 from lookupforge.plans import training as T
 from lookupforge.sources import text as X
+from lookupforge.sources.staging import shared_dir, staged
 from lookupforge.specs import FeatureSpec, Optimizer, Quantization, TableSpec, Topology
 
 DIM, SCS = 64, 4
@@ -144,8 +145,9 @@ def document_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH s AS (SELECT conv_id * 1000 + turn AS key, list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> ''), lambda x: length(x)) AS l FROM conversations), p AS (SELECT key, l, unnest(range(len(l))) AS pos FROM s) SELECT key, pos, list_aggregate(list_transform(range(4), lambda k: l[(pos + k) % len(l) + 1]), 'string_agg', ',') AS context, l[(pos + 4) % len(l) + 1]::BIGINT AS label FROM p")
 def next_token_windows(spark: SparkSession, d: str) -> DataFrame:
     conv = read(spark, d, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
-    tok = X.words(conv, "key", "text").select("key", "pos", F.length("word").cast("long").alias("id"))
-    return X.next_token_windows(tok, 4).select("key", "pos", F.array_join("context", ",").alias("context"), "label")
+    cut = F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != "")
+    lists = conv.select("key", F.transform(cut, lambda x: F.length(x).cast("long")).alias("ids"))
+    return X.next_token_rows(lists, 4).select("key", "pos", F.array_join("context", ",").alias("context"), "label")
 
 
 # ---------------------------------------------------------------- id arithmetic
@@ -219,7 +221,7 @@ def _gain(combiner: str) -> None:
 
 def _lookup(combiner: str) -> None:
     def f(spark: SparkSession, d: str) -> DataFrame:
-        return rounded(explode_vectors(lookup(C.with_gains(parts(spark, d), combiner), vectors(spark, d), DIM), "sample"), "value")
+        return rounded(explode_vectors(pooled(parts(spark, d), vectors(spark, d), DIM, combiner), "sample"), "value")
 
     f.__name__ = f"lookup_{combiner}"
     query(f"WITH {merged_sql(combiner)}, {TABLE} SELECT sample, d, {rsql('sum(gain * w)', 'value')} FROM merged JOIN tab USING (id) GROUP BY sample, d")(f)
@@ -242,7 +244,7 @@ def raw_gain_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {merged_sql()}, {TABLE}, a AS (SELECT sample, d, sum(gain * w) AS v FROM merged JOIN tab USING (id) GROUP BY sample, d) SELECT o.o_orderkey AS sample, r.d, {rsql('coalesce(v, 0)', 'value')} FROM orders o CROSS JOIN (SELECT unnest(range({DIM})) AS d) r LEFT JOIN a ON a.sample = o.o_orderkey AND a.d = r.d")
 def lookup_empty_samples(spark: SparkSession, d: str) -> DataFrame:
-    found = lookup(C.with_gains(parts(spark, d), "mean"), vectors(spark, d), DIM, samples=orders(spark, d))
+    found = pooled(parts(spark, d), vectors(spark, d), DIM, "mean", samples=orders(spark, d))
     return rounded(explode_vectors(found, "sample"), "value")
 
 
@@ -257,7 +259,7 @@ def lookup_local(spark: SparkSession, d: str) -> DataFrame:
 def lookup_two_features(spark: SparkSession, d: str) -> DataFrame:
     both = C.union_features({"parts": parts(spark, d), "suppliers": suppliers(spark, d)})
     keys = ("feature", "sample")
-    return rounded(explode_vectors(lookup(C.with_gains(both, "mean", keys), vectors(spark, d), DIM, keys), *keys), "value")
+    return rounded(explode_vectors(pooled(both, vectors(spark, d), DIM, "mean", keys), *keys), "value")
 
 
 # ---------------------------------------------------------------- layout and statistics
@@ -559,7 +561,7 @@ def stack_offsets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {merged_sql()}, {TABLE}, {N}, a AS (SELECT sample, d, sum(gain * w) AS v FROM merged JOIN tab USING (id) GROUP BY sample, d) SELECT sample // (n // {SCS}) * (2 * n // {SCS}) + sample % (n // {SCS}) AS row, d, {rsql('v', 'value')} FROM a, n")
 def stack_gradients(spark: SparkSession, d: str) -> DataFrame:
     n = _orders_count(spark, d)
-    act = lookup(C.with_gains(parts(spark, d), "mean"), vectors(spark, d), DIM)
+    act = pooled(parts(spark, d), vectors(spark, d), DIM, "mean")
     rows = act.select(I.stacked_row(F.col("sample"), n, SCS, 2 * n // SCS, 0).alias("row"), V.pad(F.col("vec"), DIM).alias("vec"))
     return rounded(explode_vectors(rows, "row"), "value")
 
@@ -568,7 +570,7 @@ def stack_gradients(spark: SparkSession, d: str) -> DataFrame:
 def unstack_activations(spark: SparkSession, d: str) -> DataFrame:
     """Stack two features' rows, then take the first one's back out by arithmetic."""
     n = _orders_count(spark, d)
-    act = lookup(C.with_gains(parts(spark, d), "mean"), vectors(spark, d), DIM)
+    act = pooled(parts(spark, d), vectors(spark, d), DIM, "mean")
     rows = act.select(I.stacked_row(F.col("sample"), n, SCS, 2 * n // SCS, 0).alias("row"), "vec").union(act.select(I.stacked_row(F.col("sample"), n, SCS, 2 * n // SCS, n).alias("row"), "vec"))
     back = rows.select(I.unstacked_sample(F.col("row"), n, SCS, 2 * n // SCS, 0).alias("sample"), V.unpad(F.col("vec"), DIM).alias("vec")).where("sample is not null")
     return rounded(explode_vectors(back, "sample"), "value")
@@ -642,8 +644,9 @@ def minibatch_equivalence(spark: SparkSession, d: str) -> DataFrame:
     """Sums of each minibatch's lookups: what a single pass gives."""
     b = bucketed(spark, d)
     rows = M.with_minibatch(b, M.global_mask(b, *SPLIT_LIMITS).select("mask")).withColumnRenamed("row", "sample")
-    each = explode_vectors(lookup(rows, vectors(spark, d), DIM, ("minibatch", "sample")), "minibatch", "sample")
-    return rounded(each.groupBy("sample", "d").agg(F.sum("value").alias("value")), "value")
+    each = lookup(rows, vectors(spark, d), DIM, ("minibatch", "sample"))
+    whole = each.groupBy("sample").agg(*V.sums(F.col("vec"), F.lit(1.0), DIM)).select("sample", V.gathered(DIM).alias("vec"))
+    return rounded(explode_vectors(whole, "sample"), "value")
 
 
 @query(SQL["lookup_two_features"])
@@ -662,8 +665,8 @@ def preprocess_and_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- state across steps
 def _batches(spark: SparkSession, d: str) -> list[DataFrame]:
-    """All rows, dealt into three batches by sample."""
-    whole = C.with_gains(parts(spark, d), "mean")
+    """All rows, dealt into three batches by sample; merged once."""
+    whole = staged(C.with_gains(parts(spark, d), "mean"), "batches")
     return [whole.where(F.pmod("sample", F.lit(3)) == k) for k in range(3)]
 
 
@@ -696,19 +699,17 @@ def pipelined_three_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {merged_sql()}, {TABLE}, a AS (SELECT sample, d, sum(gain * w) AS v FROM merged JOIN tab USING (id) GROUP BY sample, d), l AS (SELECT sample, ln(sum(exp(v))) AS z, sum(CASE WHEN d = sample % {DIM} THEN v END) AS hit FROM a GROUP BY sample) SELECT {rsql('avg(z - hit)', 'loss')}, count(*) AS n FROM l")
 def mean_cross_entropy(spark: SparkSession, d: str) -> DataFrame:
-    act = lookup(C.with_gains(parts(spark, d), "mean"), vectors(spark, d), DIM)
+    act = pooled(parts(spark, d), vectors(spark, d), DIM, "mean")
     return rounded(T.cross_entropy(act, act.select("sample", F.pmod("sample", F.lit(DIM)).alias("label"))), "loss")
 
 
 def checkpoint_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A stack saved, restored and laid out for another topology: rows as ``reshard_topology`` gives them."""
-    import tempfile
     import uuid
 
     from lookupforge.sources import checkpoint as K
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    base = f"{root}/stack-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stack-{uuid.uuid4().hex}"
     tables, stack = _stack(spark, d)
     K.save(spark, base, 7, {stack.name: S.stack_and_shard(tables, stack, TOPOLOGY, 0.0)}, [stack], TOPOLOGY)
     _, data, specs, old = K.restore(spark, base)

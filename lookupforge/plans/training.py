@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lookupforge.operators.lookup import lookup
 from lookupforge.operators.update import update, with_slots
+from lookupforge.sources.staging import staged
 from lookupforge.specs import Optimizer
 
 GradFn = Callable[[DataFrame, int], DataFrame]
@@ -27,16 +28,21 @@ class EmbeddingLayer:
         return update(table, coo, grads, self.dim, self.opt, step)
 
 
-def run_steps(table: DataFrame, batches: list[DataFrame], gradient: GradFn, dim: int, opt: Optimizer, keep: Callable[[DataFrame, int], DataFrame] = lambda t, _: t) -> DataFrame:
+def staged_version(table: DataFrame, step: int) -> DataFrame:
+    return staged(table, f"version-{step}")
+
+
+def run_steps(table: DataFrame, batches: list[DataFrame], gradient: GradFn, dim: int, opt: Optimizer, keep: Callable[[DataFrame, int], DataFrame] = staged_version) -> DataFrame:
     """The table after one update for each batch. ``gradient`` makes (sample, grad) from the batch's activations and step.
-    ``keep`` may write each version and read it back, which cuts the lineage of long runs."""
+    ``keep`` writes each version and reads it back: a version is used several times, and a plan that holds all of them would
+    grow with the power of the steps."""
     layer, table = EmbeddingLayer(dim, opt), with_slots(table, opt)
     for step, coo in enumerate(batches):
         table = keep(layer.apply_gradient(coo, table, gradient(layer(coo, table), step), step), step)
     return table
 
 
-def run_pipelined(table: DataFrame, batches: list[DataFrame], gradient: GradFn, dim: int, opt: Optimizer, keep: Callable[[DataFrame, int], DataFrame] = lambda t, _: t) -> tuple[DataFrame, list[DataFrame]]:
+def run_pipelined(table: DataFrame, batches: list[DataFrame], gradient: GradFn, dim: int, opt: Optimizer, keep: Callable[[DataFrame, int], DataFrame] = staged_version) -> tuple[DataFrame, list[DataFrame]]:
     """(table, activations of each batch) in the pipelined order: cycle i first applies batch i-2's gradients, then looks up
     batch i, then makes batch i-1's gradients. A lookup sees updates up to two batches back. Cycles without a gradient
     change nothing."""

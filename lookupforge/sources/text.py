@@ -24,6 +24,15 @@ def to_ids(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return tokens.join(vocab.select("word", "id"), "word", "left").select("key", "pos", F.coalesce("id", F.lit(0)).alias("id"))
 
 
+def next_token_rows(texts: DataFrame, length: int, key: str = "key", ids: str = "ids") -> DataFrame:
+    """The same windows from texts that are one array of ids a row: no row leaves its task."""
+    n, a = F.size(ids), F.col(ids)
+    wrap = F.flatten(F.array_repeat(a, F.ceil(F.lit(length) / n).cast("int") + 1))
+    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("__wrap", i + 1, length + 1))
+    each = texts.where(n > 0).withColumn("__wrap", wrap).select(F.col(key).alias("key"), F.posexplode(at).alias("pos", "__ids"))
+    return each.select("key", F.col("pos").cast("long").alias("pos"), F.slice("__ids", 1, length).alias("context"), F.element_at("__ids", length + 1).alias("label"))
+
+
 def next_token_windows(ids: DataFrame, length: int) -> DataFrame:
     """(key, pos, context, label): ``length`` ids from each position and the id that follows, round the end of each sequence.
 
