@@ -2,14 +2,14 @@
 
 A document is its set of word shingles, signed by ``COORDS`` minwise tokens. Equal sets are folded into a class first. Each of
 ``TREES`` independent trees branches every node by ``BRANCH`` coordinates that the node's own hash chooses: the members that
-share the chosen token are a child. Nodes of at most ``LEAF`` classes are compared exhaustively; larger ones branch again, to
+share the chosen token are a child. Small nodes (``LEAF`` classes, ``LEAF_SHINGLES``) are compared exhaustively; larger ones branch again, to
 ``DEPTH`` levels. All trees use the same coordinates, so they are not independent: over how many of the 64 agree (binomial),
 three trees and the signature screen below miss a pair of similarity 0.8 with probability 1.3e-4 where its nodes are compared
 at the first level, and with 8.8e-4 at most however deep they are split.
 
 Only components are asked for, so a pair that is connected already is not compared again. Round 1 compares the small nodes,
 and the large ones in blocks that all hold the node's pivot; it contracts groups of near copies, however large, at linear
-cost. Round 2 takes only the large nodes that still hold several components: where one component makes up all but ``2 * LEAF``
+cost. Round 2 takes only the large nodes that still hold several components: where one component makes up all but ``OTHERS``
 of a node, the others meet each block of it; other nodes branch. What is still large and mixed at the last level is compared
 whole: cut into blocks of at most about ``TILE`` classes, every two of which meet in a tile, so that no pair of a node is left out.
 The work on such nodes (of texts filled from one template, say) grows with the square of their size.
@@ -35,11 +35,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, components, connected, grams, groups, mix, remove, stage, table, tidy
+from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, components, connected, fresh, grams, groups, mix, remove, stage, table, tidy
 
-COORDS, TREES, BRANCH, LEAF, DEPTH = 64, 3, 2, 200, 5
-#: Blocks of the nodes that are large at the last level: classes, and shingles of all their sets.
-TILE, TILE_SHINGLES = 500, 1 << 20
+COORDS, TREES, BRANCH, DEPTH = 64, 3, 2, 5
+#: A small node is compared whole: classes, and shingles of all their sets (or so few classes that their sets fit anyhow).
+LEAF, LEAF_SHINGLES, FEW = 2000, 1 << 20, 200
+#: Others that meet each block of a settled component. Blocks of the nodes that are large at the last level.
+OTHERS, TILE, TILE_SHINGLES = 500, 1000, 1 << 20
+#: Pairs of a cluster compared one by one, before all are by one product.
+SINGLY = 20_000
 #: Signature agreements below which a pair is not compared: 5 standard deviations under the threshold.
 SLACK = 5.0
 
@@ -145,7 +149,7 @@ _MEMBER = ("node", "block", "rep", "comp", "n", "brief")
 
 def _sizes(nodes: DataFrame) -> DataFrame:
     """Nodes with several components: members, pivot, and a fingerprint of the members."""
-    x = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).cast("string").alias("f2"))
+    x = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum("n").alias("s"), F.min("rep").alias("pivot"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("f1"), F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(38,0)")).cast("string").alias("f2"))
     return x.where((F.col("n") > 1) & (F.col("low") != F.col("high"))).drop("low", "high")
 
 
@@ -157,25 +161,33 @@ def _shares(level: DataFrame) -> DataFrame:
     return x.where(F.col("top.c") < F.col("n"))
 
 
-def _small(sizes: DataFrame, leaf: int) -> DataFrame:
+def _is_small() -> Column:
+    return (F.col("n") <= LEAF) & ((F.col("s") <= LEAF_SHINGLES) | (F.col("n") <= FEW))
+
+
+def _parts(n: Column, s: Column, most: int, shingles: int) -> Column:
+    return F.ceil(F.greatest(n / most, F.least(s / shingles, n / FEW))).cast("long")
+
+
+def _small(sizes: DataFrame) -> DataFrame:
     """Small nodes, one of each set of members."""
-    return sizes.where(F.col("n") <= leaf).groupBy("n", "f1", "f2").agg(F.min("node").alias("node")).select("node")
+    return sizes.where(_is_small()).groupBy("n", "f1", "f2").agg(F.min("node").alias("node")).select("node")
 
 
 def _whole(nodes: DataFrame, small: DataFrame) -> DataFrame:
-    return nodes.join(small.hint("merge"), "node").withColumn("block", F.lit(0)).select(*_MEMBER)
+    return nodes.join(small.hint("merge"), "node").withColumn("block", F.lit(0).cast("long")).select(*_MEMBER)
 
 
 def _dealt(x: DataFrame, everywhere: Column) -> DataFrame:
     """Members go to a block by hash, those for which ``everywhere`` holds to all blocks of their node."""
-    own = F.array(F.pmod(F.xxhash64("node", "rep"), F.col("blocks")).cast("int"))
-    blocks = F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+    own = F.array(F.pmod(F.xxhash64("node", "rep"), F.col("blocks")))
+    blocks = F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(own)
     return x.withColumn("block", F.explode(blocks)).select(*_MEMBER)
 
 
-def _blocks(nodes: DataFrame, large: DataFrame, leaf: int) -> DataFrame:
+def _blocks(nodes: DataFrame, large: DataFrame) -> DataFrame:
     """Members of large nodes cut into blocks, and the pivot in each block."""
-    large = large.select("node", "pivot", F.ceil(F.col("n") / leaf).cast("int").alias("blocks"))
+    large = large.select("node", "pivot", _parts(F.col("n"), F.col("s"), TILE, TILE_SHINGLES).alias("blocks"))
     return _dealt(nodes.join(large.hint("merge"), "node"), F.col("rep") == F.col("pivot"))
 
 
@@ -187,7 +199,7 @@ def _against(nodes: DataFrame, settled: DataFrame) -> DataFrame:
 
 def _tiles(nodes: DataFrame, large: DataFrame) -> DataFrame:
     """Members of large nodes cut into blocks, each block with each other one: all pairs of a node meet."""
-    large = large.select("node", F.ceil(F.greatest(F.col("n") / TILE, F.col("s") / TILE_SHINGLES)).cast("long").alias("blocks"))
+    large = large.select("node", _parts(F.col("n"), F.col("s"), TILE, TILE_SHINGLES).alias("blocks"))
     x = nodes.join(large.hint("merge"), "node").withColumn("own", F.pmod(F.xxhash64("node", "rep"), F.col("blocks")))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: (j != F.col("own")) | (F.col("blocks") == 1))
     tile = F.transform(others, lambda j: F.least(j, F.col("own")) * F.col("blocks") + F.greatest(j, F.col("own")))
@@ -268,7 +280,7 @@ def _link(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
             if not len(j):
                 continue
             spent += len(j)
-            if counts is None and spent > LEAF * LEAF // 2:
+            if counts is None and spent > SINGLY:
                 sets.clear()
                 counts = _shared([_unpack(x) for x in packed])
             if counts is not None:
@@ -332,9 +344,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     # Round 1: the first level of all trees.
     nodes = classes.select("rep", "comp", "n", "brief", "sig").mapInArrow(_roots, _NODE)
     sizes = stage(_sizes(nodes), "nodes-1", scratch)
-    large = sizes.where(F.col("n") > LEAF).select("node", "pivot", "n")
+    large = sizes.where(~_is_small()).select("node", "pivot", "n", "s")
     level = stage(nodes.join(large.select("node").hint("merge"), "node").select(*_COLUMNS), "level-1", scratch)
-    members = _whole(nodes, _small(sizes, LEAF)).union(_blocks(level, large, LEAF))
+    members = _whole(nodes, _small(sizes)).union(_blocks(level, large))
     sets = _Sets(rows, size, scratch)
     edges = stage(_compare(members, sets, percent), "edges-1", scratch)
     roots = connected(edges, "documents-1")
@@ -348,11 +360,11 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
             level = stage(level, f"level-{depth}", scratch)
             sizes = stage(_shares(level), f"nodes-{depth}", scratch)
             if depth > 2:  # the first level's small nodes have been compared
-                leafs = _whole(level, _small(sizes, LEAF))
+                leafs = _whole(level, _small(sizes))
                 found = leafs if found is None else found.union(leafs)
-            large = sizes.where(F.col("n") > LEAF).groupBy("n", "f1", "f2").agg(F.min(F.struct("node", "s", "top")).alias("x")).select("x.*", "n")
-            settled = F.col("n") - F.col("top.c") <= 2 * LEAF
-            large = stage(large.select("node", "s", "n", F.col("top.comp").alias("comp"), F.ceil(F.col("top.c") / LEAF).cast("int").alias("blocks"), settled.alias("settled")), f"large-{depth}", scratch)
+            large = sizes.where(~_is_small()).groupBy("n", "f1", "f2").agg(F.min(F.struct("node", "s", "top")).alias("x")).select("x.*", "n")
+            settled = F.col("n") - F.col("top.c") <= OTHERS
+            large = stage(large.select("node", "s", "n", F.col("top.comp").alias("comp"), _parts(F.col("top.c"), F.col("s"), TILE, TILE_SHINGLES).alias("blocks"), settled.alias("settled")), f"large-{depth}", scratch)
             if not large.limit(1).count():
                 break
             alone = _against(level, large.where("settled"))
@@ -382,14 +394,14 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, the one of the smallest id, with its own columns. Keys go with the text's hash, so that
     rows that share an id are judged each by its own text; of a key and text that repeats, one row stays. Null ids stay."""
-    own = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key), F.col(text)))
-    keyed = docs.withColumn("__key", own)
-    linked = link_documents(keyed.select("__key", text), "__key", text, size, percent).where("__key is not null")
-    linked = linked.groupBy("__key").agg(F.min("component_id").alias("component"))
-    ids = keyed.where("__key is not null").groupBy("__key").agg(F.min(key).alias("id"))
-    first = linked.join(ids, "__key").groupBy("component").agg(F.min(F.struct("id", "__key")).alias("x"))
-    kept = stage(first.select("x.__key"), "kept")
-    some = keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    own = fresh(docs, "own")
+    keyed = docs.withColumn(own, F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key), F.col(text))))
+    pairs = keyed.select(F.col(own).alias("own"), F.col(key).alias("id"), F.col(text).alias("text")).where("own is not null")
+    linked = link_documents(pairs, "own", "text", size, percent).groupBy("own").agg(F.min("component_id").alias("component"))
+    ids = pairs.groupBy("own").agg(F.min("id").alias("id"))
+    first = linked.join(ids, "own").groupBy("component").agg(F.min(F.struct("id", "own")).alias("x"))
+    kept = stage(first.select(F.col("x.own").alias(own)), "kept")
+    some = keyed.join(kept, own, "left_semi").dropDuplicates([own]).drop(own)
     return some.unionByName(docs.where(F.col(key).isNull()))
 
 
