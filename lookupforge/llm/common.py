@@ -295,6 +295,66 @@ def gather(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return ids[np.arange(int(upto[-1]) if len(n) else 0) + np.repeat(start - (upto - n), n)]
 
 
+class IdTable:
+    """A bounded table from a word's 64-bit hash to its ids, all in arrays: about 40 bytes a word, and a run's words are found
+    at once. New words collect in a small sorted part that is merged into the large one; when ``most`` words are in, the
+    small part is emptied instead. It only saves work: a word that isn't in is encoded again.
+
+    Two words of one hash would get the same ids: with ``most`` words in, a word not met before has a chance of most / 2**64.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2  # large, small: hash, start, n
+        self.ids, self.used, self.large = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each (sorted) hash's ids start, and how many they are; -1 for words that aren't in."""
+        start, n = np.full(len(h), -1), np.zeros(len(h), np.int64)
+        for keys, at, many in self.parts:
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[i] == h
+                start[hit], n[hit] = at[i[hit]], many[i[hit]]
+        return start, n
+
+    def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray, stay: np.ndarray) -> np.ndarray:
+        """Store new words' ids (one after the other) and return where they start; those that don't ``stay`` only until the
+        next call."""
+        order = np.argsort(~stay, kind="stable")
+        begin = np.cumsum(n) - n
+        upto = np.cumsum(n[order])
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used // 2 + len(ids) + (1 << 16), np.uint32)])
+        put = np.arange(len(ids)) + np.repeat(begin[order] - (upto - n[order]), n[order])
+        self.ids[self.used : self.used + len(ids)] = ids[put]
+        start = np.empty(len(h), np.int64)
+        start[order] = self.used + upto - n[order]
+        keys, at, many = (np.concatenate(x) for x in zip(self.parts[1], (h[stay], start[stay], n[stay]), strict=True))
+        by = np.argsort(keys, kind="stable")
+        self.parts = [self.parts[0], (keys[by], at[by], many[by])]
+        self.used += int(n[stay].sum())
+        return start
+
+    def settle(self) -> None:
+        """Merge or empty the small part if it is large. What was found before isn't valid any more."""
+        if len(self.parts[1][0]) <= self.most // 8:
+            return
+        both = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
+        empty = tuple(x[:0] for x in both)
+        if len(both[0]) <= self.most:
+            by = np.argsort(both[0], kind="stable")
+            self.parts, self.large = [tuple(x[by] for x in both), empty], self.used
+        else:
+            self.parts, self.used = [self.parts[0], empty], self.large
+
+
+def gather(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``ids[start:start + n]`` of each, one after the other."""
+    upto = np.cumsum(n)
+    return ids[np.arange(int(upto[-1]) if len(n) else 0) + np.repeat(start - (upto - n), n)]
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows with equal values in the first ``keys`` (integer) columns of sorted batches; a run may cross batches."""
     held: list[pa.RecordBatch] = []

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -113,9 +114,8 @@ def test_substrings_query(spark, sf_dir):
 
 
 def test_tokens(spark, docs, odd, monkeypatch):
-    monkeypatch.setattr(token_store, "SHARD_IDS", 500)
     out = new_dir(spark, "t")
-    token_store.write_tokens(docs, out, BYTE_BPE)
+    token_store.write_tokens(docs, out, BYTE_BPE, shard_ids=500)
     assert rows(token_store.read_documents(spark, out)) == sorted(brute.op9(odd, BYTE_BPE), key=str)
     from tokenizers import Tokenizer
 
@@ -125,11 +125,42 @@ def test_tokens(spark, docs, odd, monkeypatch):
 
 
 def test_tokens_null_and_repeated_keys(spark):
-    docs = spark.createDataFrame([(None, "x"), (3, "b"), (3, "a a"), (1, None)], "doc_id long, text string")
+    many = [(3, f"w{i} " * (i % 4)) for i in range(60)] + [(None, "x" * (i % 3)) for i in range(40)]
+    docs = spark.createDataFrame([(1, None), (5, "last"), *many], "doc_id long, text string").repartition(5)
+    out = new_dir(spark, "t")
+    token_store.write_tokens(docs, out, BYTE_BPE, shard_ids=20)
+    got = token_store.read_documents(spark, out).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 40 + [1] + [3] * 60 + [5]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BYTE_BPE)
+    want = sorted(tok.encode(t, add_special_tokens=False).ids + [2] for d, t in many if d == 3)
+    assert sorted(list(r.ids) for r in token_store.read_keys(spark, out, [3, 4]).collect()) == want
+    assert token_store.read_shards(spark, out).where("least <= 3 and most >= 3").count() > 3
+
+
+def test_tokens_by_key_reads_pages(spark, docs):
+    """The key's range goes to the reader, together with the columns that a lookup needs."""
     out = new_dir(spark, "t")
     token_store.write_tokens(docs, out, BYTE_BPE)
-    assert [(r.doc_id, r.n_tokens) for r in token_store.read_documents(spark, out).orderBy("start").collect()] == [(None, 2), (1, 1), (3, 3), (3, 2)]
-    assert len(token_store.read_keys(spark, out, [3]).first().ids) == 5
+    plan = token_store.read_keys(spark, out, [13])._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(least,13)" in plan and "GreaterThanOrEqual(most,13)" in plan and "keys" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_tokens_small_word_table(odd):
+    """Words that leave the table are encoded again; a tokenizer that cuts otherwise is left to the library."""
+    from tokenizers import Tokenizer
+
+    e, tok = token_store.Encoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    e.spaced.most = 40
+    texts = [t or "" for _, t in odd] + ["naïve, × 2÷3 don't; end.", "Été: çà! là? a.b c.. d×e f÷g É. ×. w\x85"]
+    for _ in range(2):
+        for a in range(0, len(texts), 7):
+            assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts[a : a + 7])] == [tok.encode(t, add_special_tokens=False).ids for t in texts[a : a + 7]]
+    assert len(e.spaced.parts[0][0]) <= 40
+    e.known = False
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_tokens_query(spark, sf_dir):
