@@ -29,18 +29,23 @@ _GRAM2 = np.uint64(0xA0761D6478BD642F)
 
 # ---------------------------------------------------------------- sessions and staging
 def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python by bytes, so that long texts don't add up."""
-    spark.conf.set(_ARROW_BYTES, str(8 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    """Bound the Arrow batches sent to Python by bytes, so that long texts don't add up. Lower bounds of the session stay; plans
+    are lazy, so the setting has to last."""
+    for name, most in ((_ARROW_BYTES, 8 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 1024)):
+        now = str(spark.conf.get(name, "0")).lower()
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the session names none (tests)."""
+    """The folder that all executors share. One is made only where the session names none and is one local process (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         made = sc._jsc.sc().getCheckpointDir()
         if not made.isDefined():
+            if not sc.isLocal:
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
             made = sc._jsc.sc().getCheckpointDir()
         named = made.get()
@@ -125,9 +130,37 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
 ALNUM = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 ALNUM[0x41:0x5B] = True
 NONSPACE = byte_class((0x20, 0x20), (0x09, 0x0D))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_SAME = np.arange(256, dtype=np.uint8)
+_SAME = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_LOWER = _SAME.copy()
+_LOWER[0x41:0x5B] += np.uint64(32)
+#: Bytes, or values, whose prefix sums are made at once.
+_BLOCK = 1 << 20
+
+
+def hash_ranges(data: np.ndarray, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges; of equal bytes equal, wherever they stand. Prefix sums cover a block of bytes (and its last
+    range) at a time, so a very long text takes no more memory for them."""
+    out = np.zeros(len(start), np.uint64)
+    order = None
+    if len(start) and (np.diff(start) < 0).any():
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], end[order]
+    a = 0
+    while a < len(start):
+        low = start[a]
+        z = max(a + 1, int(np.searchsorted(start, low + _BLOCK)))
+        part = data[low : end[a:z].max()]
+        up, down = _BYTES.get(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values[part] * up[: len(part)], out=sums[1:])
+        x, y = start[a:z] - low, end[a:z] - low
+        out[a:z] = mix((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        a = z
+    if order is None:
+        return out
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 class Words:
@@ -135,7 +168,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, off: np.ndarray, keep: np.ndarray, lower: bool):
         n, docs = len(data), len(off) - 1
-        self.data, self.off, self.docs = data, off, docs
+        self.data, self.off, self.docs, self._values = data, off, docs, _LOWER if lower else _SAME
         if n == 0:
             self.start = self.end = self.doc = np.zeros(0, np.int64)
             self.hash, self.first = np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
@@ -153,17 +186,10 @@ class Words:
         self.end = np.flatnonzero(k & edge) + 1
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(docs), np.diff(self.first))
-        up, _ = _BYTES.get(n)
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(((_LOWER if lower else _SAME)[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=self._sums[1:])
         self.hash = self.span(self.start, self.end)
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges; of equal bytes equal, wherever they stand."""
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        down = _BYTES.get(len(self.data))[1]
-        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return hash_ranges(self.data, self._values, start, end)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -178,10 +204,15 @@ def grams(h: np.ndarray, size: int, second: bool = False) -> np.ndarray:
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = (_G2 if second else _G1).get(len(h) + 1)
-    s = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=s[1:])
-    return mix((s[size:] - s[:n]) * down[:n])
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, _BLOCK):
+        part = h[a : a + _BLOCK + size - 1]
+        up, down = (_G2 if second else _G1).get(len(part) + 1)
+        s = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=s[1:])
+        m = len(part) - size + 1
+        out[a : a + m] = mix((s[size:] - s[:m]) * down[:m])
+    return out
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -211,90 +242,6 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-class WordTable:
-    """A bounded table of results by word: the first ``most`` words stay, later ones share a smaller part that is emptied when
-    it is full. Frequent words come early, so most lookups hit either way."""
-
-    def __init__(self, most: int):
-        self.most, self.kept, self.passing = most, {}, {}
-
-    def get(self, word: str) -> bytes | None:
-        found = self.kept.get(word)
-        return self.passing.get(word) if found is None else found
-
-    def find(self, words: list[str]) -> list[bytes | None]:
-        if not self.passing:
-            return list(map(self.kept.get, words))
-        return [b if a is None else a for a, b in zip(map(self.kept.get, words), map(self.passing.get, words), strict=True)]
-
-    def add(self, word: str, value: bytes) -> None:
-        if len(self.kept) < self.most:
-            self.kept[word] = value
-            return
-        if len(self.passing) >= self.most // 3:
-            self.passing = {}
-        self.passing[word] = value
-
-
-class IdTable:
-    """A bounded table from a word's 64-bit hash to its ids, all in arrays: about 40 bytes a word, and a run's words are found
-    at once. New words collect in a small sorted part that is merged into the large one; when ``most`` words are in, the
-    small part is emptied instead. It only saves work: a word that isn't in is encoded again.
-
-    Two words of one hash would get the same ids: with ``most`` words in, a word not met before has a chance of most / 2**64.
-    """
-
-    def __init__(self, most: int):
-        self.most = most
-        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2  # large, small: hash, start, n
-        self.ids, self.used, self.large = np.zeros(1 << 16, np.uint32), 0, 0
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each (sorted) hash's ids start, and how many they are; -1 for words that aren't in."""
-        start, n = np.full(len(h), -1), np.zeros(len(h), np.int64)
-        for keys, at, many in self.parts:
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[i] == h
-                start[hit], n[hit] = at[i[hit]], many[i[hit]]
-        return start, n
-
-    def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray, stay: np.ndarray) -> np.ndarray:
-        """Store new words' ids (one after the other) and return where they start; those that don't ``stay`` only until the
-        next call."""
-        order = np.argsort(~stay, kind="stable")
-        begin = np.cumsum(n) - n
-        if self.used > self.large and len(self.parts[1][0]) + stay.sum() > max(1 << 16, self.most // 8):
-            self._settle()
-        upto = np.cumsum(n[order])
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used // 2 + len(ids) + (1 << 16), np.uint32)])
-        put = np.arange(len(ids)) + np.repeat(begin[order] - (upto - n[order]), n[order])
-        self.ids[self.used : self.used + len(ids)] = ids[put]
-        start = np.empty(len(h), np.int64)
-        start[order] = self.used + upto - n[order]
-        keys, at, many = (np.concatenate(x) for x in zip(self.parts[1], (h[stay], start[stay], n[stay]), strict=True))
-        by = np.argsort(keys, kind="stable")
-        self.parts = [self.parts[0], (keys[by], at[by], many[by])]
-        self.used += int(n[stay].sum())
-        return start
-
-    def _settle(self) -> None:
-        both = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
-        empty = tuple(x[:0] for x in both)
-        if len(both[0]) <= self.most:
-            by = np.argsort(both[0], kind="stable")
-            self.parts, self.large = [tuple(x[by] for x in both), empty], self.used
-        else:
-            self.parts, self.used = [self.parts[0], empty], self.large
-
-
-def gather(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """``ids[start:start + n]`` of each, one after the other."""
-    upto = np.cumsum(n)
-    return ids[np.arange(int(upto[-1]) if len(n) else 0) + np.repeat(start - (upto - n), n)]
-
-
 class IdTable:
     """A bounded table from a word's 64-bit hash to its ids, all in arrays: about 40 bytes a word, and a run's words are found
     at once. New words collect in a small sorted part that is merged into the large one; when ``most`` words are in, the

@@ -5,21 +5,22 @@ position's best predecessor lies at most ``longest`` characters back, so only th
 backpointer paths start in the window: when they meet in one boundary, everything before it is final and its ids are
 committed. Memory is bounded by the longest stretch without such a boundary, not by the text.
 
-Between two characters that stand together inside no piece every path has a boundary, whatever follows. Texts are cut there
-first, and the ids of short stretches are remembered in a bounded table; long stretches go through the window.
+No piece holds a space sign after another character, so every path has a boundary before each run of them, whatever follows.
+Texts are cut there first; every stretch goes through the stream, and its ids are remembered in a bounded table, which saves
+work and decides nothing. Models with other pieces have whole texts streamed.
 
 The model file is read directly (pieces, scores, kinds, dummy prefix, white-space rules, byte fallback). Its scores rank
 pieces; where the file calls itself BPE they are used the same way, so ids are the best-scored segmentation, which is not
 always what merging in rank order gives. Equal sums go to the longer last piece.
 
-Defined cases: null and empty texts have no ids; characters without a piece become byte pieces (or the unknown id); repeated
+Defined cases: null and empty texts have no ids; very long texts, and texts without a space, need the window only; characters without a piece become byte pieces (or the unknown id); repeated
 rows stay; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import re
+import itertools
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -29,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import WordTable, bound_batches, chunks, table
+from lookupforge.llm.common import IdTable, Words, bound_batches, byte_class, chunks, gather, mix, table
 
 SPACE = "▁"
-CACHE = 300_000
-SHORT = 48
+CACHE = 1_500_000
+#: Longer words (bytes) are encoded each time.
+LONG = 64
+#: Characters that the stream takes in at once.
+PORTION = 4096
 UNKNOWN_PENALTY = 10.0
+_UNSPACED = byte_class((0x20, 0x20))
 
 
 # ---------------------------------------------------------------- model file
@@ -90,11 +95,15 @@ class Pieces:
         self.unknown_id = self.kinds.index(2)
         self.ids = {n: i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k in (1, 4)}
         self.longest = max(map(len, self.ids), default=1)
-        #: Every beginning of a piece: its id, or -1.
-        self.begins = {n[:i]: -1 for n in self.ids for i in range(1, len(n))} | self.ids
         self.low = min((s for s, k in zip(self.scores, self.kinds, strict=True) if k == 1), default=0.0) - UNKNOWN_PENALTY
+        #: The pieces as a tree, by character: (what may follow, id or -1, score).
+        self.root: dict = {}
+        for name, i in self.ids.items():
+            at = self.root
+            for c in name[:-1]:
+                at = at.setdefault(c, ({}, -1, 0.0))[0]
+            at[name[-1]] = (at.get(name[-1], ({},))[0], i, self.scores[i])
         self.bytes_at = {int(n[3:5], 16): i for i, (n, k) in enumerate(zip(self.names, self.kinds, strict=True)) if k == 6}
-        self.pairs = {n[i : i + 2] for n in self.ids for i in range(len(n) - 1)}
         #: Whether the only pieces with a space sign after their first character are runs of it.
         self.words = all(SPACE not in n[1:] or set(n) == {SPACE} for n in self.ids)
 
@@ -127,42 +136,58 @@ class Stream:
     """Feed characters, take ids as they become final."""
 
     def __init__(self, pieces: Pieces):
-        self.p = pieces
+        self.p, self.window = pieces, 0  # window: most characters ever kept
+        self._start()
+
+    def _start(self) -> None:
         self.chars = ""  # from the last committed boundary
-        self.best = [0.0]  # score of each boundary since then; those beyond the window are dead
-        self.back = [0]
-        self.window = 0  # most characters ever kept
-        self._next_look = 2 * pieces.longest
+        self.best, self.back, self.took = [0.0], [0], [-1]  # of each boundary since then: score, last boundary, piece or -1
+        self.open: list[tuple] = []  # boundaries from which the characters so far begin a piece: place, score, where in the tree
+        self._next_look = 2 * self.p.longest
 
     def feed(self, text: str) -> list[int]:
-        p, out = self.p, []
-        ids, scores, longest = p.ids, p.scores, p.longest
+        out: list[int] = []
+        for a in range(0, len(text), PORTION):
+            out += self._feed(text[a : a + PORTION])
+        return out
+
+    def _feed(self, text: str) -> list[int]:
+        out, z, low, root = [], len(self.chars), self.p.low, self.p.root.get
+        self.chars += text
+        best, back, took, open_ = self.best, self.back, self.took, self.open
         for c in text:
-            self.chars += c
-            z = len(self.chars)
-            top, at = None, z - 1
-            for a in range(max(0, z - longest), z):
-                i = ids.get(self.chars[a:z])
-                if i is None:
-                    if a < z - 1:
-                        continue
-                    s = self.best[a] + p.low
-                else:
-                    s = self.best[a] + scores[i]
-                if top is None or s > top:
-                    top, at = s, a
-            self.best.append(top)
-            self.back.append(at)
+            here = best[z]
+            top, at, piece, still = here + low, z, -1, []  # a character that is no piece
+            for a, score, node in open_:  # the longest first, so that it wins a tie
+                if node := node.get(c):
+                    more, i, own = node
+                    if i >= 0 and ((own := own + score) > top or piece < 0 and own == top):
+                        top, at, piece = own, a, i
+                    if more:
+                        still.append((a, score, more))
+            if node := root(c):
+                more, i, own = node
+                if i >= 0 and ((own := own + here) > top or piece < 0 and own == top):
+                    top, at, piece = own, z, i
+                if more:
+                    still.append((z, here, more))
+            open_ = still
+            z += 1
+            best.append(top)
+            back.append(at)
+            took.append(piece)
             if z >= self._next_look:
-                out += self._commit()
-        self.window = max(self.window, len(self.chars))
+                self.open = open_
+                out += self._commit(z)
+                best, back, took, open_, z = self.best, self.back, self.took, self.open, len(self.best) - 1
+        self.open = open_
+        self.window = max(self.window, z)
         return out
 
-    def _commit(self) -> list[int]:
+    def _commit(self, z: int) -> list[int]:
         """Ids before the boundary in which the paths of all boundaries that can still be extended meet."""
-        z = len(self.chars)
         self.window = max(self.window, z)
-        live = set(range(max(0, z - self.p.longest + 1), z + 1))
+        live = {z, *(a for a, _, _ in self.open)}
         while len(live) > 1:
             far = max(live)
             live.discard(far)
@@ -171,110 +196,82 @@ class Stream:
         out = self._path(meet)
         if meet:
             low = self.best[meet]
-            self.chars, self.best, self.back = self.chars[meet:], [b - low for b in self.best[meet:]], [max(0, b - meet) for b in self.back[meet:]]
-        self._next_look = len(self.chars) + self.p.longest
+            self.chars, self.best, self.back, self.took = self.chars[meet:], [b - low for b in self.best[meet:]], [max(0, b - meet) for b in self.back[meet:]], self.took[meet:]
+            self.open = [(a - meet, score - low, node) for a, score, node in self.open]
+        self._next_look = len(self.best) - 1 + self.p.longest
         return out
 
     def _path(self, end: int) -> list[int]:
-        cut = [end]
-        while cut[-1]:
-            cut.append(self.back[cut[-1]])
-        cut.reverse()
         out: list[int] = []
-        for a, z in zip(cut, cut[1:]):
-            i = self.p.ids.get(self.chars[a:z])
-            if i is not None:
-                out.append(i)
+        while end:
+            a = self.back[end]
+            if self.took[end] >= 0:
+                out.append(self.took[end])
             elif self.p.bytes_at:
-                out += [self.p.bytes_at[b] for b in self.chars[a:z].encode()]
+                out += [self.p.bytes_at[b] for b in reversed(self.chars[a:end].encode())]
             else:
                 out.append(self.p.unknown_id)
-        return out
+            end = a
+        return out[::-1]
 
     def close(self) -> list[int]:
         out = self._path(len(self.chars))
-        self.chars, self.best, self.back = "", [0.0], [0]
-        self._next_look = 2 * self.p.longest
+        self._start()
         return out
 
 
 class Encoder:
-    """Whole texts to little-endian uint32 ids."""
+    """Whole texts to little-endian uint32 ids. Every stretch of every text goes through the stream; ids of words met before
+    are taken from a bounded table."""
 
     def __init__(self, pieces: Pieces):
-        self.p, self.known, self.window = pieces, WordTable(CACHE), 0
-        # Cut before every run of space signs, which starts a piece; other sure cuts are looked for inside long stretches.
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if pieces.words else re.compile(r".+", re.DOTALL)
-
-    def _run(self, text: str) -> list[int]:
-        s = Stream(self.p)
-        out = s.feed(text) + s.close()
-        self.window = max(self.window, s.window)
-        return out
-
-    def _short(self, text: str) -> list[int]:
-        """The same search where the whole stretch fits the window."""
-        get, scores, low, n = self.p.begins.get, self.p.scores, self.p.low, len(text)
-        none = -float("inf")
-        best, back, took = [none] * (n + 1), [0] * (n + 1), [None] * (n + 1)
-        best[0] = 0.0
-        for a in range(n):
-            here, one = best[a], True
-            for z in range(a + 1, n + 1):
-                i = get(text[a:z])
-                if i is None:
-                    break
-                if i >= 0:
-                    s = here + scores[i]
-                    if s > best[z]:
-                        best[z], back[z], took[z] = s, a, i
-                    if z == a + 1:
-                        one = False
-            if one and here + low > best[a + 1]:  # a character that is no piece
-                best[a + 1], back[a + 1], took[a + 1] = here + low, a, None
-        out: list[int] = []
-        while n:
-            if took[n] is not None:
-                out.append(took[n])
-            elif self.p.bytes_at:
-                out += [self.p.bytes_at[b] for b in reversed(text[back[n] : n].encode())]
-            else:
-                out.append(self.p.unknown_id)
-            n = back[n]
-        return out[::-1]
-
-    def _stretch(self, text: str) -> bytes:
-        pairs, a, out = self.p.pairs, 0, []
-        if len(text) <= SHORT:
-            return np.array(self._short(text), "<u4").tobytes()
-        for z in range(1, len(text)):
-            if text[z - 1 : z + 1] not in pairs:
-                out += self._run(text[a:z])
-                a = z
-        return np.array(out + self._run(text[a:]), "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        known, p = self.known, self.p
-        if p.words and p.dummy and p.escape and not p.trim and text and SPACE not in text:
-            words = text.split(" ")  # each with the space sign before it
-            if "" not in words:
-                found = known.find(words)
-                if None in found:
-                    found = [self._stretch_of(w) if x is None else x for w, x in zip(words, found, strict=True)]
-                return b"".join(found)
-        return b"".join(self._stretch(w) for w in self.cut.findall(p.prepare(text)))
-
-    def _stretch_of(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self._stretch(SPACE + word)
-            if len(word) < SHORT:
-                self.known.add(word, ids)
-        return ids
+        self.p, self.known, self.stream = pieces, IdTable(CACHE), Stream(pieces)
+        # Every run of space signs starts a piece, and no other piece holds one: texts can be cut there.
+        self.cuts = pieces.words and pieces.dummy and pieces.escape and not pieces.trim
+
+    def one(self, text: str) -> list[int]:
+        return self.stream.feed(text) + self.stream.close()
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a run of texts, and where each text's begin (one more entry at the end)."""
+        if not self.cuts:
+            ids = [np.array(self.one(self.p.prepare(data[a:z].tobytes().decode())), np.uint32) for a, z in zip(off, off[1:])]
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([0, *map(len, ids)])
+        start, end, first, h = self._units(data, off)
+        words, at, back = np.unique(h, return_index=True, return_inverse=True)
+        self.known.settle()
+        where, n = self.known.find(words)
+        new = np.flatnonzero(where < 0)
+        if len(new):
+            a, z, dummy = start[at[new]], end[at[new]], np.isin(at[new], first[:-1])
+            sign = lambda a, z, d: (SPACE if d else "") + data[a:z].tobytes().decode().replace(" ", SPACE)
+            ids = [self.one(sign(*x)) for x in zip(a.tolist(), z.tolist(), dummy.tolist(), strict=True)]
+            n[new] = np.fromiter(map(len, ids), np.int64, len(ids))
+            where[new] = self.known.add(words[new], np.fromiter(itertools.chain.from_iterable(ids), np.uint32, n[new].sum()), n[new], z - a <= LONG)
+        n = n[back]
+        return gather(self.known.ids, where[back], n), np.append(0, np.cumsum(n))[first]
+
+    @staticmethod
+    def _units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A word with the spaces before it, or the spaces at a text's end: start, end, each text's first unit, hash."""
+        w = Words(data, off, _UNSPACED, False)
+        full = np.flatnonzero(np.diff(w.first))
+        tail = np.where(np.diff(w.first) > 0, 0, off[:-1])
+        tail[full] = w.end[w.first[full + 1] - 1]
+        tail = np.stack([tail, off[1:]])[:, off[1:] > tail]
+        end = np.concatenate([w.end, tail[1]])
+        order = np.argsort(end, kind="stable")
+        end = end[order]
+        first = np.searchsorted(end, off, "right")
+        start = np.append(0, end[:-1])
+        h = w.span(start, end) if len(data) else np.zeros(0, np.uint64)
+        begins = first[:-1][np.diff(first) > 0]
+        h[begins] = mix(h[begins] + np.uint64(0x9E3779B97F4A7C15))
+        return start, end, first, h
 
 
 class Decoder:
-    """Ids to UTF-8 bytes, a document at a time, as one gather over the pieces' bytes."""
+    """Ids to UTF-8 bytes, a run of documents at a time, as one gather over the pieces' bytes."""
 
     def __init__(self, pieces: Pieces):
         raw = [b"" if k == 3 else bytes([int(n[3:5], 16)]) if k == 6 else " \u2047 ".encode() if k == 2 else n.replace(SPACE, " ").encode() for n, k in zip(pieces.names, pieces.kinds, strict=True)]
@@ -283,12 +280,11 @@ class Decoder:
         self.start = np.cumsum(self.size) - self.size
         self.dummy = pieces.dummy
 
-    def decode(self, ids: bytes) -> bytes:
-        i = np.frombuffer(ids, "<u4")
-        size = self.size[i]
-        end = np.cumsum(size)
-        out = self.data[np.arange(end[-1] if len(i) else 0) + np.repeat(self.start[i] - (end - size), size)].tobytes()
-        return out[1:] if self.dummy and out[:1] == b" " else out
+    def decode(self, ids: np.ndarray, cut: np.ndarray) -> list[bytes]:
+        size = self.size[ids]
+        out, upto = gather(self.data, self.start[ids], size).tobytes(), np.append(0, np.cumsum(size))[cut].tolist()
+        texts = [out[a:z] for a, z in zip(upto, upto[1:])]
+        return [t[1:] if t[:1] == b" " else t for t in texts] if self.dummy else texts
 
 
 @functools.cache
@@ -300,14 +296,15 @@ def encoder(model: str) -> Encoder:
 def _encode(batches: Iterator[pa.RecordBatch], model: str, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     enc = encoder(model)
     dec = Decoder(enc.p)
-    for b, _, _ in chunks(batches, "text"):
-        texts = b.column(1).to_pylist()
-        ids = [enc.encode(t) if t else b"" for t in texts]
-        back = [dec.decode(x) == (t or "").encode() for t, x in zip(texts, ids, strict=True)]
-        cols = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(back, pa.bool_())]
+    for b, data, off in chunks(batches, "text"):
+        ids, cut = enc.encode(data, off)
+        back = [x == data[a:z].tobytes() for x, a, z in zip(dec.decode(ids, cut), off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        raw, at = ids.astype("<u4", copy=False).tobytes(), (4 * cut).tolist()
+        each = [raw[a:z] for a, z in zip(at, at[1:])]
+        cols = [b.column(0), pa.array(np.diff(cut), pa.int64()), pa.array([zlib.crc32(x) for x in each], pa.int64()), pa.array(back, pa.bool_())]
         out = ["key", "n_pieces", "ids_crc32", "round_trip"]
         if keep_ids:
-            cols.append(pa.array(ids, pa.binary()))
+            cols.append(pa.array(each, pa.binary()))
             out.append("ids")
         yield pa.RecordBatch.from_arrays(cols, names=out)
 

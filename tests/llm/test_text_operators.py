@@ -167,25 +167,45 @@ def test_tokens_query(spark, sf_dir):
     assert rows(token_store.op9_token_store(spark, sf_dir)) == sorted(brute.op9(small(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE), key=str)
 
 
+def whole_search(p, s):
+    """The best score of any segmentation, and a best one (the longest last piece first)."""
+    best, back = [0.0] + [None] * len(s), [0] * (len(s) + 1)
+    for z in range(1, len(s) + 1):
+        for a in range(max(0, z - p.longest), z):
+            score = p.scores[p.ids[s[a:z]]] if s[a:z] in p.ids else p.low if a == z - 1 else None
+            if score is not None and (best[z] is None or best[a] + score > best[z]):
+                best[z], back[z] = best[a] + score, a
+    out, z = [], len(s)
+    while z:
+        c = s[back[z] : z]
+        out.append([p.ids[c]] if c in p.ids else [p.bytes_at[x] for x in c.encode()])
+        z = back[z]
+    return best[-1], [i for x in out[::-1] for i in x]
+
+
 def test_pieces_best_score(odd):
-    """The stream, in any portions, and the cached encoder give a segmentation of the greatest score."""
+    """The stream over whole texts, in any portions, gives the search's ids; the encoder, which cuts texts and knows words, ids
+    of the same score."""
     p = viterbi_pieces.Pieces(viterbi_pieces.model_path())
-    import numpy as np
-
-    for _, t in odd:
-        s = p.prepare((t or "")[:300])
-        best = [0.0] + [None] * len(s)
-        for z in range(1, len(s) + 1):
-            best[z] = max(best[a] + (p.scores[p.ids[s[a:z]]] if s[a:z] in p.ids else p.low) for a in range(max(0, z - p.longest), z) if s[a:z] in p.ids or a == z - 1)
+    texts = [t or "" for _, t in odd] + [" ", "  lead", "trail  ", "▁ x ▁▁y", "x" * 300]
+    raw = [t.encode() for t in texts]
+    enc = viterbi_pieces.Encoder(p)
+    enc.known.most = 50
+    for _ in range(2):
+        ids, cut = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for k, t in enumerate(texts):
+        s = p.prepare(t)
+        best, want = whole_search(p, s)
         one = viterbi_pieces.Stream(p)
-        ids = one.feed(s) + one.close()
+        got = one.feed(s) + one.close()
         two, portions = viterbi_pieces.Stream(p), []
         for i in range(0, len(s), 7):
             portions += two.feed(s[i : i + 7])
-        assert portions + two.close() == ids == np.frombuffer(viterbi_pieces.Encoder(p).encode((t or "")[:300]), "<u4").tolist()
-        got = sum(p.scores[i] for i in ids if p.kinds[i] != 6)
-        if not any(p.kinds[i] == 6 for i in ids):
-            assert got == best[-1]
+        assert portions + two.close() == got
+        mine = ids[cut[k] : cut[k + 1]].tolist()
+        score = lambda x: sum(p.scores[i] for i in x if p.kinds[i] != 6)
+        assert mine == got == want or abs(score(mine) - score(want)) < 1e-6 * len(s) and abs(score(got) - score(want)) < 1e-6 * len(s)
+        assert p.decode(mine) == t.replace(viterbi_pieces.SPACE, " ")
 
 
 def test_pieces_stream_is_bounded():
