@@ -32,7 +32,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches sent to Python by bytes, so that long texts don't add up. Lower bounds of the session stay; plans
     are lazy, so the setting has to last."""
     for name, most in ((_ARROW_BYTES, 8 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 1024)):
-        now = str(spark.conf.get(name, "0")).lower()
+        now = spark.conf.get(name).lower().removesuffix("b")  # a size in other units is a larger one
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
 

@@ -9,9 +9,10 @@ the starts within whose span every term occurs. No posting is shuffled: hits sta
 Terms are 64-bit hashes of words. A phrase's terms must all agree in order, so a false hit needs a hash collision of two
 words inside a text that otherwise repeats the phrase.
 
-Defined cases: null texts have no words and are never contaminated; items without words are ignored; repeated rows, and
+Defined cases: null texts have no words and are never contaminated; a very long text makes a segment of its own; items without words are ignored; repeated rows, and
 items that repeat an id, stay and count as one item id; items without an id mark words like others, but no list names them
-(and their proximity matches have a null item); empty tables give empty or clean results; other columns are ignored.
+(and their proximity matches have a null item); empty tables give empty or clean results; other columns,
+whatever their names, are ignored or kept as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import ALNUM, Words, bound_batches, chunks, new_dir, remove, stage, table, tidy
+from lookupforge.llm.common import ALNUM, Words, bound_batches, chunks, fresh, new_dir, remove, stage, table, tidy
 
 WINDOW = 13
 #: Phrases sent to the tasks at once: at most this many terms (8 bytes each).
@@ -240,11 +241,15 @@ def find_phrases(index: DataFrame, items: DataFrame, item_key: str = "item_id",
     marked = index.withColumn("covered", F.lit(None).cast("binary")).withColumn("items", F.lit(None).cast("map<int,array<string>>"))
     blocks = phrase_blocks(items, item_key, text, size)
     block = next(blocks)
-    for later in blocks:
-        sent = spark.sparkContext.broadcast(block)  # at most BLOCK_TERMS terms
-        marked = marked.mapInArrow(lambda it, s=sent: _mark(it, s.value), state)
+    scratch: list[str] = []
+    for later in blocks:  # a block is out of memory again before the next one goes out
+        sent, done = spark.sparkContext.broadcast(block), scratch
+        scratch = []
+        marked = stage(marked.mapInArrow(lambda it, s=sent: _mark(it, s.value), state), "marked", scratch)
+        sent.destroy()
+        remove(spark, done)
         block = later
-    last = spark.sparkContext.broadcast(block)
+    last = spark.sparkContext.broadcast(block)  # at most BLOCK_TERMS terms
     return marked.mapInArrow(lambda it: _report(_mark(it, last.value)), f"key {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
 
 
@@ -268,7 +273,9 @@ def find_near(index: DataFrame, items: DataFrame, slop: int, item_key: str = "it
     out, block, terms = None, [], 0
 
     def more(out: DataFrame | None, block: list) -> DataFrame:
-        one = index.mapInArrow(lambda it: _near(it, block, slop), schema)
+        sent = index.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_TERMS terms
+        one = stage(index.mapInArrow(lambda it: _near(it, sent.value, slop), schema), "near")
+        sent.destroy()
         return one if out is None else out.union(one)
 
     for row in items.select(F.col(item_key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).where("text is not null").toLocalIterator():
@@ -286,12 +293,13 @@ def contaminated():
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without contamination, with their own columns. Keys go with the text's hash, so that rows that share
     an id are judged each by its own text; of a key and text that repeats, all rows share the verdict."""
-    keyed = docs.withColumn("__key", F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(text)))
+    own = fresh(docs, "own")
+    keyed = docs.withColumn(own, F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(text)))
     postings = new_dir(docs.sparkSession, "postings")
-    index = build_index(keyed.select("__key", text), postings, "__key", text)
-    bad = stage(find_phrases(index, items).where(contaminated()).select(F.col("key").alias("__key")).distinct(), "contaminated")
+    index = build_index(keyed.select(F.col(own).alias("own"), F.col(text).alias("text")), postings, "own")
+    bad = stage(find_phrases(index, items).where(contaminated()).select(F.col("key").alias(own)).distinct(), "contaminated")
     remove(docs.sparkSession, [postings])
-    return keyed.join(bad, "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(bad, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

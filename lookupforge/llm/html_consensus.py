@@ -6,7 +6,9 @@ under the winning path; a page without that path takes its own best container. V
 with a third of all pages sends few rows. The winners are broadcast only if they are measured to fit ``BROADCAST_BYTES``;
 otherwise they are joined on the host.
 
-Defined cases: null html is an empty page with empty text; null URLs share the host ''; repeated rows each get a row.
+Defined cases: null html is an empty page with empty text; null URLs share the host ''; very long pages and hostile nesting cost
+time and memory in proportion to their length; of containers, or a host's paths, of one score the last in the order of paths
+wins; an empty table gives an empty result; repeated rows each get a row; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookupforge.llm.common import bound_batches, stage, table
-from lookupforge.llm.url_rules import split_url
+from lookupforge.llm.url_rules import host_of
 
 BROADCAST_BYTES = 16 << 20
+#: A page votes with so many characters of text at most, so that a huge page does not outvote its host.
+VOTE = 4000
 
 #: Tags by what they do to the text.
 RAW = frozenset("script style noscript template iframe svg math object textarea select".split())
@@ -42,13 +46,49 @@ _DIGITS = re.compile(r"\d+")
 KEPT, FREED, LABELLED, GONE = range(4)
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(container path, text, characters in links) of each block of text outside dropped parts, in page order. An article or main
-    inside a part that only its label drops (a wrapper that has-sidebar, say) stays where it is the page's main text: where
-    no other article has text and no main has more of it."""
-    out: list[tuple[str, str, int]] = []
+class Paths:
+    """The container paths of a page as a tree: node 0 is the root; a path's node follows its parent's."""
+
+    def __init__(self) -> None:
+        self.parent, self.kind, self.tag, self.article, self.main = [0], [""], [""], [False], [False]
+        self.at: dict[tuple[int, str], int] = {}
+
+    def add(self, parent: int, tag: str, kind: str) -> int:
+        node = self.at.get((parent, kind))
+        if node is None:
+            node = self.at[parent, kind] = len(self.parent)
+            self.parent.append(parent)
+            self.kind.append(kind)
+            self.tag.append(tag)
+            self.article.append(self.article[parent] or tag == "article")
+            self.main.append(self.main[parent] or tag == "main")
+        return node
+
+    def name(self, node: int) -> str:
+        out = []
+        while node:
+            out.append(self.kind[node])
+            node = self.parent[node]
+        return "".join(f"/{k}" for k in reversed(out))
+
+    def find(self, name: str) -> int | None:
+        node: int | None = 0
+        for kind in name.split("/")[1:]:
+            node = self.at.get((node, kind))
+            if node is None:
+                return None
+        return node
+
+
+def blocks(page: str) -> tuple[list[tuple[int, str, int]], Paths]:
+    """(container, text, characters in links) of each block of text outside dropped parts, in page order, and the containers'
+    paths. An article or main inside a part that only its label drops (a wrapper that has-sidebar, say) stays where it is the
+    page's main text: where no other article has text and no main has more of it."""
+    out: list[tuple[int, str, int]] = []
     freed: list[bool] = []  # for each block, whether a label drops a part around its article or main
-    stack: list[tuple[str, str, int]] = [("", "", KEPT)]  # tag, path, state
+    paths = Paths()
+    stack: list[tuple[str, int, int]] = [("", 0, KEPT)]  # tag, path, state
+    open_: Counter = Counter()  # tags on the stack
     parts: list[str] = []
     linked, in_link, at, block = 0, False, 0, ""
 
@@ -56,7 +96,7 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and stack[-1][2] <= FREED and not (block[:1] != "h" and any(t == "header" for t, _, _ in stack)):
+            if text and stack[-1][2] <= FREED and not (block[:1] != "h" and open_["header"]):
                 out.append((stack[-1][1], text, min(linked, len(text))))
                 freed.append(stack[-1][2] == FREED)
             parts.clear()
@@ -68,6 +108,11 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if in_link:
             linked += len(text)
 
+    def close(size: int) -> None:
+        """Leave ``size`` containers open."""
+        while len(stack) > size:
+            open_[stack.pop()[0]] -= 1
+
     while m := _TAG.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
@@ -92,99 +137,101 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             block = "" if closing else tag
             if tag in CONTAINERS:
                 if closing:
-                    if any(t == tag for t, _, _ in stack):
-                        while stack.pop()[0] != tag:
-                            pass
+                    if open_[tag]:
+                        while stack[-1][0] != tag:
+                            close(len(stack) - 1)
+                        close(len(stack) - 1)
                 else:
-                    if tag in ("article", "main"):  # an unclosed menu or footer ends where an article begins
-                        cut = next((i for i, (t, _, _) in enumerate(stack) if t in DROPPED), None)
-                        if cut is not None and not any(t in ("article", "main") for t, _, _ in stack):
-                            del stack[cut:]
-                    if tag == "body":
-                        del stack[next((i for i, (t, _, _) in enumerate(stack) if t in ("head", "body")), len(stack)) :]
+                    inside = open_["article"] + open_["main"] > 0
+                    if tag in ("article", "main") and not inside and any(open_[t] for t in DROPPED):
+                        close(next(i for i, (t, _, _) in enumerate(stack) if t in DROPPED))  # an unclosed menu or footer ends where an article begins
+                    if tag == "body" and (open_["head"] or open_["body"]):
+                        close(next(i for i, (t, _, _) in enumerate(stack) if t in ("head", "body")))
                     names = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
                     label = f"{names.get('class', '')} {names.get('id', '')} {names.get('role', '')}".strip() if names else ""
-                    kind = ".".join([tag, *sorted(set(_DIGITS.sub("#", names.get("class", "")).split()))])
-                    inside = any(t in ("article", "main") for t, _, _ in stack)
+                    kind = ".".join([tag, *sorted(set(_DIGITS.sub("#", names.get("class", "")).replace("/", "|").split()))])
+                    inside = open_["article"] + open_["main"] > 0
                     up, boiler = stack[-1][2], bool(label) and bool(BOILER.search(label))
                     if up == GONE or tag in DROPPED or tag == "header" and not inside or bool(attrs) and bool(_HIDDEN.search(attrs)):
                         state = GONE
                     elif up == LABELLED:
-                        own = tag == "main" or tag == "article" and not any(t == "article" for t, _, _ in stack)
+                        own = tag == "main" or tag == "article" and not open_["article"]
                         state = FREED if own and not boiler else LABELLED
                     else:
                         state = LABELLED if boiler and tag not in ("html", "body", "article", "main") else up
-                    stack.append((tag, f"{stack[-1][1]}/{kind}", state))
+                    stack.append((tag, paths.add(stack[-1][1], tag, kind), state))
+                    open_[tag] += 1
     if at < len(page):
         add(page[at:])
     flush()
     if any(freed):
         kept = [x for x, f in zip(out, freed, strict=True) if not f]
-        tags = [{p.split(".")[0] for p in path.split("/")} for path, _, _ in kept]
-        inner = sum(len(text) for (_, text, _), t in zip(kept, tags, strict=True) if "main" in t)
-        if any("article" in t for t in tags) or sum(len(x[1]) for x in out) - sum(len(x[1]) for x in kept) <= inner:
-            return kept
-    return out
+        inner = sum(len(text) for node, text, _ in kept if paths.main[node])
+        if any(paths.article[node] for node, _, _ in kept) or sum(len(x[1]) for x in out) - sum(len(x[1]) for x in kept) <= inner:
+            return kept, paths
+    return out, paths
 
 
-def scores(found: list[tuple[str, str, int]]) -> Counter:
+def scores(found: list[tuple[int, str, int]], paths: Paths) -> dict[int, int]:
     """Score of each container path on one page: text in own blocks; an article or main gains what stands in it, and outside
-    of those a parent below body that holds several containers with text (or one, and text of its own) gains theirs."""
-    n: Counter = Counter()
-    whole: Counter = Counter()  # all text under a path
-    for path, text, linked in found:
+    of those a parent below body that holds several containers with text (or one, and text of its own) gains theirs. Sums go
+    up the tree once, so deep nesting costs no more than its tags."""
+    size = len(paths.parent)
+    own, inner, outer, most = [0] * size, [0] * size, [0] * size, [0] * size  # inner, outer: all text under a path, in an article or not
+    n: dict[int, int] = {}
+    for node, text, linked in found:
         worth = max(0, len(text) - 2 * linked)
-        n[path] += worth
-        parts = path.split("/")
-        tags = [p.split(".")[0] for p in parts]
-        if "article" in tags or "main" in tags:
-            for i in range(len(parts) - 1):
-                if tags[i] in ("article", "main"):
-                    n["/".join(parts[: i + 1])] += worth
-        else:
-            for i in range(len(parts)):
-                if tags[i] not in ("", "html", "body"):
-                    whole["/".join(parts[: i + 1])] += worth
-    most: Counter = Counter()  # the most under one child
-    for path, worth in whole.items():
-        parent = path.rpartition("/")[0]
-        most[parent] = max(most[parent], worth)
-    for path, worth in whole.items():
-        if worth > most[path]:
-            n[path] = worth
+        n[node] = n.get(node, 0) + worth
+        own[node] += worth
+        (inner if paths.article[node] or paths.main[node] else outer)[node] += worth
+    for node in range(size - 1, 0, -1):
+        up = paths.parent[node]
+        inner[up] += inner[node]
+        outer[up] += outer[node]
+        if paths.tag[node] not in ("html", "body"):
+            most[up] = max(most[up], outer[node])
+            if outer[node] > most[node]:
+                n[node] = outer[node]
+        if paths.tag[node] in ("article", "main") and inner[node]:
+            n[node] = inner[node]
     return n
 
 
-def main_text(found: list[tuple[str, str, int]], winner: str | None) -> str:
+def best_path(found: list[tuple[int, str, int]], paths: Paths) -> tuple[int, int, str] | None:
+    """(node, score, path) of the container of most score, of equal ones the last in the order of paths."""
+    n = scores(found, paths)
+    if not n:
+        return None
+    top = max(n.values())
+    return max(((i, top, paths.name(i)) for i, x in n.items() if x == top), key=lambda x: x[2])
+
+
+def main_text(found: list[tuple[int, str, int]], paths: Paths, winner: str | None) -> str:
     """Blocks under the winning path, or under the page's own best container where the path is not on the page."""
-    def under(path: str) -> list[str]:
-        return [t for p, t, _ in found if p == path or p.startswith(path + "/")]
+    def under(top: int) -> list[str]:
+        inside = [i == top for i in range(len(paths.parent))]
+        for i in range(top + 1, len(inside)):
+            inside[i] = inside[paths.parent[i]]
+        return [t for node, t, _ in found if inside[node]]
 
-    if winner is not None and (own := under(winner)):
+    if winner is not None and (at := paths.find(winner)) is not None and (own := under(at)):
         return "\n".join(own)
-    best = max(scores(found).items(), key=lambda x: (x[1], x[0]), default=None)
+    best = best_path(found, paths)
     return "\n".join(under(best[0])) if best else ""
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n: Counter = Counter()
-        for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            s = scores(blocks(page or ""))
-            if s:
-                path, worth = max(s.items(), key=lambda x: (x[1], x[0]))
-                n[split_url(url)[0], path] += worth
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if best := best_path(*blocks(page or "")):
+                n[host, best[2]] += min(best[1], VOTE)
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in n], pa.string()), pa.array([p for _, p in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["host", "path", "votes"])
 
 
-def _host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([split_url(u)[0] for u in b.column(1).to_pylist()], pa.string())], names=["key", "url", "html", "host"])
-
-
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [main_text(blocks(page or ""), w) for page, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        texts = [main_text(*blocks(page or ""), w) for page, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3)], names=["key", "url", "text", "n_chars", "path"])
 
 
@@ -193,12 +240,12 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page
     spark = pages.sparkSession
     bound_batches(spark)
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    votes = rows.select("url", "html").mapInArrow(_vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    rows = rows.withColumn("host", host_of(F.col("url")))
+    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     winners = stage(votes.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("best")).select("host", F.col("best.path").alias("path")), "host-paths")
     size = winners.agg(F.sum(F.length("host") + F.length("path") + 64)).first()[0] or 0
     kind = rows.schema["key"].dataType.simpleString()
-    hosted = rows.mapInArrow(_host, f"key {kind}, url string, html string, host string")
-    both = hosted.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "host", "left").select("key", "url", "html", "path")
+    both = rows.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "host", "left").select("key", "url", "html", "path")
     return both.mapInArrow(_extract, f"key {kind}, url string, text string, n_chars long, path string").withColumnRenamed("key", key)
 
 

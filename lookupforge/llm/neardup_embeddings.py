@@ -12,8 +12,10 @@ task and none is capped. Two vectors at cosine 0.98 meet in one table with proba
 0.9999; closer ones more often.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with null labels, link with
-nothing; vectors of different lengths never link; repeated rows count as vectors; a null vec_id has a null component and is
-not kept; other columns are ignored.
+nothing; vectors of different lengths never link; repeated rows count as vectors; different vectors that share a vec_id are
+linked and counted each by itself; an empty table gives an empty result; a null vec_id has a null component and is
+not kept; other columns, whatever their names, are ignored. The work on a cell of near copies that are all different grows
+with the square of their number.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import bound_batches, components, connected, groups, mix, stage, table
+from lookupforge.llm.common import bound_batches, components, connected, groups, mix, remove, stage, table
 
 THRESHOLD = 0.98
 TABLES, PROBES, SCALE = 4, 2, 0.2
@@ -164,6 +166,7 @@ def link_embeddings(vectors: DataFrame, key: str = "vec_id", label: str = "label
     """(key, n_links, component_id, kept) for every row."""
     spark = vectors.sparkSession
     bound_batches(spark)
+    scratch: list[str] = []
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("e") > 0) & finite & F.exists("e", lambda x: x != 0), F.lit(False))
@@ -171,18 +174,22 @@ def link_embeddings(vectors: DataFrame, key: str = "vec_id", label: str = "label
     keyed = keyed.withColumn("k1", F.when(F.col("good"), F.xxhash64("label", "e")).otherwise(F.xxhash64(F.lit("none"), "id")))
     keyed = keyed.withColumn("k2", F.when(F.col("good"), F.xxhash64(F.reverse("e"), "label")).otherwise(F.lit(0)))
     classes = keyed.where("good").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.min("label").alias("label"), F.first("e").alias("e"))
-    classes = stage(classes, "classes")
+    # Different vectors may share an id, so classes get numbers of their own; staged, they stay the same.
+    classes = stage(classes.withColumnRenamed("id", "low").withColumn("id", F.monotonically_increasing_id()), "classes", scratch)
     spread = classes.select("id", "weight", "label", "e").mapInArrow(lambda it: _spread(it, tables, probes, scale), _ROW.replace("block", "tab"))
     sizes = spread.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    big = stage(sizes.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")), "big-cells")
+    big = stage(sizes.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("blocks")), "big-cells", scratch)
     cut = spread.join(big, "cell", "left").withColumn("block", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("ti"), F.greatest(j, F.col("block")).alias("tj"))))
     tiles = cut.withColumn("tile", tile).select("cell", F.col("tile.ti").alias("ti"), F.col("tile.tj").alias("tj"), "block", "tab", "id", "weight", "home", "vector", "codes")
     met = tiles.repartition("cell", "ti", "tj").sortWithinPartitions("cell", "ti", "tj")
-    links = stage(met.mapInArrow(lambda it: _compare(it, tables, probes, threshold), "id long, n long, root long"), "links")
+    links = stage(met.mapInArrow(lambda it: _compare(it, tables, probes, threshold), "id long, n long, root long"), "links", scratch)
     roots = connected(links.selectExpr("id u", "root v"), "vectors").select(F.col("node").alias("id"), "root")
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
-    whole = stage(classes.select("k1", "k2", "id", "weight").join(counts, "id", "left").join(roots, "id", "left").select("k1", "k2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("root", "id").alias("root")), "vector-classes")
+    placed = classes.select("k1", "k2", "id", "low", "weight").join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    lowest = placed.groupBy("root").agg(F.min("low").alias("component"))
+    whole = stage(placed.join(lowest, "root").select("k1", "k2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.col("component").alias("root")), "vector-classes")
+    remove(spark, scratch)
     out = keyed.select("id", "k1", "k2", "good").join(whole, ["k1", "k2"], "left")
     component = F.when(F.col("good"), F.col("root")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.when(F.col("good"), F.col("n")).otherwise(F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

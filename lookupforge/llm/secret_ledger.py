@@ -5,8 +5,9 @@ scanned, its findings. A scan hashes the given versions, sends each unseen blob
 the findings to the ledger, and joins the ledger back to all paths. Blobs travel compressed and are dropped early where a
 partition holds several copies, so a text that a third of all paths share crosses the shuffle once per partition at most.
 
-Defined cases: null texts are empty blobs; repeated paths each get their row; an empty table gives an empty result; other
-columns are ignored. Spans count code points, end exclusive.
+Defined cases: null texts are empty blobs; a very long text is one blob, scanned whole; repeated paths each get their row; spans
+that start together go by kind, then by end; a blob that is in the ledger twice counts once; an empty table gives an empty
+result; other columns, whatever their names, are ignored or kept as they are. Spans count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import bound_batches, new_dir, table, tidy
+from lookupforge.llm.common import bound_batches, fresh, new_dir, table, tidy
 
 RULE_VERSION = "1"
 _KEYWORDS = ("password", "passwd", "secret", "token", "api")
@@ -97,6 +98,12 @@ def _scan(batches: Iterator[pa.RecordBatch], version: str) -> Iterator[pa.Record
     tidy()
 
 
+def ledger_entries(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """One entry for each blob: an append that was tried again may have left several, which are alike."""
+    rows = spark.read.schema(_LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version)
+    return rows.drop("rule_version").dropDuplicates(["sha"])
+
+
 def scan_versions(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION, fresh: bool = False) -> DataFrame:
     """Scan what the ledger (a folder that all executors share) lacks, add it there, and return one row for each path.
 
@@ -111,7 +118,7 @@ def scan_versions(docs: DataFrame, ledger: str, path: str = "doc_id", text: str
         blobs = blobs.join(known, "sha", "left_anti")
     found = blobs.repartition("sha").mapInArrow(lambda it: _scan(it, rule_version), _LEDGER)
     found.write.mode("append").parquet(ledger)
-    entries = spark.read.schema(_LEDGER).parquet(ledger).where(F.col("rule_version") == rule_version).drop("rule_version")
+    entries = ledger_entries(spark, ledger, rule_version)
     return paths.join(entries, "sha", "left").withColumnRenamed("path", path)
 
 
@@ -145,9 +152,10 @@ def redact_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_char
     spark = docs.sparkSession
     ledger = new_dir(spark, "secret-ledger")
     scan_versions(docs, ledger, docs.columns[0], text, fresh=True)
-    hits = spark.read.schema(_LEDGER).parquet(ledger).where("spans <> ''").select(F.col("sha").alias("__sha"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__sha", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-    both = keyed.join(hits, "__sha", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    sha, found = fresh(docs, "sha"), fresh(docs, "spans")
+    hits = ledger_entries(spark, ledger).where("spans <> ''").select(F.col("sha").alias(sha), F.col("spans").alias(found))
+    keyed = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+    both = keyed.join(hits, sha, "left").select(*[F.col(f"`{c}`") for c in docs.columns], found)
     at = docs.columns.index(text)
     out = both.mapInArrow(lambda it: _rewrite(it, at), docs.schema)
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else out

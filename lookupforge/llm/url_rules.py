@@ -7,8 +7,12 @@ up each URL's tokens in that index and runs only the regular expressions found t
 Rules are sent to the tasks in blocks of at most ``BLOCK_BYTES``; more rules make more passes over the rows in the same
 stage, never a dropped rule. No row is shuffled but the token counts, of which there are no more than rule tokens.
 
+Rules may come from a table (``rules_from``): list rules of a host and a path, domains, wildcards, phrases or regular
+expressions.
+
 Defined cases: null URLs and URLs without ``://`` have empty host and path, fit no rule with a host and are allowed;
-repeated rows stay; other columns of the input are ignored.
+repeated rows stay; very long URLs are judged whole; of rules that weigh the same the smaller name wins; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookupforge.llm.common import bound_batches
@@ -54,6 +58,36 @@ def word_rule(verdict: str, word: str) -> Rule:
     return Rule(f"word:{word}", verdict, rf"(?i)(?<![a-z0-9]){re.escape(word)}(?![a-z0-9])", tuple(_TOKEN.findall(word.lower())), 0)
 
 
+def wildcard_rule(verdict: str, pattern: str) -> Rule:
+    """``*`` stands for any run of characters; the pattern covers host and path from the host's start (or a subdomain's)."""
+    parts = [re.escape(x) for x in pattern.split("*")]
+    whole = [t for x in pattern.lower().split("*") for t in re.findall(r"(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])", x)]
+    return Rule(f"wildcard:{pattern}", verdict, r"\A(?:[^/]*\.)?" + ".*".join(parts), tuple(whole), len(pattern))
+
+
+def regex_rule(verdict: str, pattern: str, tokens: str) -> Rule:
+    """A regular expression over host and path; ``tokens`` (space-separated) are what any match must hold whole."""
+    return Rule(f"regex:{pattern}", verdict, pattern, tuple(tokens.lower().split()), 0)
+
+
+def rules_from(rows: Iterable[tuple[str, str, str, str]]) -> Iterator[Rule]:
+    """Rules of (kind, verdict, value, more): ``prefix`` (host, path), ``domain`` (host), ``wildcard`` (pattern), ``phrase``
+    (words) and ``regex`` (pattern, tokens); ValueError for another kind."""
+    for kind, verdict, value, more in rows:
+        if kind == "prefix":
+            yield prefix_rule(verdict, value, more or "")
+        elif kind == "domain":
+            yield Rule(f"domain:{value}", verdict, r"\A(?:[^/]*\.)?" + re.escape(value) + r"(?:[:/]|\Z)", tuple(_TOKEN.findall(value.lower())), len(value))
+        elif kind == "wildcard":
+            yield wildcard_rule(verdict, value)
+        elif kind == "phrase":
+            yield word_rule(verdict, value)
+        elif kind == "regex":
+            yield regex_rule(verdict, value, more or "")
+        else:
+            raise ValueError(f"unknown kind of rule {kind!r}")
+
+
 #: The list rules of the query, and the method's own pattern rules for URLs that no list rule fits. Fixed values.
 LIST_RULES = (
     prefix_rule("allow", "org", "/"),
@@ -74,6 +108,20 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_UPPER), re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
 
 
+def _rest(url: Column) -> Column:
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+
+
+def host_of(url: Column) -> Column:
+    """The same host as a Column."""
+    return F.coalesce(F.translate(F.regexp_extract(_rest(url), "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+
+
+def path_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
+
+
 def url_tokens(host: str, path: str) -> set[str]:
     return set(_TOKEN.findall((host + path).lower()))
 
@@ -107,25 +155,23 @@ def _rank(r: Rule) -> tuple:
 def _count_tokens(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n: Counter[str] = Counter()
-        for u in b.column(0).to_pylist():
-            n.update(url_tokens(*split_url(u)) & wanted)
+        for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            n.update(url_tokens(host, path) & wanted)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["token", "n"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch], rules: list[Rule], counts: dict[str, int], names: list[str]) -> Iterator[pa.RecordBatch]:
     index = RuleIndex(rules, counts)
     for b in batches:
-        host, path, best = [], [], []
-        held = b.column(2).to_pylist()  # the earlier blocks' best: (listed, weight, name, verdict)
-        for u, was in zip(b.column(1).to_pylist(), held, strict=True):
-            h, p = split_url(u)
-            host.append(h), path.append(p)
+        best = []
+        held = b.column(4).to_pylist()  # the earlier blocks' best: (listed, weight, name, verdict)
+        for h, p, was in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), held, strict=True):
             r = index.best(h, p)
             now = None if r is None else {"listed": r.listed, "weight": r.weight, "name": r.name, "verdict": r.verdict}
             if was is not None and (now is None or _rank(Rule(was["name"], "", "", (), was["weight"], was["listed"])) >= _rank(r)):
                 now = was
             best.append(now)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, _BEST), pa.array(host, pa.string()), pa.array(path, pa.string())], names=names)
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(best, _BEST)], names=names)
 
 
 _BEST = pa.struct([("listed", pa.bool_()), ("weight", pa.int32()), ("name", pa.string()), ("verdict", pa.string())])
@@ -134,7 +180,8 @@ _BEST = pa.struct([("listed", pa.bool_()), ("weight", pa.int32()), ("name", pa.s
 def judge_urls(pages: DataFrame, rules: Iterable[Rule], key: str = "page_id", url: str = "url", otherwise: str = "allow") -> DataFrame:
     """(key, url, host, path, rule, listed, verdict): the best fitting rule's verdict, ``otherwise`` where none fits."""
     bound_batches(pages.sparkSession)
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
+    rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"))
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     blocks, size = [[]], 0
     for r in rules:
         size += len(r.pattern) + len(r.name)
@@ -149,9 +196,9 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule], key: str = "page_id", ur
         wanted = frozenset(t for r in block for t in r.tokens)
         counts = {}
         if wanted:
-            seen = rows.select("url").mapInArrow(lambda it, w=wanted: _count_tokens(it, w), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+            seen = rows.select("host", "path").mapInArrow(lambda it, w=wanted: _count_tokens(it, w), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
             counts = {r.token: r.n for r in seen.collect()}  # at most the block's own tokens
-        out = out.select("key", "url", "best").mapInArrow(lambda it, b=block, c=counts: _judge(it, b, c, ["key", "url", "best", "host", "path"]), f"key {kind}, url string, best {best}, host string, path string")
+        out = out.mapInArrow(lambda it, b=block, c=counts: _judge(it, b, c, ["key", "url", "host", "path", "best"]), f"key {kind}, url string, host string, path string, best {best}")
     return out.select(F.col("key").alias(key), "url", "host", "path", F.col("best.name").alias("rule"), F.coalesce("best.listed", F.lit(False)).alias("listed"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
 
 

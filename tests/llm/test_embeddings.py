@@ -66,6 +66,14 @@ def test_links(spark, monkeypatch, cell):
     assert [x[2:] for x in got] == [x[2:] for x in want]
 
 
+def test_repeated_ids(spark):
+    """Different vectors that share an id link each by itself; the component goes by the smallest id."""
+    r = np.random.default_rng(8)
+    near, far = r.normal(size=64).astype(np.float32), r.normal(size=64).astype(np.float32)
+    rows = [(1, near.tolist(), 0), (1, far.tolist(), 0), (2, (near * 2).tolist(), 0), (0, (far + np.float32(0.001)).tolist(), 0), (3, near.tolist(), 0), (1, near.tolist(), 0)]
+    assert sorted(tuple(x) for x in E.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()) == brute(rows)
+
+
 def test_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = sorted(tuple(x) for x in E.op2_embedding_lattice(spark, sf_dir).collect())

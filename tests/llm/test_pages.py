@@ -2,6 +2,8 @@
 
 import os
 import sys
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -74,16 +76,16 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><
 
 
 def test_page():
-    found = H.blocks(PAGE)
+    found, paths = H.blocks(PAGE)
     want = "Head&line\nOne boldword and more. Next\nTwo <3\nitem\ncell\nDeep."
-    path = H.scores(found).most_common(1)[0][0]
-    assert path == "/html/body.x/article.post-#" and H.main_text(found, path) == want
-    assert H.main_text(found, "/not/here") == want and H.main_text([], path) == ""
+    path = H.best_path(found, paths)[2]
+    assert path == "/html/body.x/article.post-#" and H.main_text(found, paths, path) == want
+    assert H.main_text(found, paths, "/not/here") == want and H.main_text([], H.Paths(), path) == ""
 
 
 @pytest.mark.parametrize("page", [None, "", "<", "plain text", "<p>open", "<article>" * 50, "<!-- never closed <p>x</p>", "<script>x", '<p a="x>y', "</p></div></html>", "<nav><a>m</a><article><p>Body</p></article>"])
 def test_broken_pages(page):
-    text = H.main_text(H.blocks(page or ""), None)
+    text = H.main_text(*H.blocks(page or ""), None)
     assert text == {"plain text": "plain text", "<p>open": "open", "<nav><a>m</a><article><p>Body</p></article>": "Body"}.get(page, text)
     assert "x</p>" not in text
 
@@ -113,22 +115,103 @@ def test_parts_of_plain_divs():
     """Sibling parts of a text in plain divs stay together, whatever their sizes; a container alone keeps its own path."""
     text = "long text " * 20
     page = f"<body><div class='content'><div class='intro'><p>intro</p></div><div class='text'><p>{text}</p></div></div></body>"
-    assert H.main_text(H.blocks(page), None) == f"intro\n{text.strip()}"
+    assert H.main_text(*H.blocks(page), None) == f"intro\n{text.strip()}"
     page = f"<body><div class='content'><p>own</p><div class='text'><p>{text}</p></div></div></body>"
-    assert H.main_text(H.blocks(page), None) == f"own\n{text.strip()}"
+    assert H.main_text(*H.blocks(page), None) == f"own\n{text.strip()}"
     page = f"<body><div class='a'><div class='b'><p>{text}</p></div></div></body>"
-    assert H.scores(H.blocks(page)).most_common(1)[0][0] == "/body/div.a/div.b"
+    assert H.best_path(*H.blocks(page))[2] == "/body/div.a/div.b"
     page = f"<body><div class='a'><article><p>short</p></article><div class='x'><p>y</p></div></div></body>"
-    assert H.main_text(H.blocks(page), None) == "short"
+    assert H.main_text(*H.blocks(page), None) == "short"
 
 
 @pytest.mark.parametrize("name", ["has-sidebar", "with-sidebar"])
 @pytest.mark.parametrize("tag", ["article", "main"])
 def test_article_in_labelled_wrapper(name, tag):
     long_ = "card " * 50
-    assert H.main_text(H.blocks(f"<body><div class='{name}'><{tag}><p>Text</p></{tag}><div class='sidebar'><p>{long_}</p></div><p>loose</p></div></body>"), None) == "Text"
-    assert H.main_text(H.blocks(f"<body><main><div class='{name}'><article><p>Text</p><div class='share'><p>x</p></div></article></div></main></body>"), None) == "Text"
+    assert H.main_text(*H.blocks(f"<body><div class='{name}'><{tag}><p>Text</p></{tag}><div class='sidebar'><p>{long_}</p></div><p>loose</p></div></body>"), None) == "Text"
+    assert H.main_text(*H.blocks(f"<body><main><div class='{name}'><article><p>Text</p><div class='share'><p>x</p></div></article></div></main></body>"), None) == "Text"
     # What labels drop beside an article stays dropped, as do hidden parts and comments.
-    assert H.main_text(H.blocks(f"<body><main><article><p>Text</p></article><div class='related'><article><p>{long_}</p></article></div></main></body>"), None) == "Text"
-    assert H.main_text(H.blocks(f"<body><div class='x'><p>Text</p></div><div id='comments'><article class='comment'><p>{long_}</p></article></div></body>"), None) == "Text"
-    assert H.main_text(H.blocks(f"<body><p>Text</p><div class='{name}' hidden><{tag}><p>{long_}</p></{tag}></div></body>"), None) == "Text"
+    assert H.main_text(*H.blocks(f"<body><main><article><p>Text</p></article><div class='related'><article><p>{long_}</p></article></div></main></body>"), None) == "Text"
+    assert H.main_text(*H.blocks(f"<body><div class='x'><p>Text</p></div><div id='comments'><article class='comment'><p>{long_}</p></article></div></body>"), None) == "Text"
+    assert H.main_text(*H.blocks(f"<body><p>Text</p><div class='{name}' hidden><{tag}><p>{long_}</p></{tag}></div></body>"), None) == "Text"
+
+
+class Plain(HTMLParser):
+    """The text of a page's only article, block by block, with the library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.out, self.parts = 0, 0, [], []
+        self.feed(page)
+        self.close()
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.out.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if self.inside and tag in H.BLOCKS:
+            self.flush()
+        if tag == "br":
+            self.parts.append(" ")
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style", "aside", "form", "nav", "footer")
+
+    def handle_endtag(self, tag):
+        if self.inside and tag in H.BLOCKS:
+            self.flush()
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style", "aside", "form", "nav", "footer")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.parts.append(data)
+
+
+def test_pages_against_plain(spark, sf_dir):
+    """Every page of the smallest tables, and repeated rows."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = sorted((r.page_id, "\n".join(Plain(r.html or "").out)) for r in pages.collect() for _ in range(2))
+    twice = stage(pages.union(pages), "t")
+    assert sorted((r.page_id, r.text) for r in H.extract_pages(twice).collect()) == want
+
+
+def test_hostile_nesting():
+    """Deep nesting costs what its tags cost."""
+    n = 20_000
+    page = "<body>" + "".join(f"<div class='c{'x' * 20}'>a{i} " for i in range(n))
+    began = time.time()
+    assert H.main_text(*H.blocks(page), None).count("\n") == n - 1
+    assert H.best_path(*H.blocks("<div class='w-1/2'><p>x</p></div>"))[2] == "/div.w-#|#"
+    assert time.time() - began < 20
+
+
+def test_vote_ties_and_names(spark):
+    """Of paths with equal votes the last in order wins; one huge page has a bounded vote; clashing names do no harm."""
+    page = lambda c, n: f"<body><div class='{c}'><p>{'w ' * n}</p></div><div class='{'ab'[c == 'a']}'><p>x</p></div></body>"
+    rows = [(1, "http://t/1", page("a", 10), 1, "s"), (2, "http://t/2", page("b", 10), 1, "s")] + [(10 + i, "http://u/", page("a", 900), 1, "s") for i in range(4)] + [(20, "http://u/", page("b", 90_000), 1, "s")]
+    got = {r.page_id: r for r in H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, host int, path string")).collect()}
+    assert got[1].path == got[2].path == "/body/div.b" and got[1].text == "x"
+    assert got[10].path == "/body/div.a" == got[20].path and got[20].text == "x"
+
+
+def test_rules_from_table(spark):
+    """Many rules of all kinds, and only candidates run."""
+    rows = [("domain", "block", f"host{i}.net", None) for i in range(100_000)] + [("wildcard", "block", "x.com/*/ads/", None), ("phrase", "block", "free-money", None), ("regex", "block", r"/id-\d+$", "id"), ("prefix", "allow", "host7.net", "/ok/")]
+    index = U.RuleIndex(U.rules_from(rows), {})
+    best = lambda host, path: (r := index.best(host, path)) and (r.name, r.verdict)
+    assert best("a.host99.net", "/x") == ("domain:host99.net", "block") and best("nohost99.net", "/") is None
+    assert best("host7.net", "/ok/1") == ("host7.net/ok/", "allow") and best("host7.net", "/no")[1] == "block"
+    assert best("www.x.com", "/a/ads/1")[0] == "wildcard:x.com/*/ads/" and best("y.z", "/id-12")[1] == "block" and best("y.z", "/id-x") is None
+    assert len(index.candidates("host99.net", "/free-money")) < 10
+    with pytest.raises(ValueError):
+        list(U.rules_from([("other", "block", "x", None)]))
+
+
+def test_host_columns(spark):
+    """The Columns cut URLs as the plain function does."""
+    urls = [*URLS, "http://A\nb/c\nd?e", "http://é.com/ü#x", "://", "a://b://c/d", "http://x.com?q#f"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for r in df.select("url", U.host_of(df.url).alias("h"), U.path_of(df.url).alias("p")).collect():
+        assert (r.h, r.p) == U.split_url(r.url) == plain(r.url)[:2], r.url

@@ -6,9 +6,10 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from lookupforge.llm import decontaminate, secret_ledger, substring_doubling, token_store, toxicity, viterbi_pieces
-from lookupforge.llm.common import new_dir, stage
+from lookupforge.llm import common, decontaminate, minhash_paths, secret_ledger, substring_doubling, token_store, toxicity, viterbi_pieces
+from lookupforge.llm.common import Words, mix, new_dir, stage
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -237,7 +238,73 @@ def test_toxicity_odd(spark, docs, odd):
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns
     none = toxicity.score_documents(docs, toxicity.fit_model(docs, labels.where("toxic > 5")), ["doc_id"])
-    assert none.count() == len(odd) and {r["__score"] for r in none.collect()} == {0.0}
+    assert none.count() == len(odd) and {r.score for r in none.collect()} == {0.0}
+
+
+def test_toxicity_plain_scorer(spark, docs, odd):
+    """Scores against the weights summed one by one, over words cut by a regular expression; empty texts get the base rate."""
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in odd], "doc_id long, toxic int")
+    twice = stage(docs.union(docs.where("doc_id > 30")), "t")
+    model = toxicity.fit_model(twice, labels)
+    assert model == toxicity.fit_model(docs, labels)
+    weights, mask = dict(zip(np.frombuffer(model[0], "<i4").tolist(), np.frombuffer(model[1], "<f8").tolist(), strict=True)), (1 << toxicity.BITS) - 1
+    word = lambda b: int(Words(np.frombuffer(b, np.uint8), np.array([0, len(b)]), np.ones(256, bool), True).hash[0])
+    mixed = lambda x: int(mix(np.array([x & (1 << 64) - 1], np.uint64))[0]) & mask
+    want = {}
+    for i, t in odd:
+        raw = [w.encode() for w in brute.ALNUM.findall((t or "").translate(brute.LOWER))][:2000]
+        if len(raw) == 2000:
+            continue
+        h = [word(w) for w in raw]
+        f = {mixed(x ^ 1) for x in h} | {mixed(word(w[:n]) ^ n) for w in raw for n in toxicity.STEMS if len(w) > n}
+        f |= {mixed(h[k] * 0x9E3779B97F4A7C15 + h[k + gap] + gap) for gap in (1, 2) for k in range(len(h) - gap)}
+        want[i] = 1 / (1 + np.exp(-(sum(weights.get(x, 0.0) for x in f) + model[2])))
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, model, ["doc_id"]).collect()}
+    assert all(abs(got[i] - x) < 1e-9 for i, x in want.items()) and len(want) > 50
+    assert got[0] == got[1] == got[2] == want[0]
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_words_by_blocks(odd, monkeypatch, block):
+    """Hashes don't depend on the blocks in which they are made, nor on where a word stands."""
+    monkeypatch.setattr(common, "_BLOCK", block)
+    raw = [(t or "")[:3000].encode() for _, t in odd]
+    w = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), common.ALNUM, True)
+    names = [x for t in raw for x in brute.ALNUM.findall(t.decode().translate(brute.LOWER))]
+    assert len(names) == len(w) and len(set(names)) == len(set(w.hash.tolist())) == len(set(zip(names, w.hash.tolist())))
+    assert len({*zip(zip(names, names[1:], names[2:]), common.grams(w.hash, 3).tolist())}) == len({*zip(names, names[1:], names[2:])})
+    assert (w.span(w.start[::-1], w.end[::-1]) == w.hash[::-1]).all()
+
+
+def test_clashing_names(spark, docs, odd):
+    """The stages keep columns of any name."""
+    names = ["own", "own_", "__key", "score", "__score", "sha", "spans", "__sha", "key", "component"]
+    wide = stage(docs.select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names)]), "t")
+    items = spark.createDataFrame([(1, odd[11][1])], "item_id long, text string")
+    labels = spark.createDataFrame([(6, 1), (40, 0), (41, 0)], "doc_id long, toxic int")
+    for out in (decontaminate.drop_contaminated(wide, items), toxicity.drop_toxic(wide, labels, 2.0), secret_ledger.redact_documents(wide), minhash_paths.keep_one(wide)):
+        assert out.columns == wide.columns and out.select(names).distinct().collect() == [tuple(range(len(names)))]
+
+
+def test_ledger_appended_twice(spark, docs):
+    """Entries that a retried append left twice give each path one row."""
+    ledger = new_dir(spark, "t")
+    once = rows(secret_ledger.scan_versions(docs, ledger, fresh=True))
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-more")
+    spark.read.parquet(f"{ledger}-more").write.mode("append").parquet(ledger)
+    assert rows(secret_ledger.scan_versions(docs, ledger)) == once
+
+
+def test_repeated_rows(spark, odd):
+    """Every row of an id and text that repeat gets the same result, like the first."""
+    twice = stage(spark.createDataFrame([x for x in odd for _ in range(2)], "doc_id long, text string").repartition(3), "t")
+    index = decontaminate.build_index(twice, new_dir(spark, "t"))
+    items = [(7, odd[11][1])]
+    found = decontaminate.find_phrases(index, spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(found, "key", "n_words", "n_hit") == sorted((x[:3] for x in brute.op1(odd, items) for _ in range(2)), key=str)
+    assert rows(substring_doubling.remove_repeats(twice), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.op8([x for x in odd for _ in range(2)]), key=str)
+    once = {r.doc_id: (r.n_pieces, r.ids_crc32) for r in viterbi_pieces.encode_documents(twice, viterbi_pieces.model_path()).collect()}
+    assert [tuple(r) for r in rows(viterbi_pieces.encode_documents(twice, viterbi_pieces.model_path()), "doc_id", "n_pieces", "ids_crc32")] == sorted(((d, *x) for d, x in once.items() for _ in range(2)), key=str)
 
 
 @pytest.mark.parametrize("op", ["index", "secrets", "repeats", "tokens", "pieces"])
