@@ -1,19 +1,21 @@
 """Repeated passages by level-wise doubling.
 
-A window of words can repeat only if the windows of half its length inside it repeat. Level 0 takes windows of half the
-wanted length; only a window's minimiser (its half-length window of smallest hash, the same wherever the window stands) has
-to be asked about, about one position in ten. Windows all of whose minimisers repeat are extended to the full length and
-asked about in turn; with ``extend`` the doubling goes on until no candidate survives, and every span reports the longest
-window that repeats in it.
-
-Asking is one shuffle: documents are packed (``CHUNK_BYTES`` of text a pack); each pack sends its distinct window hashes in
-packed slices, by hash bucket, with a flag for those that stand twice in the pack. A bucket answers each slice with a bitmap.
-A window that a third of all documents share reaches its bucket once per pack, never once per document. Answers are staged
-and joined to the packs, whose texts travel compressed. Full-length windows compare by two 64-bit hashes.
-
-Defined cases: null texts have no words; texts shorter than a window lose nothing; repeated rows repeat each other's windows
-and are all cut; an empty table gives an empty result; other columns are ignored. Packs are numbered by partition and order,
-so the input must be a deterministic read (files or staged tables); an answer of another length raises an error.
+A window of words can repeat only if the shorter windows inside it repeat. Level 0 takes windows of about a quarter of the
+wanted length, and each level windows twice as long as the one before, up to the wanted length; only what survived a level is
+asked about in the next. Below the wanted length a window is asked about by its minimiser (the shorter window of smallest hash
+inside it, the same wherever the window stands), so that one position in ten or so is asked about at level 0. At the wanted
+length the windows themselves are asked about; with ``extend`` the doubling goes on until no candidate survives, and every
+span reports the longest window that repeats in it.
+
+Asking is one shuffle: documents are packed (``CHUNK_BYTES`` of text a pack) and staged; each pack sends its distinct window
+hashes in packed slices, by hash bucket, with a flag for those that stand twice in the pack. A bucket answers each slice with a
+bitmap. A window that a third of all documents share reaches its bucket once per pack, never once per document. Answers are
+staged and joined to the packs, whose texts travel compressed; packs without an answer don't come to the next level.
+Full-length windows compare by two 64-bit hashes.
+
+Defined cases: null texts have no words; texts shorter than a window lose nothing; a very long text makes a pack of its own;
+repeated rows repeat each other's windows and are all cut; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, grams, stage, table
+from lookupforge.llm.common import NONSPACE, Words, bound_batches, chunks, grams, remove, stage, table
 
 WINDOW = 35
 #: Text bytes for each hash bucket; buckets grow with the input, so that one bucket's hashes fit a task.
@@ -91,6 +93,14 @@ class Distinct:
         return hit[self.which]
 
 
+def short_levels(window: int) -> list[int]:
+    """Lengths of the levels below the wanted one."""
+    out = [-(-window // 4)]
+    while 2 * out[-1] < window:
+        out.append(2 * out[-1])
+    return [x for x in out if x < window]
+
+
 class Pack:
     """One pack's words and, level by level, its candidate windows."""
 
@@ -98,22 +108,27 @@ class Pack:
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
         self.words = Words(data, np.frombuffer(off, "<i8"), NONSPACE, False)
         self.left, self.window, self.buckets = self.words.left(), window, buckets
+        self.short = short_levels(window)
+
+    def _minimisers(self, length: int, starts: np.ndarray) -> Distinct:
+        if not len(starts):
+            return Distinct([np.zeros(0, np.uint64)], self.buckets)
+        g = grams(self.words.hash, length)
+        d = Distinct([_sliding_min(g, self.window - length + 1)[starts]], self.buckets)
+        # A key stands twice if two positions hold it, however many windows share one position.
+        values, count = np.unique(g[self.left[: len(g)] >= length], return_counts=True)
+        d.count = count[np.searchsorted(values, d.keys[0])]
+        return d
 
     def level(self, k: int, replies: dict[int, dict]) -> tuple[int, np.ndarray, Distinct]:
         """(length, starts, distinct keys) of level k, given the answers to the levels before."""
-        h, size = self.words.hash, self.window
-        half = (size + 1) // 2
-        g = grams(h, half)
-        starts = np.flatnonzero(self.left >= size)
-        low = _sliding_min(g, size - half + 1)[starts] if len(starts) else np.zeros(0, np.uint64)
-        d = Distinct([low], self.buckets)
-        if len(low):  # a key stands twice if two positions hold it, however many windows share one position
-            values, count = np.unique(g[self.left[: len(g)] >= half], return_counts=True)
-            d.count = count[np.searchsorted(values, d.keys[0])]
-        if k == 0:
-            return half, starts, d
-        starts, length = starts[d.answered(replies.get(0, {}))], size
-        for i in range(1, k + 1):
+        h, starts, length = self.words.hash, np.flatnonzero(self.left >= self.window), self.window
+        for i, short in enumerate(self.short):
+            d = self._minimisers(short, starts)
+            if i == k:
+                return short, starts, d
+            starts = starts[d.answered(replies.get(i, {}))]
+        for i in range(len(self.short), k + 1):
             d = Distinct([grams(h, length)[starts], grams(h, length, True)[starts]], self.buckets)
             if i == k:
                 break
@@ -123,7 +138,7 @@ class Pack:
         return length, starts, d
 
     def repeated(self, k: int, replies: dict[int, dict]) -> tuple[int, np.ndarray]:
-        """(length, starts) of the windows of level k >= 1 that repeat."""
+        """(length, starts) of the windows of level k that repeat, at the wanted length or beyond."""
         length, starts, d = self.level(k, replies)
         return length, starts[d.answered(replies.get(k, {}))]
 
@@ -146,9 +161,9 @@ def _ask(batches: Iterator[pa.RecordBatch], k: int, window: int, buckets: int) -
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=[x.split()[0] for x in _ASK.split(", ")])
 
 
-def _answer(t: pa.Table, k: int) -> pa.Table:
-    """One bucket's slices answered."""
-    ns, width = t["n"].to_numpy(), 1 if k == 0 else 2
+def _answer(t: pa.Table, k: int, width: int) -> pa.Table:
+    """One bucket's slices answered; keys are of ``width`` hashes."""
+    ns = t["n"].to_numpy()
     parts = [np.frombuffer(x, "<u8").reshape(width, -1) for x in t["hashes"].to_pylist()]
     keys = np.concatenate(parts, axis=1)
     hit = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(t["twice"].to_pylist(), ns, strict=True)]).astype(bool)
@@ -162,8 +177,8 @@ def _answer(t: pa.Table, k: int) -> pa.Table:
     return pa.table([pa.array([k] * len(rows), pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], names=[x.split()[0] for x in _REPLY.split(", ")])
 
 
-def _answerer(k: int):
-    return lambda t: _answer(t, k)
+def _answerer(k: int, width: int):
+    return lambda t: _answer(t, k, width)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], top: int, window: int, buckets: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
@@ -173,7 +188,7 @@ def _cut(batches: Iterator[pa.RecordBatch], top: int, window: int, buckets: int,
             replies = _by_level(b.column(3)[i].as_py())
             p = Pack(blob, off, window, buckets)
             w, longest = p.words, np.zeros(len(p.words), np.int64)
-            for k in range(1, top + 1):
+            for k in range(len(p.short), top + 1):
                 length, starts = p.repeated(k, replies)
                 edge = np.zeros(len(w) + 1, np.int64)
                 np.add.at(edge, starts, 1)
@@ -207,26 +222,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     kind = rows.schema["key"].dataType.simpleString()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
-    packs = rows.mapInArrow(_packs, f"pack long, keys array<{kind}>, blob binary, off binary")
+    scratch: list[str] = []
+    packs = stage(rows.mapInArrow(_packs, f"pack long, keys array<{kind}>, blob binary, off binary"), "packs", scratch)
     replies: DataFrame | None = None
 
-    def answered() -> DataFrame:
+    def answered(how: str, *columns: str) -> DataFrame:
         by_pack = replies.groupBy("pack").agg(F.collect_list(F.struct("level", "bucket", "n", "bits")).alias("replies"))
-        return packs.join(by_pack, "pack", "left")
+        return packs.select("pack", *columns).join(by_pack.hint("merge"), "pack", how)
 
-    k = 0
+    k, whole = 0, len(short_levels(window))
     while True:
-        told = answered().select("pack", "blob", "off", "replies") if k else packs.select("pack", "blob", "off")
+        told = answered("inner", "blob", "off").select("pack", "blob", "off", "replies") if k else packs.select("pack", "blob", "off")
         asked = told.mapInArrow(lambda it, k=k: _ask(it, k, window, buckets), _ASK)
-        new = stage(asked.groupBy("bucket").applyInArrow(_answerer(k), _REPLY), f"repeats-{k}")
-        some = new.limit(1).count() > 0
+        new = stage(asked.groupBy("bucket").applyInArrow(_answerer(k, 1 if k < whole else 2), _REPLY), f"repeats-{k}", scratch)
         replies = new if replies is None else replies.union(new)
-        if k and (not extend or not some) or not some:
+        if k >= whole and not extend or not new.limit(1).count():
             break
         k += 1
-    if k == 0:
-        k = 1
-    return answered().select("keys", "blob", "off", "replies").mapInArrow(lambda it: _cut(it, k, window, buckets, keep_text), f"key {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long,window:long>>, kept string").withColumnRenamed("key", key)
+    out = answered("left", "keys", "blob", "off").select("keys", "blob", "off", "replies").mapInArrow(lambda it: _cut(it, k, window, buckets, keep_text), f"key {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long,window:long>>, kept string")
+    out = stage(out.withColumnRenamed("key", key), "without-repeats")
+    remove(spark, scratch)
+    return out
 
 
 def op8_substring_doubling(spark, sf_dir: str) -> DataFrame:
