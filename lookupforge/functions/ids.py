@@ -82,8 +82,17 @@ def unstacked_sample(row: Column, samples: int, slices: int, batch_per_slice: in
     return F.when((at >= 0) & (at < per), div(row, batch_per_slice) * F.lit(per) + at)
 
 
-def physical_row(row: Column, g: int, stack_vocab: int, row_offset_in_shard: int, rotation: int) -> Column:
-    """Place of a table's row in its stack's shards laid one after the other."""
+def within(row: Column, vocabulary: int) -> Column:
+    """``row``, or an error where it lies outside the vocabulary."""
+    bad = F.raise_error(F.concat(F.lit(f"row outside a vocabulary of {vocabulary}: "), row.cast("string"))).cast("long")
+    return F.when((row >= 0) & (row < vocabulary), row).otherwise(bad)
+
+
+def physical_row(row: Column, g: int, stack_vocab: int, row_offset_in_shard: int, rotation: int, vocabulary: int | None = None) -> Column:
+    """Place of a table's row in its stack's shards laid one after the other; with ``vocabulary``, a query over a row beyond it
+    fails."""
+    if vocabulary is not None:
+        row = within(row, vocabulary)
     return F.pmod(F.pmod(row, F.lit(g)) + F.lit(rotation), F.lit(g)) * F.lit(stack_vocab // g) + div(row, g) + F.lit(row_offset_in_shard)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookupforge.specs import Quantization
@@ -54,5 +54,23 @@ def sums(value: Column, weight: Column, dim: int) -> list[Column]:
     return [F.sum(weight * value[i].cast("double")).alias(f"__d{i}") for i in range(dim)]
 
 
+#: Dimensions that one aggregate sums; beyond about a hundred columns an aggregate is no longer compiled as a whole.
+BLOCK = 64
+
+
+def summed(df: DataFrame, keys: list[str], value: str, weight: str, dim: int, name: str, **more: Column) -> DataFrame:
+    """(keys, name, more): the weighted sum of the vectors of each key, and further aggregates. Wide vectors are summed in
+    blocks of dimensions, as rows of their own; the blocks of a key, a fixed number, are put together after."""
+    v, w = F.col(value), F.col(weight)
+    if dim <= BLOCK:
+        return df.groupBy(*keys).agg(*sums(v, w, dim), *[x.alias(n) for n, x in more.items()]).select(*keys, gathered(dim).alias(name), *more)
+    parts = F.transform(F.sequence(F.lit(0), F.lit((dim - 1) // BLOCK)), lambda i: F.slice(v, i * BLOCK + 1, BLOCK))
+    cut = df.select("*", F.posexplode(F.when(v.isNull(), F.array(F.lit(None).cast("array<double>"))).otherwise(parts)).alias("__block", "__part"))
+    add = [F.sum(w * F.get("__part", F.lit(i)).cast("double")).alias(f"__d{i}") for i in range(BLOCK)]
+    each = cut.groupBy(*keys, "__block").agg(*add, *[F.when(F.col("__block") == 0, x).alias(n) for n, x in more.items()])
+    whole = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__block", gathered(BLOCK).alias("x")))).alias("__all"), *[F.max(n).alias(n) for n in more])
+    return whole.select(*keys, F.slice(F.flatten(F.transform("__all", lambda b: b["x"])), 1, dim).alias(name), *more)
+
+
 def gathered(dim: int) -> Column:
     return F.array(*[F.col(f"__d{i}") for i in range(dim)])

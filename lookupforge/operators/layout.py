@@ -86,6 +86,13 @@ def fit_buffer(placed: DataFrame, capacity: int) -> DataFrame:
     return at.where(F.col("position") < capacity)
 
 
+def overflow_counts(placed: DataFrame, capacity: int) -> DataFrame:
+    """(local_sc, overflow): merged rows that find no place in their source's buffer."""
+    offsets = partition_offsets(partition_stats(placed)).select(*PARTITION, "start")
+    at = ranked(placed).join(offsets, list(PARTITION)).where(F.col("start") + F.col("rank") - 1 >= capacity)
+    return at.groupBy("local_sc").agg(F.count("*").alias("overflow"))
+
+
 def row_pointers(placed: DataFrame, topology: Topology, local_scs: int, capacity: int) -> DataFrame:
     """(local_sc, slot, pointer): the end of each partition's rows, up to the capacity; absent partitions end where they would
     begin, and slots beyond the shards (there are at least 8) hold the aligned end."""

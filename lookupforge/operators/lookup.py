@@ -14,11 +14,11 @@ def lookup(coo: DataFrame, table: DataFrame, dim: int, keys: tuple[str, ...] = (
     """(keys, vec): the weighted sum of each sample's vectors; zeros for samples of ``samples`` without ids.
 
     The join is left to the planner: a table below Spark's measured broadcast threshold is broadcast, a larger one shuffled
-    with AQE's skew handling. Sums are kept per dimension, so partial sums shrink the rows before the shuffle by sample.
+    with AQE's skew handling. Sums are kept per dimension (``vectors.summed``), so partial sums shrink the rows before the shuffle by sample.
     """
     rows = coo.select(*keys, F.col(id_).alias("__id"), "gain")
     t = table.select(F.col("id").alias("__id"), V.quantize(F.col(vec), quantization).alias("__vec"))
-    out = rows.join(t, "__id").groupBy(*keys).agg(*V.sums(F.col("__vec"), F.col("gain"), dim)).select(*keys, V.gathered(dim).alias("vec"))
+    out = V.summed(rows.join(t, "__id"), list(keys), "__vec", "gain", dim, "vec")
     if samples is not None:
         out = samples.select(*keys).join(out, list(keys), "left").select(*keys, F.coalesce("vec", V.zeros(dim)).alias("vec"))
     return out
@@ -33,9 +33,8 @@ def pooled(coo: DataFrame, table: DataFrame, dim: int, combiner: str, keys: tupl
     w = F.col(weight).cast("double")
     rows = coo.select(*keys, F.col("id").alias("__id"), w.alias("__weight"))
     t = table.select(F.col("id").alias("__id"), V.quantize(F.col("vec"), quantization).alias("__vec"))
-    sums = V.sums(F.col("__vec"), F.col("__weight"), dim)
-    out = rows.join(t, "__id", "left").groupBy(*keys).agg(*sums, total_weight(combiner, F.col("__weight")).alias("__total"), F.count("__vec").alias("__found")).where("__found > 0")
-    each = V.gathered(dim) if combiner == "sum" else F.transform(V.gathered(dim), lambda x: F.try_divide(x, F.col("__total")))
+    out = V.summed(rows.join(t, "__id", "left"), list(keys), "__vec", "__weight", dim, "__sum", __total=total_weight(combiner, F.col("__weight")), __found=F.count("__vec")).where("__found > 0")
+    each = F.col("__sum") if combiner == "sum" else F.transform("__sum", lambda x: F.try_divide(x, F.col("__total")))
     out = out.select(*keys, each.alias("vec"))
     if samples is not None:
         out = samples.select(*keys).join(out, list(keys), "left").select(*keys, F.coalesce("vec", V.zeros(dim)).alias("vec"))

@@ -100,6 +100,8 @@ def register(name: str, rule: Rule, slots: dict[str, float] | None = None, defau
 
 
 def kind_of(opt: Optimizer) -> tuple[Kind, dict]:
+    if opt.rule is not None:
+        return Kind(opt.rule, dict(opt.slots), {}), dict(opt.params)
     if opt.name not in RULES:
         raise ValueError(f"unknown optimizer {opt.name!r}")
     kind = RULES[opt.name]

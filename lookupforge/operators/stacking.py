@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import math
 import warnings
 from collections import defaultdict
 from collections.abc import Callable, Iterable
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lookupforge.functions import vectors as V
 from lookupforge.functions.ids import div, logical_row, physical_row
-from lookupforge.specs import FeatureSpec, Placement, StackSpec, TableSpec, Topology, round_up, stack_name, unique_names
+from lookupforge.specs import FeatureSpec, Placement, StackSpec, TableSpec, Topology, grouped_names, round_up, stack_name, unique_names
 
 MEMORY_LIMIT = 2 << 20
 
@@ -61,10 +62,7 @@ def auto_stack(tables: Iterable[TableSpec], features: Iterable[FeatureSpec], top
     in the given order."""
     samples: dict[str, int] = defaultdict(int)
     for f in features:
-        n = 1
-        for x in f.output_shape[:-1]:
-            n *= x
-        samples[f.table] += n
+        samples[f.table] += math.prod(f.output_shape[:-1])
     bins: dict[tuple, list[list[TableSpec]]] = defaultdict(list)
     use: dict[int, int] = {}
     for t in unique_names(tables, "table").values():
@@ -133,8 +131,19 @@ def reshard(stacked: DataFrame, source: StackSpec, source_topology: Topology, ta
     return stack_and_shard({p.table: unstack(stacked, source, p.table, source_topology, columns) for p in source.tables}, target, target_topology, pad, columns)
 
 
-def restack(stacks: Iterable[StackSpec], tables: dict[str, TableSpec], topology: Topology) -> list[StackSpec]:
-    """The same groups of tables, placed for another topology."""
+def restack(stacks: Iterable[StackSpec], tables: dict[str, TableSpec], topology: Topology, features: Iterable[FeatureSpec] | None = None, regroup: bool = False, memory: int = MEMORY_LIMIT) -> list[StackSpec]:
+    """Stacks for another topology: grouped anew with ``regroup`` (by ``auto_stack``), else the same groups of tables. With
+    ``features``, ValueError where a kept group passes the activation memory limit there."""
+    stacks = list(stacks)
+    grouped_names([[p.table for p in s.tables] for s in stacks], tables)
+    if regroup:
+        return auto_stack(tables.values(), features or (), topology, memory)
+    samples: dict[str, int] = defaultdict(int)
+    for f in features or ():
+        samples[f.table] += math.prod(f.output_shape[:-1])
+    for s in stacks:
+        if (need := sum(activation_bytes(tables[p.table], samples[p.table], topology) for p in s.tables)) > memory:
+            raise ValueError(f"stack {s.name} needs {need} bytes of activations, the limit is {memory}")
     return [dataclasses.replace(stack_tables([tables[p.table] for p in s.tables], topology, s.name), max_ids_per_partition=s.max_ids_per_partition, max_unique_ids_per_partition=s.max_unique_ids_per_partition) for s in stacks]
 
 

@@ -16,7 +16,7 @@ from lookupforge.specs import Optimizer
 def gradient_sums(coo: DataFrame, grads: DataFrame, dim: int, keys: tuple[str, ...] = ("sample",), by: tuple[str, ...] = ("id",)) -> DataFrame:
     """(id, grad): each id's sum of gain times its samples' gradients. Partial sums are kept per id before the shuffle."""
     g = grads.select(*keys, F.col("grad").alias("__grad"))
-    return coo.join(g, list(keys)).groupBy(*by).agg(*V.sums(F.col("__grad"), F.col("gain"), dim)).select(*by, V.gathered(dim).alias("grad"))
+    return V.summed(coo.join(g, list(keys)), list(by), "__grad", "gain", dim, "grad")
 
 
 def with_slots(table: DataFrame, opt: Optimizer) -> DataFrame:

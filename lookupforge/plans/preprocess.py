@@ -7,6 +7,7 @@ are passed, and the split mask.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -14,6 +15,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lookupforge.functions import vectors as V
 from lookupforge.functions.ids import bucket, div, shift_offset, stacked_row, unstacked_sample
 from lookupforge.operators import coo as C
 from lookupforge.operators import layout as L
@@ -139,6 +141,53 @@ def preprocess(batches: dict[str, Batch], features: dict[str, FeatureSpec], stac
     return Preprocessed(out, _union(stats), _union(dropped), n, offsets, {s.name: total[s.name] for s, _, _ in rows})
 
 
+@dataclass(frozen=True)
+class Buffers:
+    """A stack's buffers. ``rows``: (local_sc, position, embedding_id, sample_id, gain), with aligned places; with minibatches,
+    ``local_sc`` is the device. ``pointers``: (local_sc, slot, pointer), or the minibatches' partitions (device, local_sc,
+    minibatch, global_sc, ids, start). ``dropped``: (local_sc, limits, overflow). ``capacity``: places of a source or device."""
+
+    rows: DataFrame
+    pointers: DataFrame
+    dropped: DataFrame
+    capacity: int
+
+    def total_dropped(self) -> int:
+        return self.dropped.agg(F.coalesce(F.sum(F.col("limits") + F.col("overflow")), F.lit(0))).first()[0]
+
+
+def buffers(pre: Preprocessed, stack: StackSpec, topology: Topology, padding: bool = True) -> Buffers:
+    """Lay a stack's rows out in buffers of the suggested size, or of the theoretical one. What finds no place is dropped and
+    counted; minibatches share the buffer of their device."""
+    mini = pre.minibatches > 1
+    size = L.buffer_size(stack.max_ids_per_partition, topology, stack.suggested_buffer, mini)
+    batch = pre.batch_rows[stack.name] // topology.local_scs
+    placed = pre.rows.where(F.col("stack") == stack.name).withColumn("bucket", F.col("minibatch"))
+    lost = pre.dropped.where(F.col("stack") == stack.name).groupBy("local_sc").agg(F.sum("dropped").alias("limits"))
+    if not mini:
+        capacity = size // topology.sc_per_device
+        rows, pointers = L.csr_rows(placed, capacity, batch, padding), L.row_pointers(placed, topology, topology.local_scs, capacity)
+        over = L.overflow_counts(placed, capacity)
+    else:
+        capacity, keys = size, ["local_sc", "minibatch", "global_sc"]
+        pointers = L.pack_minibatches(placed, topology.sc_per_device)
+        at = L.ranked(placed).join(pointers.select("device", *keys, "start"), keys).withColumn("position", F.col("start") + F.col("rank") - 1)
+        rows = at.where(F.col("position") < capacity).select(F.col("device").alias("local_sc"), "position", F.col("local_id").alias("embedding_id"), F.pmod("row", F.lit(batch)).alias("sample_id"), F.col("gain").cast("double").alias("gain"))
+        over = at.where(F.col("position") >= capacity).groupBy("local_sc").agg(F.count("*").alias("overflow"))
+    sources = placed.sparkSession.range(topology.local_scs).select(F.col("id").alias("local_sc"))
+    dropped = sources.join(lost, "local_sc", "left").join(over, "local_sc", "left").select("local_sc", F.coalesce("limits", F.lit(0)).alias("limits"), F.coalesce("overflow", F.lit(0)).alias("overflow"))
+    return Buffers(rows, pointers, dropped, capacity)
+
+
+def shapes(features: dict[str, FeatureSpec], stacks: list[StackSpec], topology: Topology, minibatching: bool = False) -> dict[str, dict[str, int]]:
+    """Sizes of each stack's buffers of one device, from specs alone: row pointers, places, and rows of the stacked batch."""
+    of = {p.table: s.name for s in stacks for p in s.tables}
+    batch: dict[str, int] = {}
+    for f in features.values():
+        batch[of[f.table]] = batch.get(of[f.table], 0) + math.prod(f.input_shape[:-1])
+    return {s.name: {"row_pointers": L.row_pointer_size(topology, minibatching), "places": L.buffer_size(s.max_ids_per_partition, topology, s.suggested_buffer, minibatching), "rows": batch[s.name]} for s in stacks if s.name in batch}
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
@@ -152,9 +201,21 @@ def stacked_ids(stack: StackSpec, topology: Topology, stacked: DataFrame) -> Dat
     return stacked.select((F.pmod("row", F.lit(size)) * F.lit(g) + div(F.col("row"), size)).alias("id"), *[c for c in stacked.columns if c not in ("row", "shard")])
 
 
-def feature_rows(pre: Preprocessed, activations: DataFrame, name: str, stack: StackSpec, size: int, topology: Topology) -> DataFrame:
-    """(sample, vec) of one feature out of a stack's (row, vec)."""
+def feature_rows(pre: Preprocessed, activations: DataFrame, name: str, stack: StackSpec, size: int, topology: Topology, dim: int | None = None) -> DataFrame:
+    """(sample, vec) of one feature out of a stack's (row, vec), cut to ``dim``; ValueError beyond the stack's dimension."""
+    if dim is not None and dim > stack.dim:
+        raise ValueError(f"{name} wants {dim} dimensions of a stack of {stack.dim}")
     slices = topology.local_scs
     at = unstacked_sample(F.col("row"), size, slices, pre.batch_rows[stack.name] // slices, pre.offsets[name])
-    return activations.select(at.alias("sample"), "vec").where("sample is not null")
+    vec = F.col("vec") if dim is None else V.unpad(F.col("vec"), dim)
+    return activations.select(at.alias("sample"), vec.alias("vec")).where("sample is not null")
+
+
+def stacked_gradients(pre: Preprocessed, gradients: dict[str, DataFrame], sizes: dict[str, int], stack: StackSpec, topology: Topology) -> DataFrame:
+    """(row, grad) of a stack out of its features' (sample, grad), padded to the stack's dimension."""
+    slices, out = topology.local_scs, []
+    for name, grads in sorted(gradients.items()):
+        at = stacked_row(F.col("sample"), sizes[name], slices, pre.batch_rows[stack.name] // slices, pre.offsets[name])
+        out.append(grads.select(at.alias("row"), V.pad(F.col("grad").cast("array<double>"), stack.dim).alias("grad")))
+    return _union(out)
 

@@ -6,6 +6,7 @@ table is ``embeddings``. Values are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -334,6 +335,22 @@ def csr_layout(spark: SparkSession, d: str) -> DataFrame:
     return rounded(csr.withColumn("gain", F.when(~F.isnan("gain"), F.col("gain"))), "gain").withColumn("embedding_id", F.col("embedding_id").cast("long")).withColumn("sample_id", F.col("sample_id").cast("long"))
 
 
+@query(f"WITH {PLACED}, {STATS}, {OFFSETS}, {RANKED} SELECT r.local_sc, count(*) AS overflow FROM ranked r JOIN offsets o ON r.local_sc = o.local_sc AND r.global_sc = o.global_sc WHERE \"start\" + rank - 1 >= 8000 GROUP BY 1")
+def overflow_drops(spark: SparkSession, d: str) -> DataFrame:
+    return L.overflow_counts(placed(spark, d), 8000)
+
+
+@query(SQL["csr_layout"])
+def preprocess_buffers(spark: SparkSession, d: str) -> DataFrame:
+    """A batch preprocessed as a whole, and the stack's buffers laid out: what the layout of the placed rows gives."""
+    n, rows_ = _orders_count(spark, d), read(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+    top = Topology(devices=2, sc_per_device=4, local_devices=1)
+    stack = dataclasses.replace(S.stack_tables([TableSpec("embeddings", rows_, DIM, max_ids_per_partition=1 << 40, max_unique_ids_per_partition=1 << 40)], top), suggested_buffer=8000 * top.sc_per_device)
+    pre = PP.preprocess({"parts": PP.Rows(parts(spark, d), n)}, {"parts": FeatureSpec("parts", "embeddings", (n, 1), (n, DIM))}, [stack], top)
+    csr = PP.buffers(pre, stack, top).rows
+    return rounded(csr.withColumn("gain", F.when(~F.isnan("gain"), F.col("gain"))), "gain").withColumn("embedding_id", F.col("embedding_id").cast("long")).withColumn("sample_id", F.col("sample_id").cast("long"))
+
+
 @query(f"WITH {PLACED} SELECT local_sc, global_sc, local_id, row, row_number() OVER (PARTITION BY local_sc ORDER BY bucket, global_sc, local_id, row) AS position FROM placed")
 def sorted_coo(spark: SparkSession, d: str) -> DataFrame:
     """Position in the source's order: the partition's start (unaligned) and the rank in it."""
@@ -463,10 +480,8 @@ def lr_schedule_step(spark: SparkSession, d: str) -> DataFrame:
 
 
 def custom_optimizer(spark: SparkSession, d: str) -> DataFrame:
-    from lookupforge.operators import optimizers
-
-    optimizers.register("signed", lambda w, g, s, lr, step: (w - F.lit(lr) * F.signum(g) * F.sqrt(F.abs(g)), {}))
-    return rounded(explode_vectors(touched(vectors(spark, d), _sums(spark, d), Optimizer("signed", LR)), "id"), "value")
+    signed = Optimizer("signed", LR, rule=lambda w, g, s, lr, step: (w - F.lit(lr) * F.signum(g) * F.sqrt(F.abs(g)), {}))
+    return rounded(explode_vectors(touched(vectors(spark, d), _sums(spark, d), signed), "id"), "value")
 
 
 query(f"WITH {merged_sql()}, {GRAD}, {TABLE} SELECT id, d, {rsql('w - 0.1::DOUBLE * sign(g) * sqrt(abs(g))', 'value')} FROM tab JOIN gs USING (id, d)")(custom_optimizer)

@@ -8,7 +8,9 @@ from abc import ABC, abstractmethod
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lookupforge.operators.stats import latest_per_process
+from lookupforge.operators.stats import apply_limits, latest_per_process
+from lookupforge.sources.staging import staged
+from lookupforge.specs import StackSpec
 
 SCHEMA = "stack string, shard int, max_ids long, max_unique long, buffer long, dropped long"
 
@@ -34,7 +36,8 @@ class _Files(StatsClient):
         self.recorded: list[DataFrame] = []
 
     def record(self, stats: DataFrame) -> None:
-        self.recorded.append(stats.select([f.split()[0] for f in SCHEMA.split(", ")]))
+        """A batch's statistics are written as they come, so that publishing doesn't compute the batches again."""
+        self.recorded.append(staged(stats.select([f.split()[0] for f in SCHEMA.split(", ")]), "recorded-stats"))
 
     def _rows(self) -> DataFrame:
         out = self.recorded[0]
@@ -77,3 +80,14 @@ class CsvStats(_Files):
 
     def _read(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA + ", process int, at long").csv(self.base, header=True)
+
+
+def next_limits(client: StatsClient, stacks: list[StackSpec], stats: DataFrame, dropped: DataFrame | None = None) -> list[StackSpec]:
+    """One turn of the limits cycle: a batch's statistics (stack, local_sc, global_sc, ids, unique_ids, required) and drops
+    (stack, local_sc, dropped) are recorded by shard and published; the stacks come back with the limits that all processes
+    have observed, for the next batch."""
+    per = stats.groupBy("stack", F.col("global_sc").cast("int").alias("shard")).agg(F.max("ids").alias("max_ids"), F.max("unique_ids").alias("max_unique"), F.max("required").alias("buffer"))
+    lost = per.limit(0).select("stack", F.lit(0).cast("long").alias("dropped")) if dropped is None else dropped.groupBy("stack").agg(F.sum("dropped").cast("long").alias("dropped"))
+    client.record(per.join(lost, "stack", "left").withColumn("dropped", F.coalesce("dropped", F.lit(0))))
+    client.publish()
+    return apply_limits(stacks, client.load())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+import inspect
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -62,19 +63,22 @@ class Quantization:
 
 @dataclass(frozen=True)
 class Optimizer:
-    """A name of ``operators.optimizers.RULES`` (or a function, for custom ones) with its hyperparameters."""
+    """A name of ``operators.optimizers.RULES`` with its hyperparameters; a custom one brings its ``rule`` and the first
+    values of its ``slots``."""
 
     name: str = "sgd"
     learning_rate: float | Callable[..., float] = 0.001
     params: tuple[tuple[str, Any], ...] = ()
     clip_low: float | None = None
     clip_high: float | None = None
+    rule: Callable | None = None
+    slots: tuple[tuple[str, float], ...] = ()
 
     def rate(self, step: int | None = None) -> float:
         """The learning rate of a step: a constant, a function of nothing, or a function of the step."""
         if not callable(self.learning_rate):
             return float(self.learning_rate)
-        n = self.learning_rate.__code__.co_argcount
+        n = len([p for p in inspect.signature(self.learning_rate).parameters.values() if p.default is p.empty and p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)])
         if n == 0:
             return float(self.learning_rate())
         if n > 1:
@@ -168,8 +172,28 @@ def stack_name(tables: Iterable[str]) -> str:
     return name if len(name) <= 50 else f"{name[:50]}...{hashlib.sha256(name.encode()).hexdigest()[:12]}"
 
 
+def tag_of(function: Callable) -> str:
+    """What a function goes by in JSON: its ``tag`` or its module and name."""
+    tag = getattr(function, "tag", None)
+    name = getattr(function, "__qualname__", "")
+    if tag or (name and "<" not in name):
+        return str(tag or f"{function.__module__}.{name}")
+    raise TypeError("a function without a name needs a tag to be written as JSON")
+
+
+def grouped_names(groups: Iterable[Iterable[str]], tables: Iterable[str]) -> list[list[str]]:
+    """The groups as lists; ValueError unless they hold every table once and nothing else."""
+    out = [list(g) for g in groups]
+    flat = [t for g in out for t in g]
+    if len(flat) != len(set(flat)):
+        raise ValueError("a table stands in two groups")
+    if set(flat) != set(tables):
+        raise ValueError(f"tables and groups differ: {sorted(set(flat) ^ set(tables))}")
+    return out
+
+
 def to_json(spec: Any) -> str:
-    """JSON of a spec or a list of specs. Learning rates that are functions can't be written and raise TypeError."""
+    """JSON of a spec or a list of specs. Functions are written as their tag (``tag_of``); those without one raise TypeError."""
 
     def plain(x: Any) -> Any:
         if dataclasses.is_dataclass(x):
@@ -177,16 +201,21 @@ def to_json(spec: Any) -> str:
         if isinstance(x, list | tuple):
             return [plain(y) for y in x]
         if callable(x):
-            raise TypeError("a function can't be written as JSON")
+            return {"kind": "Tag", "tag": tag_of(x)}
         return x
 
     return json.dumps(plain(spec), sort_keys=True)
 
 
-def from_json(text: str) -> Any:
+def from_json(text: str, functions: dict[str, Callable] | None = None) -> Any:
+    """The specs of ``to_json``; ``functions`` are looked up by their tags, ValueError for one that is missing."""
     kinds = {c.__name__: c for c in (Topology, Quantization, Optimizer, TableSpec, FeatureSpec, Placement, StackSpec)}
 
     def made(x: Any) -> Any:
+        if isinstance(x, dict) and x["kind"] == "Tag":
+            if x["tag"] not in (functions or {}):
+                raise ValueError(f"no function is given for the tag {x['tag']!r}")
+            return functions[x["tag"]]
         if isinstance(x, dict):
             return kinds[x["kind"]](**{k: made(v) for k, v in x.items() if k != "kind"})
         if isinstance(x, list):

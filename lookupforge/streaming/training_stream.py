@@ -20,15 +20,22 @@ def version(base: str, step: int) -> str:
     return f"{base}/step={step}"
 
 
-def start_training(rows: DataFrame, base: str, checkpoint: str, dim: int, opt: Optimizer) -> StreamingQuery:
-    """Train from a stream of (sample, id, gain, grad); ``base/step=-1`` holds the first table. Step n reads version n - 1."""
+def drop_version(spark: SparkSession, base: str, step: int) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(version(base, step))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def start_training(rows: DataFrame, base: str, checkpoint: str, dim: int, opt: Optimizer, versions: int = 3) -> StreamingQuery:
+    """Train from a stream of (sample, id, gain, grad); ``base/step=-1`` holds the first table. Step n reads version n - 1, which
+    a repeated step n needs again; the last ``versions`` (2 at least) stay, older ones are deleted."""
 
     def one(batch: DataFrame, step: int) -> None:
         spark = batch.sparkSession
         table = with_slots(spark.read.parquet(version(base, step - 1)), opt)
         # Each row carries its sample's gradient, so ids are summed without a join.
-        sums = batch.groupBy("id").agg(*V.sums(F.col("grad"), F.col("gain"), dim)).select("id", V.gathered(dim).alias("grad"))
+        sums = V.summed(batch, ["id"], "grad", "gain", dim, "grad")
         merge(table, touched(table, sums, opt, step)).write.mode("overwrite").parquet(version(base, step))
+        drop_version(spark, base, step - max(2, versions))
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

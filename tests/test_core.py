@@ -19,11 +19,12 @@ from lookupforge.operators import optimizers as O
 from lookupforge.operators import stacking as S
 from lookupforge.operators import stats as ST
 from lookupforge.operators import update as U
-from lookupforge.operators.lookup import lookup, sequence_lookup
+from lookupforge.operators.lookup import lookup, pooled, sequence_lookup
 from lookupforge.plans import preprocess as PP
 from lookupforge.plans import training as T
 from lookupforge.sources import checkpoint as K
 from lookupforge.sources import stats_files as SF
+from lookupforge.sources import text as X
 from lookupforge.streaming import training_stream as TS
 
 
@@ -464,3 +465,145 @@ def test_layer(spark):
     assert rows(act) == [(0, [3.0]), (1, [0.0])]
     assert rows(layer.apply_gradient(coo, table, act.withColumnRenamed("vec", "grad"))) == [(0, [-0.5]), (1, [3.25])]
     assert rows(lookup(coo, table, 1, quantization=P.Quantization(0.0, 2.0, 3))) == [(0, [2.0])]
+
+
+def add_one(step):
+    return 0.1 * (step + 1)
+
+
+def test_learning_rate_tags():
+    import functools
+
+    opt = P.Optimizer("sgd", add_one)
+    assert P.from_json(P.to_json(opt), {P.tag_of(add_one): add_one}) == opt
+    with pytest.raises(ValueError):
+        P.from_json(P.to_json(opt))
+    assert P.Optimizer("sgd", functools.partial(lambda a, step: a * step, 2.0)).rate(3) == 6.0
+    assert P.grouped_names([["a"], ("b", "c")], {"a", "b", "c"}) == [["a"], ["b", "c"]]
+    for bad in ([["a"]], [["a", "b"], ["b", "c"]], [["a", "b", "c", "d"]]):
+        with pytest.raises(ValueError):
+            P.grouped_names(bad, ["a", "b", "c"])
+
+
+def test_rows_within_vocabulary(spark):
+    df = spark.createDataFrame([(3,), (8,)], "id long")
+    assert df.where("id < 8").select(I.physical_row(F.col("id"), 4, 16, 0, 1, 8).alias("r")).first().r == 0
+    with pytest.raises(Exception, match="row outside a vocabulary of 8: 8"):
+        df.select(I.physical_row(F.col("id"), 4, 16, 0, 1, 8).alias("r")).collect()
+
+
+@pytest.mark.parametrize("dim", [3, 150])
+def test_wide_vectors(spark, dim):
+    """Sums by blocks of dimensions; ids that the table lacks; wide gradients."""
+    r = random.Random(4)
+    table = {i: [r.random() for _ in range(dim)] for i in range(9)}
+    raw = [(s, r.randrange(11), float(r.randrange(1, 5))) for s in range(6) for _ in range(5)] + [(9, 10, 1.0)]
+    coo, tab = spark.createDataFrame(raw, "sample long, id long, weight double"), spark.createDataFrame(list(table.items()), "id long, vec array<double>")
+    for combiner in P.COMBINERS:
+        got = {x.sample: x.vec for x in pooled(coo, tab, dim, combiner).collect()}
+        for s in range(6):
+            w = [(i, x) for t, i, x in raw if t == s]
+            total = {"sum": 1, "mean": sum(x for _, x in w), "sqrtn": sum(x * x for _, x in w) ** 0.5}[combiner]
+            assert got[s] == pytest.approx([sum(x * table[i][d] for i, x in w if i in table) / total for d in range(dim)])
+        assert 9 not in got
+        assert {k: pytest.approx(v) for k, v in got.items()} == {x.sample: x.vec for x in lookup(C.with_gains(coo, combiner), tab, dim).collect()}
+
+
+def test_next_token_rows(spark):
+    lists = [(1, [5]), (2, [1, 2, 3]), (3, []), (4, None), (5, list(range(9)))]
+    a = rows(X.next_token_rows(spark.createDataFrame(lists, "key long, ids array<long>"), 4))
+    flat = [(k, p, i) for k, ids in lists for p, i in enumerate(ids or [])]
+    assert a == rows(X.next_token_windows(spark.createDataFrame(flat, "key long, pos long, id long"), 4)) and len(a) == 13
+
+
+def test_buffers(spark):
+    """The whole batch laid out: what finds no place is counted with what the limits dropped."""
+    r = random.Random(5)
+    top = P.Topology(2, 2, local_devices=1)
+    batch = [(s, [r.randrange(40) for _ in range(r.randrange(8))]) for s in range(16)]
+    st_ = stack([spec("a", 40, 8)], top)
+    feats = {"x": P.FeatureSpec("x", "a", (16, 1), (16, 8))}
+    given = {"x": PP.Arrays(spark.createDataFrame(batch, "sample long, ids array<long>"), 16)}
+    merged = len({(s, i) for s, ids in batch for i in ids})
+    whole = PP.buffers(PP.preprocess(given, feats, [st_], top), st_, top)
+    real = whole.rows.where(F.col("embedding_id") != L.PAD)
+    assert real.count() == merged and whole.total_dropped() == 0 and whole.pointers.count() == top.local_scs * 8
+    assert whole.rows.groupBy("local_sc", "position").count().where("count > 1").count() == 0
+    tight = dataclasses.replace(st_, suggested_buffer=32)
+    cut = PP.buffers(PP.preprocess(given, feats, [tight], top), tight, top)
+    assert cut.capacity == 16 and cut.rows.where(F.col("embedding_id") != L.PAD).count() + cut.total_dropped() == merged and cut.total_dropped() > 0
+    mini = dataclasses.replace(st_, max_ids_per_partition=6, max_unique_ids_per_partition=6)
+    split = PP.preprocess(given, feats, [mini], top, enable_minibatching=True)
+    laid = PP.buffers(split, mini, top)
+    assert split.minibatches > 1 and laid.rows.count() + laid.dropped.agg(F.sum("overflow")).first()[0] == split.rows.count()
+    assert laid.rows.groupBy("local_sc", "position").count().where("count > 1").count() == 0
+    assert PP.shapes(feats, [tight], top) == {tight.name: {"row_pointers": 16, "places": 32, "rows": 16}}
+
+
+def test_stacked_layer(spark):
+    """Two features of two tables of one stack: forward and backward as each table alone."""
+    top = P.Topology(1, 4)
+    tables = {n: spec(n, v, d, combiner="mean", optimizer=P.Optimizer("sgd", 0.5)) for n, v, d in (("a", 10, 8), ("b", 20, 6))}
+    st_ = stack(tables.values(), top)
+    feats = {"x": P.FeatureSpec("x", "a", (8, 1), (8, 8)), "y": P.FeatureSpec("y", "b", (8, 1), (8, 6))}
+    r = random.Random(6)
+    coo = {f: spark.createDataFrame([(s, r.randrange(tables[feats[f].table].vocabulary_size), 1.0) for s in range(8) for _ in range(3)], "sample long, id long, weight double") for f in feats}
+    first = {n: S.init_table(spark, t.vocabulary_size, t.embedding_dim, lambda i, d: i + d / 10) for n, t in tables.items()}
+    layer, sizes = T.StackedLayer(feats, [st_], top), {"x": 8, "y": 8}
+    pre = layer.preprocess_inputs({f: PP.Rows(c, 8) for f, c in coo.items()})
+    stacked = {st_.name: PP.stacked_ids(st_, top, S.stack_and_shard(first, st_, top, 0.0))}
+    act = layer(pre, stacked, sizes)
+    new = layer.apply_gradient(pre, stacked, {f: a.withColumnRenamed("vec", "grad") for f, a in act.items()}, sizes)[st_.name]
+    g, size = top.num_scs, st_.vocab // top.num_scs
+    back = new.select((F.pmod("id", F.lit(g)) * size + I.div(F.col("id"), g)).alias("row"), "vec")
+    for f, spec_ in feats.items():
+        t = spec_.table
+        want = lookup(C.with_gains(coo[f], "mean"), first[t], tables[t].embedding_dim)
+        assert {x.sample: pytest.approx(x.vec) for x in want.collect()} == {x.sample: x.vec for x in act[f].collect()}
+        alone = T.EmbeddingLayer(tables[t].embedding_dim, tables[t].optimizer).apply_gradient(C.with_gains(coo[f], "mean"), first[t], want.withColumnRenamed("vec", "grad"))
+        assert {x.id: pytest.approx(x.vec) for x in alone.collect()} == {x.id: x.vec for x in S.unstack(back, st_, t, top).collect()}
+    with pytest.raises(ValueError):
+        PP.feature_rows(pre, back, "x", st_, 8, top, dim=99)
+    with pytest.raises(ValueError):
+        layer(pre, {}, sizes)
+
+
+def test_stages_and_initial_state(spark):
+    table = spark.createDataFrame([(0, [1.0])], "id long, vec array<double>")
+    batch = spark.createDataFrame([(0, 0, 1.0)], "sample long, id long, gain double")
+    opt = P.Optimizer("sgd", 0.5)
+    usual = T.default_stages(lambda a, _: a.select("sample", F.array(F.lit(1.0)).alias("grad")), 1, opt)
+    stages = dataclasses.replace(usual, dense=lambda act, step: (usual.dense(act, step)[0], f"loss {step}"))
+    last, act, aux = T.run_stages(table, [batch] * 3, stages)
+    assert last.first().vec == [-0.5] and [a.first().vec for a in act] == [[1.0], [1.0], [0.5]] and aux == [(None, f"loss {k}") for k in range(3)]
+    none = T.initial_state(spark)
+    assert rows(T.EmbeddingLayer(1, opt).apply_gradient(batch, table, none.gradients)) == rows(table) and none.activations.count() == 0
+
+
+def test_restack():
+    tables = {t.name: t for t in (spec("a", 8, 8), spec("b", 8, 8))}
+    feats = [P.FeatureSpec(f"f{n}", n, (64, 1), (64, 8)) for n in tables]
+    both = [stack(tables.values(), P.Topology(1, 4))]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        assert S.members(S.restack(both, tables, P.Topology(1, 2))) == {both[0].name: ["a", "b"]}
+        with pytest.raises(ValueError):
+            S.restack(both, tables, P.Topology(1, 2), feats, memory=1100)
+        assert list(S.members(S.restack(both, tables, P.Topology(1, 2), feats, regroup=True, memory=1100)).values()) == [["a"], ["b"]]
+        with pytest.raises(ValueError):
+            S.restack(both, {"a": tables["a"]}, P.Topology(1, 2))
+
+
+def test_limits_cycle(spark, tmp_path):
+    """Recorded, published, loaded, applied: the next batch runs with the limits observed."""
+    top = P.Topology(1, 2)
+    st_ = stack([spec("a", 16, 8)], top)
+    feats = {"x": P.FeatureSpec("x", "a", (4, 1), (4, 8))}
+    given = {"x": PP.Arrays(spark.createDataFrame([(s, [s, s + 2, s + 4]) for s in range(4)], "sample long, ids array<long>"), 4)}
+    client = SF.ParquetStats(spark, str(tmp_path / "stats"))
+    pre = PP.preprocess(given, feats, [st_], top)
+    (now,) = SF.next_limits(client, [st_], pre.stats, pre.dropped)
+    top_ = pre.stats.agg(F.max("ids"), F.max("unique_ids"), F.max("required")).first()
+    assert (now.max_ids_per_partition, now.max_unique_ids_per_partition, now.suggested_buffer) == tuple(top_)
+    again = PP.preprocess(given, feats, [now], top)
+    assert again.rows.count() == pre.rows.count()
