@@ -44,11 +44,11 @@ def op4(docs):
         yield d, n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{z}" for a, _, k, z in found))
 
 
-def op6(docs):
+def op6(docs, size=4):
     sets = {}
     for d, t in docs:
         w = WORD.findall((t or "").translate(LOWER))
-        sets[d] = frozenset({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else ())
+        sets[d] = frozenset({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else ())
     root = {d: d for d in sets}
 
     def find(x):
