@@ -38,8 +38,16 @@ def within_limits(max_ids: int, max_unique: int) -> Column:
     return (F.col("rank") <= max_ids) & (F.col("id_rank") <= max_unique)
 
 
+def first_rows(placed: DataFrame, most: int) -> DataFrame:
+    """Adds ``rank`` and keeps the first ``most`` rows of each partition: every task sends that many of a partition at most."""
+    part = Window.partitionBy(*PARTITION)
+    return placed.withColumn("rank", F.row_number().over(part.orderBy("local_id", "row"))).where(F.col("rank") <= F.lit(min(most, (1 << 31) - 1))).withColumn("rank", F.col("rank").cast("long"))
+
+
 def drop_beyond_limits(placed: DataFrame, max_ids: int, max_unique: int) -> DataFrame:
-    return ranked(placed).where(within_limits(max_ids, max_unique))
+    """Rows within both limits, with ``rank`` and ``id_rank``. Rows beyond the first limit change no rank of those within it."""
+    near = first_rows(placed, max_ids)
+    return near.withColumn("id_rank", F.dense_rank().over(Window.partitionBy(*PARTITION).orderBy("local_id")).cast("long")).where(F.col("id_rank") <= max_unique)
 
 
 def check_limits(placed: DataFrame, max_ids: int, max_unique: int, allow_dropping: bool = False) -> dict:
@@ -68,9 +76,10 @@ def required_buffer(stats: DataFrame) -> DataFrame:
 
 
 def drop_counts(placed: DataFrame, max_ids: int, max_unique: int) -> DataFrame:
-    """(local_sc, dropped): raw occurrences lost to the limits."""
-    lost = F.when(within_limits(max_ids, max_unique), F.lit(0)).otherwise(F.col("n_raw"))
-    return ranked(placed).groupBy("local_sc").agg(F.sum(lost).alias("dropped"))
+    """(local_sc, dropped): raw occurrences lost to the limits, as what there is less what stays."""
+    whole = placed.groupBy("local_sc").agg(F.sum("n_raw").alias("whole"))
+    kept = drop_beyond_limits(placed, max_ids, max_unique).groupBy("local_sc").agg(F.sum("n_raw").alias("kept"))
+    return whole.join(kept, "local_sc", "left").select("local_sc", (F.col("whole") - F.coalesce("kept", F.lit(0))).alias("dropped"))
 
 
 def partition_offsets(stats: DataFrame) -> DataFrame:
@@ -82,15 +91,15 @@ def partition_offsets(stats: DataFrame) -> DataFrame:
 def fit_buffer(placed: DataFrame, capacity: int) -> DataFrame:
     """Adds ``position`` in the source's buffer, and keeps the rows whose position lies within the capacity."""
     offsets = partition_offsets(partition_stats(placed)).select(*PARTITION, "start")
-    at = ranked(placed).join(offsets, list(PARTITION)).withColumn("position", F.col("start") + F.col("rank") - 1)
+    at = first_rows(placed, capacity).join(offsets, list(PARTITION)).withColumn("position", F.col("start") + F.col("rank") - 1)
     return at.where(F.col("position") < capacity)
 
 
 def overflow_counts(placed: DataFrame, capacity: int) -> DataFrame:
     """(local_sc, overflow): merged rows that find no place in their source's buffer."""
-    offsets = partition_offsets(partition_stats(placed)).select(*PARTITION, "start")
-    at = ranked(placed).join(offsets, list(PARTITION)).where(F.col("start") + F.col("rank") - 1 >= capacity)
-    return at.groupBy("local_sc").agg(F.count("*").alias("overflow"))
+    stats = partition_offsets(partition_stats(placed))
+    over = F.least(F.col("ids"), F.greatest(F.lit(0), F.col("start") + F.col("ids") - capacity))
+    return stats.groupBy("local_sc").agg(F.sum(over).cast("long").alias("overflow")).where("overflow > 0")
 
 
 def row_pointers(placed: DataFrame, topology: Topology, local_scs: int, capacity: int) -> DataFrame:

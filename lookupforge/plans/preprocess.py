@@ -130,8 +130,7 @@ def preprocess(batches: dict[str, Batch], features: dict[str, FeatureSpec], stac
             placed = M.with_minibatch(placed, masks).withColumn("bucket", F.col("minibatch"))
         else:
             placed = placed.withColumn("bucket", F.lit(0).cast("long")).withColumn("minibatch", F.lit(0).cast("long"))
-        ranked = L.ranked(placed)
-        kept = ranked.where(L.within_limits(*limits)) if over and (allow_id_dropping or enable_minibatching) else ranked
+        kept = L.drop_beyond_limits(placed, *limits) if over and (allow_id_dropping or enable_minibatching) else placed
         dropped.append(L.drop_counts(placed, *limits).select(F.lit(s.name).alias("stack"), "local_sc", "dropped"))
         one = kept.select(F.lit(s.name).alias("stack"), "local_sc", "minibatch", "global_sc", "local_id", "row", "id", "gain", "n_raw")
         out = one if out is None else out.unionByName(one)
