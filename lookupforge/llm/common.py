@@ -365,23 +365,23 @@ def connected(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     e = edges.selectExpr("cast(u as long) u", "cast(v as long) v").where("u is not null and v is not null and u <> v")
     e = e.mapInArrow(_local_forest, "u long, v long")
     e = stage(e.selectExpr("greatest(u, v) u", "least(u, v) v").distinct(), f"{name}-edges", scratch)
+    mark = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    was = mark(e)
     for _ in range(most_rounds):
         # Large star: every larger neighbour of u goes to the smallest id known at u.
         both = e.union(e.selectExpr("v u", "u v"))
-        low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low", scratch)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         big = e.selectExpr("v u", "u v")  # u < v: the larger neighbours of u
         e2 = stage(big.join(low, "u").selectExpr("v u", "m v").where("u <> v").distinct(), f"{name}-large", scratch)
         # Small star: u and its smaller neighbours all go to the smallest of them.
-        low2 = stage(e2.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small", scratch)
+        low2 = e2.groupBy("u").agg(F.min("v").alias("m"))
         moved = e2.join(low2, "u").selectExpr("v u", "m v").where("u <> v")
         made: list[str] = []
-        e3 = stage(moved.union(low2.selectExpr("u", "m v")).distinct(), f"{name}-edges", made)
-        same = e3.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        was = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = e3
+        e = stage(moved.union(low2.selectExpr("u", "m v")).distinct(), f"{name}-edges", made)
+        before, was = was, mark(e)
         remove(spark, scratch)
         scratch += made
-        if tuple(same) == tuple(was):
+        if before == was:
             break
     else:
         raise RuntimeError("components did not settle")

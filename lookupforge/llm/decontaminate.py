@@ -304,7 +304,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document with the benchmark's 13-word windows."""
-    index = build_index(table(spark, sf_dir, "documents"), new_dir(spark, "postings"))
+    postings = new_dir(spark, "postings")
+    index = build_index(table(spark, sf_dir, "documents"), postings)
     found = find_phrases(index, table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return found.select(F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated().alias("contaminated"))
+    out = found.select(F.col("key").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated().alias("contaminated"))
+    out = stage(out, "contamination")
+    remove(spark, [postings])
+    return out

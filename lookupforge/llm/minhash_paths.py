@@ -335,7 +335,8 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = stage(rows.mapInArrow(lambda it: _sign(it, size), "id long, n long, k1 long, k2 long, sig binary, brief binary"), "signatures")
+    kept: list[str] = []
+    signed = stage(rows.mapInArrow(lambda it: _sign(it, size), "id long, n long, k1 long, k2 long, sig binary, brief binary"), "signatures", kept)
     linked = (F.col("n") > 0) & F.col("id").isNotNull()
     classes = signed.where(linked).groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("brief").alias("brief"))
     scratch: list[str] = []
@@ -384,11 +385,14 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     # Rows without a set get keys of their own, so that they don't meet in one task.
     alone = ~F.coalesce(linked, F.lit(False))
     own = signed.select("id", "n", alone.alias("alone"), F.when(alone, F.xxhash64(F.lit("none"), "id")).otherwise(F.col("k1")).alias("k1"), F.when(alone, 0).otherwise(F.col("k2")).alias("k2"))
-    whole = stage(whole, "roots")
+    whole = stage(whole, "roots", kept)
     remove(spark, scratch)
     out = own.join(whole, ["k1", "k2"], "left")
     component = F.when(F.col("alone"), F.col("id")).otherwise(F.col("root"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    out = stage(out, "components")
+    remove(spark, kept)
+    return out
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
