@@ -410,6 +410,12 @@ def test_checkpoint(spark, tmp_path):
     _, tables, got, _ = K.restore(spark, str(tmp_path / "d"))
     for n in specs:
         assert rows(S.unstack(tables[st_.name], got[0], n, wide, ("vec", "accumulator"))) == rows(data[n])
+    (tmp_path / "tables.json").write_text(P.to_json(list(specs.values())))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        K.main(["--input", base, "--output", str(tmp_path / "e"), "--tables", str(tmp_path / "tables.json"), "--devices", "2", "--kind", "v6e"])
+    step, tables, got, top = K.restore(spark, str(tmp_path / "e"))
+    assert (step, top) == (2, P.Topology(2, 2)) and rows(S.unstack(tables[st_.name], got[0], "b", top)) == rows(data["b"].select("id", "vec"))
 
 
 def test_training_stream(spark, tmp_path):
