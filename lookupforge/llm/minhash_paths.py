@@ -2,8 +2,8 @@
 
 A document is its set of word shingles, signed by ``COORDS`` minwise tokens. Equal sets are folded into a class first. Each of
 ``TREES`` independent trees branches every node by ``BRANCH`` coordinates that the node's own hash chooses: the members that
-share the chosen token are a child. Small nodes (``LEAF`` classes, ``LEAF_SHINGLES``) are compared exhaustively; larger ones branch again, to
-``DEPTH`` levels. All trees use the same coordinates, so they are not independent: over how many of the 64 agree (binomial),
+share the chosen token are a child. Small nodes (``LEAF`` classes, ``LEAF_SHINGLES``) are compared exhaustively; larger ones
+branch again, to ``DEPTH`` levels. All trees use the same coordinates, so they are not independent: over how many of the 64 agree (binomial),
 three trees and the signature screen below miss a pair of similarity 0.8 with probability 1.3e-4 where its nodes are compared
 at the first level, and with 8.8e-4 at most however deep they are split.
 
@@ -22,7 +22,8 @@ product of its members' shared shingles.
 
 No group goes to one task, no pair is sent: tasks return a forest. Defined cases: null texts and texts without words have an
 empty set and link with nothing; texts shorter than a shingle are one shingle; rows that share an id are one document;
-a null id has a null component and is not kept; an empty table gives an empty result; other columns are ignored.
+a null id has a null component and is not kept; a very long text is one set, compared whole; pairs of exactly the threshold
+link; an empty table gives an empty result; other columns, whatever their names, are ignored or kept as they are.
 """
 
 from __future__ import annotations
