@@ -275,7 +275,7 @@ def fingerprint(h: np.ndarray) -> np.ndarray:
 _SHARD = "part int, seq int, least {k}, most {k}, n_docs long, n_ids long, payload binary, keys array<{k}>, level_sizes array<int>, bits binary, slots binary"
 _SLOT = np.dtype([("print", "<u4"), ("ids", "<u4"), ("first", "<u8")])
 #: A page for each shard's row, so that the pages' key ranges lead to one shard; payloads have no dictionary.
-_FORMAT = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.row.count.limit": 1, "parquet.enable.dictionary": "false"}
+_FORMAT = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.row.count.limit": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": "false"}
 
 
 def _shard(part: int, seq: int, keys: list, ids: list[bytes], key_type: pa.DataType) -> pa.RecordBatch:

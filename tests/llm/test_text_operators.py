@@ -142,9 +142,13 @@ def test_tokens_null_and_repeated_keys(spark):
 
 
 def test_tokens_by_key_reads_pages(spark, docs):
-    """The key's range goes to the reader, together with the columns that a lookup needs."""
+    """The key's range goes to the reader, together with the columns that a lookup needs, and the reader gives one shard."""
     out = new_dir(spark, "t")
-    token_store.write_tokens(docs, out, BYTE_BPE)
+    token_store.write_tokens(docs.coalesce(1), out, BYTE_BPE, shard_ids=500)
+    near = token_store.read_shards(spark, out).where("least <= 13 and most >= 13").select("payload")
+    assert near.count() < token_store.read_shards(spark, out).count() / 3
+    found = len(near.collect())
+    assert near._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value() == found
     plan = token_store.read_keys(spark, out, [13])._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(least,13)" in plan and "GreaterThanOrEqual(most,13)" in plan and "keys" not in plan.split("ReadSchema")[1].split("\n")[0]
 
