@@ -66,11 +66,11 @@ def validate_ids(coo: DataFrame, vocabulary: int, id_: str = "id") -> DataFrame:
     return coo.withColumn(id_, F.when(ok, F.col(id_)).otherwise(F.raise_error(F.concat(F.lit("id outside the vocabulary: "), F.col(id_).cast("string"))).cast(coo.schema[id_].dataType)))
 
 
-def total_weight(combiner: str, weight: Column) -> Column:
-    """What a sample's weights are divided by, as an aggregate of its raw rows."""
+def total_weight(combiner: str, weight: Column, square: Column | None = None) -> Column:
+    """What a sample's weights are divided by, as an aggregate of its raw rows, or of merged ones with their sums of squares."""
     if combiner not in COMBINERS:
         raise ValueError(f"unknown combiner {combiner!r}")
-    return {"sum": F.lit(1.0), "mean": F.sum(weight), "sqrtn": F.sqrt(F.sum(weight * weight))}[combiner]
+    return {"sum": F.lit(1.0), "mean": F.sum(weight), "sqrtn": F.sqrt(F.sum(weight * weight if square is None else square))}[combiner]
 
 
 def with_gains(coo: DataFrame, combiner: str, keys: tuple[str, ...] = ("sample",), weight: str = "weight") -> DataFrame:

@@ -10,14 +10,27 @@ from lookupforge.operators.coo import total_weight
 from lookupforge.specs import Quantization
 
 
-def lookup(coo: DataFrame, table: DataFrame, dim: int, keys: tuple[str, ...] = ("sample",), id_: str = "id", vec: str = "vec", samples: DataFrame | None = None, quantization: Quantization | None = None) -> DataFrame:
+#: Tables whose vectors, as doubles, take no more are sent to every executor whole.
+BROADCAST_BYTES = 32 << 20
+
+
+def fits(table: DataFrame, dim: int) -> bool:
+    """Whether the table's rows, counted up to the bound, are few enough to be broadcast."""
+    most = BROADCAST_BYTES // (8 * dim + 64)
+    return table.limit(most + 1).count() <= most
+
+
+def lookup(coo: DataFrame, table: DataFrame, dim: int, keys: tuple[str, ...] = ("sample",), id_: str = "id", vec: str = "vec", samples: DataFrame | None = None, quantization: Quantization | None = None, by: tuple[str, ...] | None = None) -> DataFrame:
     """(keys, vec): the weighted sum of each sample's vectors; zeros for samples of ``samples`` without ids.
 
-    The join is left to the planner: a table below Spark's measured broadcast threshold is broadcast, a larger one shuffled
-    with AQE's skew handling. Sums are kept per dimension (``vectors.summed``), so partial sums shrink the rows before the shuffle by sample.
+    Rows are much smaller than vectors. If the table ``fits``, rows are dealt by ``by`` (some or all of the keys) and meet the
+    broadcast table there, so that no vector and no sum is shuffled, here or in a later aggregate by ``by``. Else the join is
+    left to the planner, with AQE's skew handling, and partial sums per dimension (``vectors.summed``) are shuffled by sample.
     """
     rows = coo.select(*keys, F.col(id_).alias("__id"), "gain")
     t = table.select(F.col("id").alias("__id"), V.quantize(F.col(vec), quantization).alias("__vec"))
+    if fits(table, dim):
+        rows, t = rows.repartition(*(by or keys)), F.broadcast(t)
     out = V.summed(rows.join(t, "__id"), list(keys), "__vec", "gain", dim, "vec")
     if samples is not None:
         out = samples.select(*keys).join(out, list(keys), "left").select(*keys, F.coalesce("vec", V.zeros(dim)).alias("vec"))
@@ -25,15 +38,20 @@ def lookup(coo: DataFrame, table: DataFrame, dim: int, keys: tuple[str, ...] = (
 
 
 def pooled(coo: DataFrame, table: DataFrame, dim: int, combiner: str, keys: tuple[str, ...] = ("sample",), weight: str = "weight", samples: DataFrame | None = None, quantization: Quantization | None = None) -> DataFrame:
-    """(keys, vec): the same as ``lookup`` of ``with_gains``, in one aggregate of the raw rows.
+    """(keys, vec): the same as ``lookup`` of ``with_gains``, with the rows read once.
 
-    The gain's divisor is one for a sample, so it is taken at the end: the rows are read once, and after the join with the
-    table there is one exchange, of partial sums. Ids that the table lacks count in the divisor only.
+    The gain's divisor is one for a sample, so it is taken at the end. If the table ``fits``, equal ids of a sample add up and
+    are then dealt by sample to meet the broadcast table: a sample has a row for each of its ids at most where it is gathered,
+    and no vector is shuffled. Else the exchange after the join is of partial sums. Ids that the table lacks count in the
+    divisor only.
     """
     w = F.col(weight).cast("double")
-    rows = coo.select(*keys, F.col("id").alias("__id"), w.alias("__weight"))
+    rows = coo.select(*keys, F.col("id").alias("__id"), w.alias("__weight"), (w * w).alias("__square"))
     t = table.select(F.col("id").alias("__id"), V.quantize(F.col("vec"), quantization).alias("__vec"))
-    out = V.summed(rows.join(t, "__id", "left"), list(keys), "__vec", "__weight", dim, "__sum", __total=total_weight(combiner, F.col("__weight")), __found=F.count("__vec")).where("__found > 0")
+    if fits(table, dim):
+        rows, t = rows.groupBy(*keys, "__id").agg(*[F.sum(c).alias(c) for c in ("__weight", "__square")]).repartition(*keys), F.broadcast(t)
+    total = total_weight(combiner, F.col("__weight"), F.col("__square"))
+    out = V.summed(rows.join(t, "__id", "left"), list(keys), "__vec", "__weight", dim, "__sum", __total=total, __found=F.count("__vec")).where("__found > 0")
     each = F.col("__sum") if combiner == "sum" else F.transform("__sum", lambda x: F.try_divide(x, F.col("__total")))
     out = out.select(*keys, each.alias("vec"))
     if samples is not None:

@@ -89,7 +89,13 @@ TABLE = f"tab AS (SELECT vec_id AS id, unnest(range({DIM})) AS d, unnest(embeddi
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in cols})
+    """Halves away from zero, as in SQL; whole numbers of millionths, as Spark's own ``round`` goes through decimal text."""
+    def one(x: Column) -> Column:
+        y = x * F.lit(1e6)
+        near = F.when(y < 0, -F.floor(F.lit(0.5) - y)).otherwise(F.floor(y + F.lit(0.5))) / F.lit(1e6)
+        return F.when(F.abs(x) < 1e9, near).otherwise(F.round(x, 6)) + F.lit(0.0)
+
+    return df.withColumns({c: one(F.col(c)) for c in cols})
 
 
 def rsql(x: str, name: str) -> str:

@@ -14,6 +14,7 @@ from lookupforge.functions import ids as I
 from lookupforge.functions import vectors as V
 from lookupforge.operators import coo as C
 from lookupforge.operators import layout as L
+from lookupforge.operators import lookup as LK
 from lookupforge.operators import minibatch as M
 from lookupforge.operators import optimizers as O
 from lookupforge.operators import stacking as S
@@ -21,6 +22,7 @@ from lookupforge.operators import stats as ST
 from lookupforge.operators import update as U
 from lookupforge.operators.lookup import lookup, pooled, sequence_lookup
 from lookupforge.plans import preprocess as PP
+from lookupforge.plans import queries as Q
 from lookupforge.plans import training as T
 from lookupforge.sources import checkpoint as K
 from lookupforge.sources import stats_files as SF
@@ -515,6 +517,32 @@ def test_wide_vectors(spark, dim):
         assert {k: pytest.approx(v) for k, v in got.items()} == {x.sample: x.vec for x in lookup(C.with_gains(coo, combiner), tab, dim).collect()}
 
 
+def above_join(df):
+    """The exchanges that stand above the join with the table, where rows hold vectors or their sums."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [__id" in plan
+    return plan[: plan.index("BroadcastHashJoin [__id")].count("Exchange hashpartitioning")
+
+
+def test_two_features_shuffle_no_vectors(spark, sf_dir):
+    """Sums of 64 dimensions are complete where the rows of a sample meet."""
+    assert above_join(Q.QUERIES["lookup_two_features"](spark, sf_dir)) == 0
+
+
+@pytest.mark.parametrize("combiner", P.COMBINERS)
+def test_pooled_by_either_plan(spark, monkeypatch, combiner):
+    """Tables beyond the bound are joined by shuffles, with the same sums; equal ids, null weights and unknown ids."""
+    raw = [(1, 2, 3.0), (1, 2, 4.0), (1, 9, 5.0), (2, 9, 1.0), (3, 0, None), (3, 1, 2.0), (None, 1, 2.0)]
+    coo, tab = spark.createDataFrame(raw, "sample long, id long, weight double"), spark.createDataFrame([(i, [float(i), 1.0]) for i in range(3)], "id long, vec array<double>")
+    one = {x.sample: x.vec for x in pooled(coo, tab, 2, combiner).collect()}
+    monkeypatch.setattr(LK, "BROADCAST_BYTES", 2 * (8 * 2 + 64))
+    assert not LK.fits(tab, 2) and LK.fits(tab.limit(2), 2)
+    two = {x.sample: x.vec for x in pooled(coo, tab, 2, combiner).collect()}
+    assert {k: pytest.approx(v) for k, v in one.items()} == two and set(one) == {1, 3, None}
+    total = {"sum": 1, "mean": 12, "sqrtn": 50**0.5}[combiner]
+    assert one[1] == pytest.approx([14 / total, 7 / total])
+
+
 def test_next_token_rows(spark):
     lists = [(1, [5]), (2, [1, 2, 3]), (3, []), (4, None), (5, list(range(9)))]
     a = rows(X.next_token_rows(spark.createDataFrame(lists, "key long, ids array<long>"), 4))
