@@ -665,7 +665,7 @@ def minibatch_equivalence(spark: SparkSession, d: str) -> DataFrame:
     """Sums of each minibatch's lookups: what a single pass gives."""
     b = bucketed(spark, d)
     rows = M.with_minibatch(b, M.global_mask(b, *SPLIT_LIMITS).select("mask")).withColumnRenamed("row", "sample")
-    each = lookup(rows, vectors(spark, d), DIM, ("minibatch", "sample"))
+    each = lookup(rows, vectors(spark, d), DIM, ("minibatch", "sample"), by=("sample",))
     whole = each.groupBy("sample").agg(*V.sums(F.col("vec"), F.lit(1.0), DIM)).select("sample", V.gathered(DIM).alias("vec"))
     return rounded(explode_vectors(whole, "sample"), "value")
 

@@ -529,6 +529,11 @@ def test_two_features_shuffle_no_vectors(spark, sf_dir):
     assert above_join(Q.QUERIES["lookup_two_features"](spark, sf_dir)) == 0
 
 
+def test_minibatches_shuffle_no_vectors(spark, sf_dir):
+    """Minibatches of a sample meet by sample, so that their sums need no shuffle either."""
+    assert above_join(Q.QUERIES["minibatch_equivalence"](spark, sf_dir)) == 0
+
+
 @pytest.mark.parametrize("combiner", P.COMBINERS)
 def test_pooled_by_either_plan(spark, monkeypatch, combiner):
     """Tables beyond the bound are joined by shuffles, with the same sums; equal ids, null weights and unknown ids."""
