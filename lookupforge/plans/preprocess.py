@@ -104,19 +104,20 @@ def preprocess(batches: dict[str, Batch], features: dict[str, FeatureSpec], stac
         own = []
         for name in sorted(n for n in features if place_of[features[n].table][0].name == s.name):
             p = place_of[features[name].table][1]
-            coo = C.raw_gains(batches[name].to_coo(), s.combiner)
             at = stacked_row(F.col("sample"), batches[name].size, slices, total[s.name] // slices, offsets[name])
-            own.append(coo.select(at.alias("row"), shift_offset(F.col("id"), p.rotation, p.row_offset_in_shard * g, g).alias("id"), F.col("gain").alias("weight")))
+            own.append(batches[name].to_coo().select(at.alias("row"), shift_offset(F.col("id"), p.rotation, p.row_offset_in_shard * g, g).alias("id"), F.col("weight").cast("double").alias("weight")))
         if not own:
             continue
         union = own[0]
         for x in own[1:]:
             union = union.unionByName(x)
-        placed = L.place(C.with_gains(union, "sum", ("row",)), topology, total[s.name] // slices, row="row", bucket=bucket(F.col("id"), hash_) if enable_minibatching else None)
+        placed = L.place(C.with_gains(union, s.combiner, ("row",)), topology, total[s.name] // slices, row="row", bucket=bucket(F.col("id"), hash_) if enable_minibatching else None)
         whole = L.partition_stats(placed.withColumn("bucket", F.lit(0).cast("long")))
         stats.append(whole.join(L.required_buffer(whole), "local_sc").select(F.lit(s.name).alias("stack"), "local_sc", "global_sc", "ids", "unique_ids", "required"))
         limits = s.max_ids_per_partition, s.max_unique_ids_per_partition
-        top = L.check_limits(placed.withColumn("bucket", F.lit(0).cast("long")), *limits, allow_dropping=allow_id_dropping or enable_minibatching)
+        top = L.check_limits(L.place(union.select("row", "id", F.lit(1.0).alias("gain"), F.lit(1).alias("n_raw")), topology, total[s.name] // slices, row="row"), *limits, allow_dropping=True)
+        if top["ids"] > limits[0] or top["unique_ids"] > limits[1]:  # raw rows only bound the merged ones, but are counted without a shuffle of rows
+            top = L.check_limits(placed.withColumn("bucket", F.lit(0).cast("long")), *limits, allow_dropping=allow_id_dropping or enable_minibatching)
         over |= top["ids"] > limits[0] or top["unique_ids"] > limits[1]
         rows.append((s, placed, limits))
     if over and enable_minibatching:

@@ -534,6 +534,11 @@ def test_minibatches_shuffle_no_vectors(spark, sf_dir):
     assert above_join(Q.QUERIES["minibatch_equivalence"](spark, sf_dir)) == 0
 
 
+def test_preprocessed_rows_shuffle_no_vectors(spark, sf_dir):
+    """Rows of a stacked batch are dealt by their row before they meet the table."""
+    assert above_join(Q.QUERIES["preprocess_and_lookup"](spark, sf_dir)) == 0
+
+
 @pytest.mark.parametrize("combiner", P.COMBINERS)
 def test_pooled_by_either_plan(spark, monkeypatch, combiner):
     """Tables beyond the bound are joined by shuffles, with the same sums; equal ids, null weights and unknown ids."""
