@@ -19,7 +19,7 @@ from lookupforge.operators import layout as L
 from lookupforge.operators import minibatch as M
 from lookupforge.operators import stacking as S
 from lookupforge.operators import stats as ST
-from lookupforge.operators.lookup import explode_vectors, lookup, pooled
+from lookupforge.operators.lookup import explode_vectors, lookup, pooled, pooled_values
 from lookupforge.operators.optimizers import initial_slots
 from lookupforge.operators.update import gradient_sums, merge, touched, with_slots
 from lookupforge.plans import preprocess as PP
@@ -266,7 +266,7 @@ def lookup_local(spark: SparkSession, d: str) -> DataFrame:
 def lookup_two_features(spark: SparkSession, d: str) -> DataFrame:
     both = C.union_features({"parts": parts(spark, d), "suppliers": suppliers(spark, d)})
     keys = ("feature", "sample")
-    return rounded(explode_vectors(pooled(both, vectors(spark, d), DIM, "mean", keys), *keys), "value")
+    return rounded(pooled_values(both, vectors(spark, d), DIM, "mean", keys), "value")
 
 
 # ---------------------------------------------------------------- layout and statistics

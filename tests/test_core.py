@@ -529,6 +529,23 @@ def test_two_features_shuffle_no_vectors(spark, sf_dir):
     assert above_join(Q.QUERIES["lookup_two_features"](spark, sf_dir)) == 0
 
 
+def test_two_features_of_a_large_table(spark, sf_dir, monkeypatch):
+    """Rows are shuffled once; of a table beyond the bound, the vectors of the ids that occur are broadcast."""
+    whole = Q.QUERIES["lookup_two_features"](spark, sf_dir)
+    monkeypatch.setattr(LK, "BROADCAST_BYTES", 300 * (4 * 64 + 64))
+    assert not LK.fits(Q.vectors(spark, sf_dir), 64)
+    some = Q.QUERIES["lookup_two_features"](spark, sf_dir)
+    assert above_join(some) == 0
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert whole.exceptAll(some).count() == 0 and whole.count() == some.count()
+
+
+def test_bound_counts_vectors_in_their_own_type(spark, monkeypatch):
+    tab = spark.createDataFrame([(i, [0.0] * 64) for i in range(10)], "id long, vec array<float>")
+    monkeypatch.setattr(LK, "BROADCAST_BYTES", 10 * (4 * 64 + 64))
+    assert LK.fits(tab, 64) and not LK.fits(tab.selectExpr("id", "cast(vec AS array<double>) vec"), 64)
+
+
 def test_minibatches_shuffle_no_vectors(spark, sf_dir):
     """Minibatches of a sample meet by sample, so that their sums need no shuffle either."""
     assert above_join(Q.QUERIES["minibatch_equivalence"](spark, sf_dir)) == 0
