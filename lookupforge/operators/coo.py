@@ -73,15 +73,18 @@ def total_weight(combiner: str, weight: Column, square: Column | None = None) ->
     return {"sum": F.lit(1.0), "mean": F.sum(weight), "sqrtn": F.sqrt(F.sum(weight * weight if square is None else square))}[combiner]
 
 
-def with_gains(coo: DataFrame, combiner: str, keys: tuple[str, ...] = ("sample",), weight: str = "weight") -> DataFrame:
+def with_gains(coo: DataFrame, combiner: str, keys: tuple[str, ...] = ("sample",), weight: str = "weight", deal: bool = False) -> DataFrame:
     """Merged rows (keys, id, gain, n_raw): equal ids of a sample add up.
 
     Raw rows are pre-aggregated on (keys, id) before any shuffle; the sample's totals are an aggregate of the raw rows and
-    join back on the keys, so a sample with very many ids is never gathered. A zero total gives a null gain.
+    join back on the keys, so a sample with very many ids is never gathered. A zero total gives a null gain. With ``deal``, raw
+    rows are dealt by the keys instead, and the result is so too: for what gathers a sample's rows anyway.
     """
     if combiner not in COMBINERS:
         raise ValueError(f"unknown combiner {combiner!r}")
     w = F.col(weight).cast("double")
+    if deal:
+        coo = coo.repartition(*keys)
     merged = coo.groupBy(*keys, "id").agg(F.sum(w).alias("__w"), F.count("*").alias("n_raw"))
     if combiner == "sum":
         return merged.select(*keys, "id", F.col("__w").alias("gain"), "n_raw")

@@ -270,8 +270,8 @@ def lookup_two_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- layout and statistics
-def placed(spark: SparkSession, d: str, combiner: str = "sum", bucket: Column | None = None) -> DataFrame:
-    return L.place(C.with_gains(parts(spark, d), combiner), TOPOLOGY, _orders_count(spark, d) // SCS, bucket=bucket)
+def placed(spark: SparkSession, d: str, combiner: str = "sum", bucket: Column | None = None, deal: bool = False) -> DataFrame:
+    return L.place(C.with_gains(parts(spark, d), combiner, deal=deal), TOPOLOGY, _orders_count(spark, d) // SCS, bucket=bucket)
 
 
 PLACED = f"{merged_sql('sum')}, {N}, placed AS (SELECT sample // (n // {SCS}) AS local_sc, 0 AS bucket, id % {G} AS global_sc, id // {G} AS local_id, sample AS row, id, gain, n_raw FROM merged, n)"
@@ -615,8 +615,8 @@ BUCKETED = PLACED.replace("0 AS bucket", "id % 64 AS bucket")
 COUNTS = f"{STATS}, grid AS (SELECT l.x AS local_sc, s.x AS global_sc, b.x AS bucket FROM (SELECT DISTINCT local_sc AS x FROM stats) l, (SELECT DISTINCT global_sc AS x FROM stats) s, range(64) b(x)), cnt AS (SELECT grid.local_sc, grid.global_sc, grid.bucket, coalesce(ids, 0) AS ids, coalesce(unique_ids, 0) AS unique_ids FROM grid LEFT JOIN stats USING (local_sc, global_sc, bucket))"
 
 
-def bucketed(spark: SparkSession, d: str) -> DataFrame:
-    return placed(spark, d, bucket=I.bucket(F.col("id"), lambda c: c))
+def bucketed(spark: SparkSession, d: str, deal: bool = False) -> DataFrame:
+    return placed(spark, d, bucket=I.bucket(F.col("id"), lambda c: c), deal=deal)
 
 
 @query(f"WITH {PLACED}, {STATS} SELECT bool_or(ids > {LIMITS[0]} OR unique_ids > {LIMITS[1]}) AS required FROM stats")
@@ -663,9 +663,9 @@ def minibatch_packing(spark: SparkSession, d: str) -> DataFrame:
 @query(SQL["lookup_sum"])
 def minibatch_equivalence(spark: SparkSession, d: str) -> DataFrame:
     """Sums of each minibatch's lookups: what a single pass gives."""
-    b = bucketed(spark, d)
+    b = bucketed(spark, d, deal=True)
     rows = M.with_minibatch(b, M.global_mask(b, *SPLIT_LIMITS).select("mask")).withColumnRenamed("row", "sample")
-    each = lookup(rows, vectors(spark, d), DIM, ("minibatch", "sample"), by=("sample",))
+    each = lookup(rows, vectors(spark, d), DIM, ("minibatch", "sample"), by=())
     whole = each.groupBy("sample").agg(*V.sums(F.col("vec"), F.lit(1.0), DIM)).select("sample", V.gathered(DIM).alias("vec"))
     return rounded(explode_vectors(whole, "sample"), "value")
 

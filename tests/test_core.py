@@ -540,6 +540,16 @@ def test_two_features_of_a_large_table(spark, sf_dir, monkeypatch):
     assert whole.exceptAll(some).count() == 0 and whole.count() == some.count()
 
 
+def test_minibatches_of_a_large_table(spark, sf_dir, monkeypatch):
+    """Rows are dealt by sample once for the sums and once for the mask; a table beyond the bound as above."""
+    whole = Q.QUERIES["minibatch_equivalence"](spark, sf_dir)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(sample#") == 2
+    monkeypatch.setattr(LK, "BROADCAST_BYTES", 300 * (4 * 64 + 64))
+    some = Q.QUERIES["minibatch_equivalence"](spark, sf_dir)
+    assert above_join(some) == 0
+    assert whole.exceptAll(some).count() == 0 and whole.count() == some.count()
+
+
 def test_bound_counts_vectors_in_their_own_type(spark, monkeypatch):
     tab = spark.createDataFrame([(i, [0.0] * 64) for i in range(10)], "id long, vec array<float>")
     monkeypatch.setattr(LK, "BROADCAST_BYTES", 10 * (4 * 64 + 64))
