@@ -7,7 +7,9 @@ the combiner: the weight (sum), the weight over the sample's sum of weights (mea
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookupforge.functions.ids import div
@@ -38,8 +40,6 @@ def running(df: DataFrame, order: str, value: str, width: int = 4096) -> DataFra
     Blocks of ``width`` values are summed first; only block totals (one row for each ``width`` rows) are ordered in one task,
     and each block is ordered by itself.
     """
-    from pyspark.sql import Window
-
     b = df.withColumn("__block", div(F.col(order), width))
     totals = b.groupBy("__block").agg(F.sum(value).alias("__total"))
     starts = totals.select("__block", (F.sum("__total").over(Window.orderBy("__block")) - F.col("__total")).alias("__start"))
@@ -78,16 +78,23 @@ def with_gains(coo: DataFrame, combiner: str, keys: tuple[str, ...] = ("sample",
 
     Raw rows are pre-aggregated on (keys, id) before any shuffle; the sample's totals are an aggregate of the raw rows and
     join back on the keys, so a sample with very many ids is never gathered. A zero total gives a null gain. With ``deal``, raw
-    rows are dealt by the keys instead, and the result is so too: for what gathers a sample's rows anyway.
+    rows are dealt by the keys, once, and totals are a window over the sample; the result stays dealt: for what gathers a
+    sample's rows anyway.
     """
     if combiner not in COMBINERS:
         raise ValueError(f"unknown combiner {combiner!r}")
     w = F.col(weight).cast("double")
     if deal:
         coo = coo.repartition(*keys)
-    merged = coo.groupBy(*keys, "id").agg(F.sum(w).alias("__w"), F.count("*").alias("n_raw"))
+    squares = [F.sum(w * w).alias("__q")] if deal and combiner == "sqrtn" else []
+    merged = coo.groupBy(*keys, "id").agg(F.sum(w).alias("__w"), F.count("*").alias("n_raw"), *squares)
     if combiner == "sum":
         return merged.select(*keys, "id", F.col("__w").alias("gain"), "n_raw")
+    if deal:  # a join with totals would shuffle the rows again for them
+        whole = Window.partitionBy(*keys)
+        total = F.sum("__w").over(whole) if combiner == "mean" else F.sqrt(F.sum("__q").over(whole))
+        merged = merged.where(functools.reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])).withColumn("__total", total)
+        return merged.select(*keys, "id", F.try_divide(F.col("__w"), F.col("__total")).alias("gain"), "n_raw")
     totals = coo.groupBy(*keys).agg(total_weight(combiner, w).alias("__total"))
     return merged.join(totals, list(keys)).select(*keys, "id", F.try_divide(F.col("__w"), F.col("__total")).alias("gain"), "n_raw")
 

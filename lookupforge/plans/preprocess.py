@@ -111,7 +111,7 @@ def preprocess(batches: dict[str, Batch], features: dict[str, FeatureSpec], stac
         union = own[0]
         for x in own[1:]:
             union = union.unionByName(x)
-        placed = L.place(C.with_gains(union, s.combiner, ("row",)), topology, total[s.name] // slices, row="row", bucket=bucket(F.col("id"), hash_) if enable_minibatching else None)
+        placed = L.place(C.with_gains(union, s.combiner, ("row",), deal=True), topology, total[s.name] // slices, row="row", bucket=bucket(F.col("id"), hash_) if enable_minibatching else None)
         whole = L.partition_stats(placed.withColumn("bucket", F.lit(0).cast("long")))
         stats.append(whole.join(L.required_buffer(whole), "local_sc").select(F.lit(s.name).alias("stack"), "local_sc", "global_sc", "ids", "unique_ids", "required"))
         limits = s.max_ids_per_partition, s.max_unique_ids_per_partition

@@ -679,7 +679,7 @@ def preprocess_and_lookup(spark: SparkSession, d: str) -> DataFrame:
     features = {f: FeatureSpec(f, "embeddings", (n, 1), (n, DIM)) for f in ("parts", "suppliers")}
     pre = PP.preprocess({"parts": PP.Rows(parts(spark, d), n), "suppliers": PP.Rows(suppliers(spark, d), n)}, features, [stack], top)
     table = PP.stacked_ids(stack, top, S.stack_and_shard({"embeddings": vectors(spark, d)}, stack, top, 0.0))
-    act = lookup(pre.rows, table, DIM, ("row",))
+    act = lookup(pre.rows, table, DIM, ("row",), by=())  # without limits, rows are as they were dealt
     back = C.union_features({f: PP.feature_rows(pre, act, f, stack, n, top) for f in features})
     return rounded(explode_vectors(back, "feature", "sample"), "value")
 

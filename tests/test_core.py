@@ -550,6 +550,28 @@ def test_minibatches_of_a_large_table(spark, sf_dir, monkeypatch):
     assert whole.exceptAll(some).count() == 0 and whole.count() == some.count()
 
 
+def test_preprocessed_rows_of_a_large_table(spark, sf_dir, monkeypatch):
+    """Each feature's rows are dealt by their row once; a table beyond the bound as above."""
+    whole = Q.QUERIES["preprocess_and_lookup"](spark, sf_dir)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(row#") == 2
+    monkeypatch.setattr(LK, "BROADCAST_BYTES", 300 * (8 * 64 + 64))
+    some = Q.QUERIES["preprocess_and_lookup"](spark, sf_dir)
+    assert above_join(some) == 0
+    assert whole.exceptAll(some).count() == 0 and whole.count() == some.count()
+
+
+@pytest.mark.parametrize("combiner", P.COMBINERS)
+def test_gains_of_dealt_rows(spark, combiner):
+    """The same merged rows with one shuffle; equal and null ids, null weights and samples, a zero total."""
+    raw = [(1, 2, 3.0), (1, 2, 4.0), (1, 9, 5.0), (1, None, 2.0), (2, 9, 1.0), (3, 0, None), (3, 1, 2.0), (4, 1, 0.0), (5, 3, None), (None, 1, 2.0)]
+    coo = spark.createDataFrame(raw, "sample long, id long, weight double")
+    dealt = C.with_gains(coo, combiner, deal=True)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    a, b = ({(r.sample, r.id): (r.gain, r.n_raw) for r in df.collect()} for df in (dealt, C.with_gains(coo, combiner)))
+    assert set(a) == set(b) and all(a[k] == (b[k][0] if b[k][0] is None else pytest.approx(b[k][0]), b[k][1]) for k in b)
+    assert a[1, 2][0] == pytest.approx(7 / {"sum": 1, "mean": 14, "sqrtn": 54**0.5}[combiner])
+
+
 def test_bound_counts_vectors_in_their_own_type(spark, monkeypatch):
     tab = spark.createDataFrame([(i, [0.0] * 64) for i in range(10)], "id long, vec array<float>")
     monkeypatch.setattr(LK, "BROADCAST_BYTES", 10 * (4 * 64 + 64))
